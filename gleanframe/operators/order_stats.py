@@ -1,0 +1,216 @@
+"""Exact order statistics of large columns, without sorting or shuffling the rows.
+
+``rank_select`` is a quickselect over DataFrames. Each round samples the open interval that still
+holds a wanted rank, takes two pivots around it, and counts exactly how many rows fall before,
+on, between and after them. The counts, not the sample, decide which part is kept, so the answer
+is exact whatever was sampled, and equal values (one value may hold a third of all rows) drop out
+as soon as they become a pivot. The driver only ever sees pivots and counts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from gleanframe.functions.columns import key_literal, key_text
+
+SAMPLE_ROWS = 20_000  # expected sample per wanted rank and round
+BUFFERED_ROWS = 2_000_000  # up to here a percentile may keep its values in one buffer
+
+Key = tuple[str, ...]
+
+
+@dataclass
+class _Search:
+    rank: int  # within the open interval
+    size: int  # rows inside the open interval
+    low: Key | None = None
+    high: Key | None = None
+    found: Key | None = None
+
+
+class _Keys:
+    """Lexicographic comparison of key columns with pivots held as text."""
+
+    def __init__(self, columns: Sequence[tuple[Column, T.DataType]]):
+        self.columns = columns
+
+    def _literals(self, key: Key) -> list[Column]:
+        return [key_literal(text, t) for text, (_, t) in zip(key, self.columns)]
+
+    def equal(self, key: Key) -> Column:
+        pairs = zip(self.columns, self._literals(key))
+        return reduce(lambda a, b: a & b, [c == v for (c, _), v in pairs])
+
+    def _beyond(self, key: Key, after: bool) -> Column:
+        values = self._literals(key)
+        parts, same = [], F.lit(True)
+        for (c, _), v in zip(self.columns, values):
+            parts.append(same & ((c > v) if after else (c < v)))
+            same = same & (c == v)
+        return reduce(or_, parts)
+
+    def less(self, key: Key) -> Column:
+        return self._beyond(key, after=False)
+
+    def greater(self, key: Key) -> Column:
+        return self._beyond(key, after=True)
+
+    def between(self, low: Key | None, high: Key | None) -> Column:
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & self.greater(low)
+        if high is not None:
+            inside = inside & self.less(high)
+        return inside
+
+
+def _pivots(
+    df: DataFrame, keys: _Keys, open_: dict[int, _Search], sample_rows: int, seed: int
+) -> dict[int, tuple[Key, Key]]:
+    """Two sampled keys around each wanted rank; the exact key twice where all rows are sampled."""
+    tags = []
+    for i, s in open_.items():
+        inside = keys.between(s.low, s.high)
+        if s.size > sample_rows:
+            inside = inside & (F.rand(seed + i) < F.lit(sample_rows / s.size))
+        tags.append(F.when(inside, F.lit(i)))
+    names = [f"k{j}" for j in range(len(keys.columns))]
+    sample = df.select(
+        F.explode(F.array_compact(F.array(*tags))).alias("i"),
+        *[c.alias(n) for (c, _), n in zip(keys.columns, names)],
+    )
+    ordered = W.partitionBy("i").orderBy(*names)
+    whole = W.partitionBy("i")
+    place, spread = F.lit(0.0), F.lit(0.0)
+    for i, s in open_.items():
+        place = F.when(F.col("i") == i, F.lit((s.rank + 0.5) / s.size)).otherwise(place)
+        spread = F.when(F.col("i") == i, F.lit(0 if s.size <= sample_rows else 1)).otherwise(spread)
+    at = F.least(F.floor(place * F.col("m")), F.col("m") - 1)
+    margin = spread * F.ceil(F.sqrt(F.col("m") * place * (1 - place)) * 3 + 1)
+    picked = (
+        sample.select(
+            "*",
+            (F.row_number().over(ordered) - 1).alias("r"),
+            F.count(F.lit(1)).over(whole).alias("m"),
+        )
+        .where(
+            (F.col("r") == F.greatest(at - margin, F.lit(0)))
+            | (F.col("r") == F.least(at + margin, F.col("m") - 1))
+        )
+        .select("i", "r", *[key_text(F.col(n), t).alias(n) for n, (_, t) in zip(names, keys.columns)])
+    )
+    out: dict[int, tuple[Key, Key]] = {}
+    for row in sorted(picked.collect(), key=lambda r: (r["i"], r["r"])):
+        key = tuple(row[n] for n in names)
+        out[row["i"]] = (out.get(row["i"], (key,))[0], key)
+    return out
+
+
+def rank_select(
+    df: DataFrame,
+    columns: Sequence[tuple[Column, T.DataType]],
+    ranks: Sequence[int],
+    total: int,
+    sample_rows: int = SAMPLE_ROWS,
+) -> list[Key]:
+    """Keys (as text, see ``key_literal``) at the 0-based ``ranks`` of the ascending order.
+
+    ``columns`` are the non-null sort columns, most significant first; ``total`` is the row count.
+    """
+    keys = _Keys(columns)
+    searches = {r: _Search(r, total) for r in set(ranks)}
+    seed = 7
+    while True:
+        open_ = {i: s for i, s in enumerate(searches.values()) if s.found is None}
+        if not open_:
+            return [searches[r].found for r in ranks]
+        seed += 1000
+        pivots = _pivots(df, keys, open_, sample_rows, seed)
+        counting = []
+        for i, (a, b) in pivots.items():
+            s = open_[i]
+            if s.size <= sample_rows:
+                s.found = a
+                continue
+            inside = keys.between(s.low, s.high)
+            counting += [
+                F.count_if(inside & keys.less(a)).alias(f"before{i}"),
+                F.count_if(keys.equal(a)).alias(f"a{i}"),
+                F.count_if(keys.between(a, b)).alias(f"mid{i}"),
+                F.count_if(keys.equal(b)).alias(f"b{i}"),
+            ]
+        if not counting:
+            continue
+        counts = df.agg(*counting).first()
+        for i, (a, b) in pivots.items():
+            s = open_[i]
+            if s.found is None:
+                _narrow(s, a, b, *[counts[f"{part}{i}"] for part in ("before", "a", "mid", "b")])
+
+
+def _narrow(s: _Search, a: Key, b: Key, before: int, at_a: int, middle: int, at_b: int) -> None:
+    if s.rank < before:
+        s.high, s.size = a, before
+        return
+    s.rank -= before
+    if s.rank < at_a:
+        s.found = a
+        return
+    s.rank -= at_a
+    if a != b:
+        if s.rank < middle:
+            s.low, s.high, s.size = a, b, middle
+            return
+        s.rank -= middle
+        if s.rank < at_b:
+            s.found = b
+            return
+        s.rank -= at_b
+    else:
+        middle = at_b = 0
+    s.low, s.size = b, s.size - before - at_a - middle - at_b
+
+
+def quantiles(
+    values: DataFrame,
+    probabilities: Sequence[float],
+    total: int,
+    buffered_rows: int = BUFFERED_ROWS,
+) -> DataFrame:
+    """One row with the array ``q`` of linearly interpolated quantiles of the double column ``v``.
+
+    ``values`` holds no nulls and ``total`` is at least its row count. NaN ranks above everything.
+    """
+    if total <= buffered_rows:
+        return values.agg(F.percentile("v", [float(p) for p in probabilities]).alias("q"))
+    rows = values.count()
+    if rows == 0:
+        return values.agg(F.max(F.array(F.col("v"))).alias("q"))
+    places = [p * (rows - 1) for p in probabilities]
+    ranks = [r for h in places for r in (int(h), min(int(h) + 1, rows - 1))]
+    keys = rank_select(values, [(F.col("v"), T.DoubleType())], ranks, rows)
+    cells = []
+    for j, h in enumerate(places):
+        lower, upper = (F.lit(keys[2 * j + k][0]).cast("double") for k in (0, 1))
+        part = h - int(h)
+        cells.append(lower if part == 0 else lower * F.lit(1 - part) + upper * F.lit(part))
+    return values.sparkSession.range(1).select(F.array(*cells).alias("q"))
+
+
+def sample_rows(df: DataFrame, rows: int, rowid: str, total: int, seed: int = 0) -> DataFrame:
+    """Exactly ``rows`` rows, the same ones every time: those with the smallest hash of row id.
+
+    The cut-off hash is found by :func:`rank_select`; taking the sample is then a plain filter.
+    """
+    if total <= rows:
+        return df
+    mix = F.xxhash64(F.lit(seed), F.col(rowid))
+    columns = [(mix, T.LongType()), (F.col(rowid).cast("bigint"), T.LongType())]
+    cut = rank_select(df, columns, [rows - 1], total)[0]
+    keys = _Keys(columns)
+    return df.where(keys.less(cut) | keys.equal(cut))
