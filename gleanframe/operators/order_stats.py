@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from gleanframe.functions.columns import key_literal, key_text
 
 SAMPLE_ROWS = 20_000  # expected sample per wanted rank and round
-BUFFERED_ROWS = 2_000_000  # up to here a percentile may keep its values in one buffer
+ORDERED_VALUES = 2_000_000  # up to here one task may order the distinct values of a column
 
 Key = tuple[str, ...]
 
@@ -72,43 +72,42 @@ class _Keys:
 def _pivots(
     df: DataFrame, keys: _Keys, open_: dict[int, _Search], sample_rows: int, seed: int
 ) -> dict[int, tuple[Key, Key]]:
-    """Two sampled keys around each wanted rank; the exact key twice where all rows are sampled."""
+    """Two sampled keys around each wanted rank; the exact key twice where all rows are sampled.
+
+    Ranks that still share an interval share its sample.
+    """
+    intervals = list(dict.fromkeys((s.low, s.high, s.size) for s in open_.values()))
     tags = []
-    for i, s in open_.items():
-        inside = keys.between(s.low, s.high)
-        if s.size > sample_rows:
-            inside = inside & (F.rand(seed + i) < F.lit(sample_rows / s.size))
-        tags.append(F.when(inside, F.lit(i)))
+    for j, (low, high, size) in enumerate(intervals):
+        inside = keys.between(low, high)
+        if size > sample_rows:
+            inside = inside & (F.rand(seed + j) < F.lit(sample_rows / size))
+        tags.append(F.when(inside, F.lit(j)))
     names = [f"k{j}" for j in range(len(keys.columns))]
     sample = df.select(
-        F.explode(F.array_compact(F.array(*tags))).alias("i"),
+        F.explode(F.array_compact(F.array(*tags))).alias("j"),
         *[c.alias(n) for (c, _), n in zip(keys.columns, names)],
     )
-    ordered = W.partitionBy("i").orderBy(*names)
-    whole = W.partitionBy("i")
-    place, spread = F.lit(0.0), F.lit(0.0)
+    ranked = sample.select(
+        "*",
+        (F.row_number().over(W.partitionBy("j").orderBy(*names)) - 1).alias("r"),
+        F.count(F.lit(1)).over(W.partitionBy("j")).alias("m"),
+    )
+    r, m = F.col("r"), F.col("m")
+    picks = []
     for i, s in open_.items():
-        place = F.when(F.col("i") == i, F.lit((s.rank + 0.5) / s.size)).otherwise(place)
-        spread = F.when(F.col("i") == i, F.lit(0 if s.size <= sample_rows else 1)).otherwise(spread)
-    at = F.least(F.floor(place * F.col("m")), F.col("m") - 1)
-    margin = spread * F.ceil(F.sqrt(F.col("m") * place * (1 - place)) * 3 + 1)
-    picked = (
-        sample.select(
-            "*",
-            (F.row_number().over(ordered) - 1).alias("r"),
-            F.count(F.lit(1)).over(whole).alias("m"),
-        )
-        .where(
-            (F.col("r") == F.greatest(at - margin, F.lit(0)))
-            | (F.col("r") == F.least(at + margin, F.col("m") - 1))
-        )
-        .select("i", "r", *[key_text(F.col(n), t).alias(n) for n, (_, t) in zip(names, keys.columns)])
+        place = (s.rank + 0.5) / s.size
+        at = F.least(F.floor(m * place), m - 1)
+        margin = F.ceil(F.sqrt(m * (place * (1 - place))) * 3 + 1) if s.size > sample_rows else F.lit(0)
+        mine = F.col("j") == intervals.index((s.low, s.high, s.size))
+        picks.append(F.when(mine & (r == F.greatest(at - margin, F.lit(0))), F.lit(2 * i)))
+        picks.append(F.when(mine & (r == F.least(at + margin, m - 1)), F.lit(2 * i + 1)))
+    picked = ranked.select(
+        F.explode(F.array_compact(F.array(*picks))).alias("pick"),
+        *[key_text(F.col(n), t).alias(n) for n, (_, t) in zip(names, keys.columns)],
     )
-    out: dict[int, tuple[Key, Key]] = {}
-    for row in sorted(picked.collect(), key=lambda r: (r["i"], r["r"])):
-        key = tuple(row[n] for n in names)
-        out[row["i"]] = (out.get(row["i"], (key,))[0], key)
-    return out
+    found = {row["pick"]: tuple(row[n] for n in names) for row in picked.collect()}
+    return {i: (found[2 * i], found[2 * i + 1]) for i in open_ if 2 * i in found}
 
 
 def rank_select(
@@ -176,30 +175,68 @@ def _narrow(s: _Search, a: Key, b: Key, before: int, at_a: int, middle: int, at_
     s.low, s.size = b, s.size - before - at_a - middle - at_b
 
 
+def _interpolated(lower: Column, upper: Column, part: Column) -> Column:
+    return F.when(part == 0, lower).otherwise(lower * (1 - part) + upper * part)
+
+
+def _ordered_quantiles(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Quantiles from value counts few enough for one task: a running count in value order."""
+    upto = W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = counts.select("v", F.sum("n").over(upto).alias("upto"))
+    placed = running.select("*", counts.agg(F.sum("n")).scalar().alias("rows"))
+    ends = []
+    for i, p in enumerate(probabilities):
+        rank = F.floor(F.lit(float(p)) * (F.col("rows") - 1))
+        ends.append(F.min(F.when(F.col("upto") > rank, F.col("v"))).alias(f"lower{i}"))
+        ends.append(F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias(f"upper{i}"))
+    found = placed.agg(F.max("rows").alias("rows"), *ends)
+    cells = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("rows") - 1)
+        lower = F.col(f"lower{i}")
+        # the last value has no successor; its part is 0
+        upper = F.coalesce(F.col(f"upper{i}"), lower)
+        cells.append(_interpolated(lower, upper, place - F.floor(place)))
+    return found.select(F.when(F.col("rows").isNotNull(), F.array(*cells)).alias("q"))
+
+
+def _selected_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Quantiles by rank selection over the rows, in a few passes without a shuffle of values."""
+    rows = values.count()
+    places = [p * (rows - 1) for p in probabilities]
+    keys = rank_select(values, [(F.col("v"), T.DoubleType())], [int(h) for h in places], rows)
+    lower = [key_literal(k, T.DoubleType()) for (k,) in keys]
+    v = F.col("v")
+    nexts = []
+    for h, low in zip(places, lower):
+        beyond = F.min(F.when(v > low, v))
+        nexts.append(F.when(F.count_if(v <= low) > int(h) + 1, low).otherwise(F.coalesce(beyond, low)))
+    upper = values.agg(F.array(*nexts).alias("u")).scalar()
+    cells = [
+        _interpolated(low, F.get(upper, F.lit(i)), F.lit(h - int(h)))
+        for i, (h, low) in enumerate(zip(places, lower))
+    ]
+    return values.sparkSession.range(1).select(F.array(*cells).alias("q"))
+
+
+def orderable_in_one_task(values: DataFrame, rows: int, limit: int = ORDERED_VALUES) -> bool:
+    """Whether the distinct values of ``v`` are few: by the row count, else by an estimate."""
+    if rows <= limit:
+        return True
+    return values.agg(F.approx_count_distinct("v")).first()[0] <= limit * 0.8
+
+
 def quantiles(
-    values: DataFrame,
-    probabilities: Sequence[float],
-    total: int,
-    buffered_rows: int = BUFFERED_ROWS,
+    values: DataFrame, counts: DataFrame, probabilities: Sequence[float], few: bool
 ) -> DataFrame:
     """One row with the array ``q`` of linearly interpolated quantiles of the double column ``v``.
 
-    ``values`` holds no nulls and ``total`` is at least its row count. NaN ranks above everything.
+    ``values`` are the rows and ``counts`` their value counts ``(v, n)``, without nulls; ``few``
+    tells whether the counts may be ordered in one task. NaN ranks above everything.
     """
-    if total <= buffered_rows:
-        return values.agg(F.percentile("v", [float(p) for p in probabilities]).alias("q"))
-    rows = values.count()
-    if rows == 0:
-        return values.agg(F.max(F.array(F.col("v"))).alias("q"))
-    places = [p * (rows - 1) for p in probabilities]
-    ranks = [r for h in places for r in (int(h), min(int(h) + 1, rows - 1))]
-    keys = rank_select(values, [(F.col("v"), T.DoubleType())], ranks, rows)
-    cells = []
-    for j, h in enumerate(places):
-        lower, upper = (F.lit(keys[2 * j + k][0]).cast("double") for k in (0, 1))
-        part = h - int(h)
-        cells.append(lower if part == 0 else lower * F.lit(1 - part) + upper * F.lit(part))
-    return values.sparkSession.range(1).select(F.array(*cells).alias("q"))
+    if few or values.isEmpty():
+        return _ordered_quantiles(counts, probabilities)
+    return _selected_quantiles(values, probabilities)
 
 
 def sample_rows(df: DataFrame, rows: int, rowid: str, total: int, seed: int = 0) -> DataFrame:

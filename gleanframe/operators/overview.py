@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleanframe.apptypes import ROWID, app_type, field_map
-from gleanframe.functions.columns import as_text, col, comparable
+from gleanframe.functions.columns import col, comparable
 from gleanframe.functions.numbers import share
 from gleanframe.operators.order_stats import sample_rows
-from gleanframe.operators.value_counts import rows_in, value_counts
+from gleanframe.operators.value_counts import value_counts
 
 # Bins of a sparkline and the null-rate bands.
 BINS = 8
@@ -52,6 +52,38 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.select("*", null_pct.alias("null_pct"), band.alias("null_band"))
 
 
+def _present(df: DataFrame, f: T.StructField) -> DataFrame:
+    """Value counts of a column without nulls: shared by its distinct count and its sparkline."""
+    c = comparable(col(f.name), f.dataType)
+    return value_counts(df.where(col(f.name).isNotNull()), c)
+
+
+def _facts(df: DataFrame, i: int, f: T.StructField, *more: Column) -> DataFrame:
+    """One row about one column; every fact is a scalar subquery over that column alone."""
+    counted = _present(df, f).agg(
+        F.struct(
+            F.count("v").alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
+        )
+    )
+    raw = df.sparkSession.range(1).select(
+        F.lit(i).alias("position"),
+        F.lit(f.name).alias("column"),
+        F.lit(app_type(f.dataType)).alias("type"),
+        df.agg(F.count(F.lit(1))).scalar().alias("total_count"),
+        counted.scalar().alias("present"),
+        *more,
+    )
+    return raw.select(
+        "position",
+        "column",
+        "type",
+        "total_count",
+        (F.col("total_count") - F.col("present.rows")).alias("null_count"),
+        F.col("present.values").alias("unique_count"),
+        *raw.columns[5:],
+    )
+
+
 def overview(
     df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False
 ) -> DataFrame:
@@ -63,20 +95,7 @@ def overview(
     chosen = _chosen(df, columns)
     if approximate:
         return _described(_approximate(df, chosen))
-    parts = []
-    for i, f in chosen:
-        v, n = F.col("v"), F.col("n")
-        parts.append(
-            value_counts(df, comparable(col(f.name), f.dataType)).agg(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(app_type(f.dataType)).alias("type"),
-                rows_in(n).alias("total_count"),
-                rows_in(n, v.isNull()).alias("null_count"),
-                F.count(v).alias("unique_count"),
-            )
-        )
-    return _described(_union(parts))
+    return _described(_union([_facts(df, i, f) for i, f in chosen]))
 
 
 def _approximate(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> DataFrame:
@@ -102,61 +121,61 @@ def _epoch_seconds(c: Column, data_type: T.DataType) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
-def _numeric_bars(counts: DataFrame) -> DataFrame:
-    """``(idx, count)``: counts per distinct value when at most 8, else 8 equal-width bins."""
-    v, n = F.col("v"), F.col("n")
-    first = counts.orderBy("v").limit(BINS + 1)
-    # these use n as well, so that they read the same shuffled value counts as the bars themselves
-    known = first.agg(
-        F.struct(F.array_sort(F.collect_list("v")).alias("values"), F.sum("n").alias("rows"))
-    ).scalar()["values"]
-    bounds = counts.agg(
-        F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(n).alias("rows"))
-    ).scalar()
-    low, width = bounds["lo"], (bounds["hi"] - bounds["lo"]) / BINS
-    few = F.size(known) <= BINS
-    bin_ = F.least(F.floor((v - low) / width).cast("int"), F.lit(BINS - 1))
-    idx = F.when(few, F.array_position(known, v).cast("int") - 1).otherwise(bin_)
-    bars = counts.groupBy(idx.alias("idx")).agg(F.sum(n).alias("count"))
-    slots = F.when(few, F.size(known)).otherwise(BINS)
-    spine = counts.sparkSession.range(1).select(slots.alias("slots")).where("slots > 0").select(
-        F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("idx")
-    )
-    return spine.join(bars, "idx", "left").select(
-        "idx", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
-    )
+def _number(c: Column, data_type: T.DataType) -> Column:
+    if app_type(data_type) == "date":
+        return _epoch_seconds(c, data_type)
+    return c.cast("double")
 
 
-def _text_bars(counts: DataFrame) -> DataFrame:
-    """``(idx, count)``: counts in key order when at most 8 values, else the 8 largest counts."""
-    top = counts.orderBy(F.desc("n"), F.asc("v")).limit(BINS + 1)
-    few = F.size("a") <= BINS
-    return (
-        top.agg(F.collect_list(F.struct("v", "n")).alias("a"))
-        .select(
-            F.when(few, F.transform(F.array_sort("a"), lambda s: s["n"])).otherwise(
-                F.slice(F.sort_array(F.transform("a", lambda s: s["n"]), asc=False), 1, BINS)
-            ).alias("bars")
-        )
-        .select(F.posexplode("bars").alias("idx", "count"))
+def _numeric_bars(df: DataFrame, f: T.StructField) -> Column:
+    """Counts per distinct value when at most 8, else counts of 8 equal-width bins.
+
+    The bins are plain conditional counts of the rows; only the distinct values need a shuffle.
+    NaN and infinities are left out.
+    """
+    x = _number(col(f.name), f.dataType)
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    kept = df.where(finite).select(x.alias("x"))
+    bounds = kept.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    low, high = F.col("b.lo"), F.col("b.hi")
+    at = F.least(F.floor((F.col("x") - low) / ((high - low) / BINS)).cast("int"), F.lit(BINS - 1))
+    placed = kept.select("x", bounds.alias("b")).select(F.when(low < high, at).alias("at"))
+    bins = placed.agg(F.array(*[F.count_if(F.col("at") == i) for i in range(BINS)])).scalar()
+
+    counts, number = _present(df, f), _number(F.col("v"), f.dataType)
+    whole = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    smallest = counts.where(F.when(F.col("n") > 0, whole)).orderBy("v").limit(BINS + 1)
+    few = smallest.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("a")).select(
+        F.when(F.size("a") <= BINS, F.transform("a", lambda s: s["n"]))
     )
+    return F.coalesce(few.scalar(), bins)
+
+
+def _text_bars(df: DataFrame, f: T.StructField) -> Column:
+    """Counts in key order when there are at most 8 values, else the 8 largest counts."""
+    top = _present(df, f).orderBy(F.desc("n"), F.asc("v")).limit(BINS + 1)
+    largest = F.sort_array(F.transform("a", lambda s: s["n"]), asc=False)
+    bars = F.when(
+        F.size("a") <= BINS, F.transform(F.array_sort("a"), lambda s: s["n"])
+    ).otherwise(F.slice(largest, 1, BINS))
+    return top.agg(F.collect_list(F.struct("v", "n")).alias("a")).select(bars).scalar()
+
+
+def _boolean_bars(df: DataFrame, f: T.StructField) -> Column:
+    c = col(f.name)
+    pair = F.array(F.count_if(~c), F.count_if(c))
+    return df.agg(F.when(F.count(c) > 0, pair)).scalar()
 
 
-def _bars(df: DataFrame, f: T.StructField) -> DataFrame:
-    kind, c = app_type(f.dataType), col(f.name)
+def _bars(df: DataFrame, f: T.StructField) -> Column:
+    kind = app_type(f.dataType)
     if kind == "boolean":
-        pair = F.when(
-            F.count(c) > 0, F.array(F.count_if(~c), F.count_if(c))
-        ).otherwise(F.array().cast("array<bigint>"))
-        return df.agg(pair.alias("bars")).select(F.posexplode("bars").alias("idx", "count"))
-    if kind in ("integer", "float"):
-        value = c.cast("double")
-        kept = df.where(c.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-        return _numeric_bars(value_counts(kept, value))
-    if kind == "date":
-        value = _epoch_seconds(c, f.dataType)
-        return _numeric_bars(value_counts(df.where(c.isNotNull()), value))
-    return _text_bars(value_counts(df.where(c.isNotNull()), as_text(c, f.dataType)))
+        bars = _boolean_bars(df, f)
+    elif kind == "string":
+        bars = _text_bars(df, f)
+    else:
+        bars = _numeric_bars(df, f)
+    return F.coalesce(bars, F.array().cast("array<bigint>"))
 
 
 def sparklines(
@@ -167,27 +186,30 @@ def sparklines(
     All rows count by default; ``max_rows`` takes one deterministic sample for all columns.
     """
     chosen = _chosen(df, columns)
-    if max_rows is not None:
-        df = sample_rows(df, max_rows, ROWID, df.count())
+    source, one = _sampled(df, max_rows), df.sparkSession.range(1)
     parts = [
-        _bars(df, f).select(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column"), "idx", "count"
+        one.select(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column"), _bars(source, f).alias("bars")
         )
         for i, f in chosen
     ]
-    return _union(parts)
+    return _union(parts).select("position", "column", F.posexplode("bars").alias("idx", "count"))
+
+
+def _sampled(df: DataFrame, max_rows: int | None) -> DataFrame:
+    return df if max_rows is None else sample_rows(df, max_rows, ROWID, df.count())
 
 
 def schema_overview(
     df: DataFrame, columns: Sequence[str] | None = None, max_rows: int | None = None
 ) -> DataFrame:
-    """The overview with each column's sparkline as an array, ``[]`` where nothing can be drawn."""
-    bars = (
-        sparklines(df, columns, max_rows)
-        .groupBy("position")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "count"))).alias("bars"))
-        .select("position", F.transform("bars", lambda b: b["count"]).alias("sparkline"))
-    )
-    empty = F.array().cast("array<bigint>")
-    joined = overview(df, columns).join(bars, "position", "left")
-    return joined.withColumn("sparkline", F.coalesce("sparkline", empty)).orderBy("position")
+    """The overview with each column's sparkline as an array, ``[]`` where nothing can be drawn.
+
+    Without sampling the sparkline reads the same shuffled value counts as the distinct count.
+    """
+    source = _sampled(df, max_rows)
+    parts = [
+        _facts(df, i, f, _bars(source, f).alias("sparkline"))
+        for i, f in _chosen(df, columns)
+    ]
+    return _described(_union(parts))

@@ -16,7 +16,12 @@ from gleanframe.apptypes import ROWID, app_type, field_map
 from gleanframe.functions import text
 from gleanframe.functions.columns import as_text, col, display_text
 from gleanframe.functions.numbers import finite, pct, round_to, share
-from gleanframe.operators.order_stats import BUFFERED_ROWS, quantiles, sample_rows
+from gleanframe.operators.order_stats import (
+    ORDERED_VALUES,
+    orderable_in_one_task,
+    quantiles,
+    sample_rows,
+)
 from gleanframe.operators.value_counts import ranked, rows_in, value_counts
 
 # Thresholds and sizes of the profile.
@@ -31,14 +36,14 @@ LOW_TAIL_PCT, MEDIUM_TAIL_PCT = 70, 40
 class Profile:
     """Profile of one column; every property is a lazy DataFrame.
 
-    ``max_rows`` profiles a deterministic sample when the table is larger. ``buffered_rows`` is the
-    row count up to which quantiles are computed in one aggregation buffer.
+    ``max_rows`` profiles a deterministic sample when the table is larger. ``ordered_values`` is the
+    number of distinct values up to which one task orders them for the quantiles.
     """
 
     table: DataFrame
     column: str
     max_rows: int | None = None
-    buffered_rows: int = BUFFERED_ROWS
+    ordered_values: int = ORDERED_VALUES
 
     def __post_init__(self):
         if self.column not in field_map(self.table):
@@ -159,23 +164,32 @@ class Profile:
     @cached_property
     def _quantiles(self) -> DataFrame:
         """One row, column ``q``: the quantiles, rounded to 4 decimals as all thresholds are."""
-        values = self._numbers.select(F.col("v").cast("double").alias("v"))
-        limit = self.max_rows if self.sampled else self.total_rows
-        raw = quantiles(values, QUANTILES, limit, self.buffered_rows)
+        v = F.col("v").cast("double").alias("v")
+        raw = quantiles(
+            self._numbers.select(v), self._present.select(v, "n"), QUANTILES, self._few_values
+        )
         return raw.select(F.transform("q", lambda x: finite(round_to(x, 4))).alias("q"))
 
+    @cached_property
+    def _few_values(self) -> bool:
+        rows = self.max_rows if self.sampled else self.total_rows
+        return orderable_in_one_task(self._numbers, rows, self.ordered_values)
+
     def numeric_stats(self) -> DataFrame:
         """Moments, quantiles, uniqueness, zero/negative rates, outliers and tails: one row."""
-        q = self._quantiles.scalar()
-        p5, p25, p50, p75, p95, p99 = (F.get(q, F.lit(i)) for i in range(len(QUANTILES)))
+        # the quantiles are planned once, as a column next to the values
+        numbers = self._numbers.select("v", self._quantiles.scalar().alias("q"))
+        at = lambda i: F.get("q", F.lit(i))
+        p5, p25, p75, p95 = at(0), at(1), at(3), at(4)
         x = F.col("v").cast("double")
         exact = F.col("v").cast("decimal(38,0)") if self.type == "integer" else F.col("v")
         spread = p75 - p25
         outside = (x < p25 - 1.5 * spread) | (x > p75 + 1.5 * spread)
         distinct = self._distinct
         rows = F.count(F.lit(1))
-        raw = self._numbers.agg(
+        raw = numbers.agg(
             rows.alias("rows"),
+            F.any_value("q").alias("q"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
             F.sum(exact).cast("double").alias("sum"),
@@ -186,9 +200,9 @@ class Profile:
             F.count_if(outside).alias("outlier_count"),
             F.count_if(x < p5).alias("low_tail_count"),
             F.count_if(x > p95).alias("high_tail_count"),
-        )
+        ).select("*", distinct.alias("distinct_count"))
         n = F.col("rows")
-        unique_pct = pct(distinct, n)
+        unique_pct = pct(F.col("distinct_count"), n)
         rate = lambda c: F.when(n > 0, pct(F.col(c), n))
         rounded = lambda c: finite(round_to(F.col(c), 4)).alias(c)
         return raw.select(
@@ -196,15 +210,15 @@ class Profile:
             finite(F.col("max")).alias("max"),
             rounded("sum"),
             rounded("mean"),
-            p50.alias("median"),
+            at(2).alias("median"),
             rounded("stddev"),
             p5.alias("p5"),
             p25.alias("p25"),
             p75.alias("p75"),
             p95.alias("p95"),
-            p99.alias("p99"),
+            at(5).alias("p99"),
             spread.alias("iqr"),
-            distinct.alias("distinct_count"),
+            "distinct_count",
             F.when(n > 0, unique_pct).alias("uniqueness_rate_pct"),
             F.when(n > 0, round_to(F.lit(100.0) - unique_pct, 2)).alias("duplicate_rate_pct"),
             rate("zeros").alias("zero_rate_pct"),
@@ -220,11 +234,13 @@ class Profile:
     def tail_values(self) -> DataFrame:
         """``(tail, value, count)``: the 5 most frequent values below p5 and above p95."""
         self._require("integer", "float")
-        q = self._quantiles.scalar()
-        p5, p95 = F.get(q, F.lit(0)), F.get(q, F.lit(4))
+        ends = self._quantiles.select(F.struct(F.get("q", F.lit(0)).alias("p5"), F.get("q", F.lit(4)).alias("p95")))
+        p5, p95 = ends.scalar()["p5"], ends.scalar()["p95"]
         x = F.col("v").cast("double")
+        # few values: their one shuffle serves the tails too; else shuffle only the tails
+        tail_of = self._present_where if self._few_values else self._present.where
         parts = [
-            ranked(self._present.where(kept), TAIL_VALUES).select(
+            ranked(tail_of(kept), TAIL_VALUES).select(
                 F.lit(tail).alias("tail"), self._shown().alias("value"), F.col("n").alias("count")
             )
             for tail, kept in (("low", x < p5), ("high", x > p95))
@@ -242,19 +258,22 @@ class Profile:
         x = F.col("v").cast("double")
         kept = self._numbers.where(~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.alias("x"))
         bounds = kept.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-        low, width = bounds["lo"], (bounds["hi"] - bounds["lo"]) / HISTOGRAM_BINS
-        bin_ = F.least(F.floor((F.col("x") - low) / width).cast("int"), F.lit(HISTOGRAM_BINS - 1))
-        edge = low + F.col("bin") * width
-        return (
-            kept.where(bounds["lo"] < bounds["hi"])
-            .groupBy(bin_.alias("bin"))
+        low, high = F.col("b.lo"), F.col("b.hi")
+        width = (high - low) / HISTOGRAM_BINS
+        at = F.least(F.floor((F.col("x") - low) / width).cast("int"), F.lit(HISTOGRAM_BINS - 1))
+        bins = (
+            kept.select("x", bounds.alias("b"))
+            .select(F.when(low < high, at).alias("bin"))
+            .groupBy("bin")
             .agg(F.count(F.lit(1)).alias("count"))
-            .select(
-                "bin",
-                round_to(edge, 4).alias("low"),
-                round_to(edge + width, 4).alias("high"),
-                "count",
-            )
+            .where(F.when(F.col("count") > 0, F.col("bin").isNotNull()))
+        )
+        edge = low + F.col("bin") * width
+        return bins.select("*", bounds.alias("b")).select(
+            "bin",
+            round_to(edge, 4).alias("low"),
+            round_to(edge + width, 4).alias("high"),
+            "count",
         )
 
     # ---- strings ----------------------------------------------------------------------------
@@ -269,8 +288,9 @@ class Profile:
         )
 
     @cached_property
-    def _lengths(self) -> Column:
-        """Mean and population standard deviation of the text length, from exact integer sums."""
+    def _measured(self) -> DataFrame:
+        """Value counts with ``m``, the mean and population standard deviation of the text length,
+        from exact integer sums."""
         size, n = F.length("v").cast("decimal(10,0)"), F.col("n").cast("decimal(18,0)")
         sums = self._present.agg(
             F.sum("n").alias("rows"),
@@ -280,19 +300,18 @@ class Profile:
         rows, s1 = F.col("rows").cast("double"), F.col("s1").cast("double")
         mean = s1 / rows
         spread = F.greatest(F.col("s2").cast("double") / rows - mean * mean, F.lit(0.0))
-        return sums.select(
-            F.struct(mean.alias("mean"), F.sqrt(spread).alias("stddev"))
-        ).scalar()
+        lengths = sums.select(F.struct(mean.alias("mean"), F.sqrt(spread).alias("stddev"))).scalar()
+        return self._present.select("v", "n", lengths.alias("m"))
 
     def _length_outlier(self) -> Column:
-        off = F.abs(F.length("v") - self._lengths["mean"])
-        return (self._lengths["stddev"] > 0) & (off > 2 * self._lengths["stddev"])
+        off = F.abs(F.length("v") - F.col("m.mean"))
+        return (F.col("m.stddev") > 0) & (off > 2 * F.col("m.stddev"))
 
     def string_stats(self) -> DataFrame:
         """Lengths, blanks, sentinels, length outliers, shapes and top-10 coverage: one row."""
         self._require("string")
         v, n = F.col("v"), F.col("n")
-        raw = self._present.agg(
+        raw = self._measured.agg(
             rows_in(n).alias("rows"),
             F.min(F.length(v)).alias("min_length"),
             F.max(F.length(v)).alias("max_length"),
@@ -348,9 +367,9 @@ class Profile:
     def length_outliers(self) -> DataFrame:
         """``(example, length, distance)``: the 5 values furthest from the mean length, cut for display."""
         self._require("string")
-        off = F.abs(F.length("v") - self._lengths["mean"])
+        off = F.abs(F.length("v") - F.col("m.mean"))
         return (
-            self._present_where(self._length_outlier())
+            self._measured.where(F.when(F.col("n") > 0, self._length_outlier()))
             .orderBy(off.desc(), F.asc("v"))
             .limit(EXAMPLES)
             .select(

@@ -20,6 +20,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "gleanfr
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # wide profiles build hundreds of column expressions; recording a call site for each is slow
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -121,7 +121,7 @@ QUERIES = {
     ),
     "display_columns": (
         lambda spark, folder: display(table(spark, folder, "events")),
-        "SELECT event_id, strftime(ts, CASE WHEN microsecond(ts) % 1000000 = 0 THEN '%Y-%m-%d %H:%M:%S' "
-        "ELSE '%Y-%m-%d %H:%M:%S.%f' END) AS ts, user_id, event_type, value, props FROM events",
+        "SELECT event_id, CASE WHEN microsecond(ts) % 1000000 = 0 "
+        "THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS ts, user_id, event_type, value, props FROM events",
     ),
 }

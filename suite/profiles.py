@@ -274,7 +274,7 @@ QUERIES = {
     ),
     "profile_numeric_nulls": (_of(judged, "quality", "numeric_stats"), _numeric(JUDGED_SQL, "quality")),
     "profile_numeric_rank_select": (
-        _of("lineitem", "l_extendedprice", "numeric_stats", buffered_rows=0),
+        _of("lineitem", "l_extendedprice", "numeric_stats", ordered_values=0),
         _numeric("lineitem", "l_extendedprice"),
     ),
     "profile_tail_values": (
