@@ -1,13 +1,12 @@
 """Schema overview: type, null and distinct counts, and a sparkline per column.
 
-Each column is its own small plan over only its own Parquet column, and the plans are unioned into
-one job: together they read every column once, and no row is expanded once per column.
+Each column is its own small plan over only its own Parquet column: together they read every column
+once, run side by side, and no row is expanded once per column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -33,16 +32,12 @@ def _chosen(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[int, T.S
     return list(enumerate(chosen))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, parts)
-
-
 def column_types(df: DataFrame) -> dict[str, str]:
     """Application type of every visible column."""
     return {name: app_type(f.dataType) for name, f in field_map(df).items()}
 
 
-def _described(rows: DataFrame) -> DataFrame:
+def _banded(rows: DataFrame) -> DataFrame:
     null_pct = share(F.col("null_count"), F.col("total_count"))
     band = (
         F.when(null_pct >= NULL_ERROR_PCT, "error")
@@ -58,29 +53,36 @@ def _present(df: DataFrame, f: T.StructField) -> DataFrame:
     return value_counts(df.where(col(f.name).isNotNull()), c)
 
 
-def _facts(df: DataFrame, i: int, f: T.StructField, *more: Column) -> DataFrame:
-    """One row about one column; every fact is a scalar subquery over that column alone."""
+def _named(i: int, f: T.StructField, *facts: Column) -> Column:
+    return F.struct(
+        F.lit(i).alias("position"),
+        F.lit(f.name).alias("column"),
+        F.lit(app_type(f.dataType)).alias("type"),
+        *facts,
+    )
+
+
+def _rows(df: DataFrame, structs: list[Column]) -> DataFrame:
+    """One row per struct. Every fact in it is a scalar subquery over its own column alone."""
+    one = df.sparkSession.range(1).select(F.array(*structs).alias("columns"))
+    return one.select(F.inline_outer("columns"))
+
+
+def _counts(df: DataFrame, f: T.StructField) -> tuple[Column, Column]:
     counted = _present(df, f).agg(
         F.struct(
             F.count("v").alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
         )
     )
-    raw = df.sparkSession.range(1).select(
-        F.lit(i).alias("position"),
-        F.lit(f.name).alias("column"),
-        F.lit(app_type(f.dataType)).alias("type"),
-        df.agg(F.count(F.lit(1))).scalar().alias("total_count"),
-        counted.scalar().alias("present"),
-        *more,
-    )
-    return raw.select(
-        "position",
-        "column",
-        "type",
-        "total_count",
-        (F.col("total_count") - F.col("present.rows")).alias("null_count"),
-        F.col("present.values").alias("unique_count"),
-        *raw.columns[5:],
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return total.alias("total_count"), counted.scalar().alias("present")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    nulls = (F.col("total_count") - F.col("present.rows")).alias("null_count")
+    unique = F.col("present.values").alias("unique_count")
+    return _banded(
+        rows.select("position", "column", "type", "total_count", nulls, unique, *rows.columns[5:])
     )
 
 
@@ -94,8 +96,8 @@ def overview(
     """
     chosen = _chosen(df, columns)
     if approximate:
-        return _described(_approximate(df, chosen))
-    return _described(_union([_facts(df, i, f) for i, f in chosen]))
+        return _banded(_approximate(df, chosen))
+    return _described(_rows(df, [_named(i, f, *_counts(df, f)) for i, f in chosen]))
 
 
 def _approximate(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> DataFrame:
@@ -103,10 +105,9 @@ def _approximate(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> Data
     for i, f in chosen:
         c = comparable(col(f.name), f.dataType)
         cells.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(app_type(f.dataType)).alias("type"),
+            _named(
+                i,
+                f,
                 F.count(F.lit(1)).alias("total_count"),
                 F.count_if(c.isNull()).alias("null_count"),
                 F.approx_count_distinct(c, 0.02).alias("unique_count"),
@@ -186,14 +187,11 @@ def sparklines(
     All rows count by default; ``max_rows`` takes one deterministic sample for all columns.
     """
     chosen = _chosen(df, columns)
-    source, one = _sampled(df, max_rows), df.sparkSession.range(1)
-    parts = [
-        one.select(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column"), _bars(source, f).alias("bars")
-        )
-        for i, f in chosen
-    ]
-    return _union(parts).select("position", "column", F.posexplode("bars").alias("idx", "count"))
+    source = _sampled(df, max_rows)
+    rows = _rows(df, [_named(i, f, _bars(source, f).alias("bars")) for i, f in chosen])
+    # the outer form: for the inner one Spark would copy the subqueries into a filter on the array
+    bars = F.posexplode_outer("bars").alias("idx", "count")
+    return rows.select("position", "column", bars).where(F.col("idx").isNotNull())
 
 
 def _sampled(df: DataFrame, max_rows: int | None) -> DataFrame:
@@ -208,8 +206,8 @@ def schema_overview(
     Without sampling the sparkline reads the same shuffled value counts as the distinct count.
     """
     source = _sampled(df, max_rows)
-    parts = [
-        _facts(df, i, f, _bars(source, f).alias("sparkline"))
+    facts = [
+        _named(i, f, *_counts(df, f), _bars(source, f).alias("sparkline"))
         for i, f in _chosen(df, columns)
     ]
-    return _described(_union(parts))
+    return _described(_rows(df, facts))

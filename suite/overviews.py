@@ -86,7 +86,8 @@ def _sparklines(name, *columns):
 
 def _schema(spark, folder):
     full = schema_overview(judged(spark, folder))
-    return full.select("column", "null_band", F.posexplode("sparkline").alias("idx", "count"))
+    bars = F.posexplode_outer("sparkline").alias("idx", "count")
+    return full.select("column", "null_band", bars).where("idx is not null")
 
 
 _JUDGED_BARS = (
