@@ -281,10 +281,12 @@ class Profile:
     def top_values(self, rows: int = TOP_VALUES) -> DataFrame:
         """``(value, count, share_pct)``: most frequent values, their share with one decimal."""
         filled = self._present.agg(F.sum("n").alias("n")).scalar()
-        return ranked(self._present, rows).select(
+        # the subquery is planned once, as a column
+        top = ranked(self._present, rows).select("v", "n", filled.alias("filled"))
+        return top.select(
             self._shown().alias("value"),
             F.col("n").alias("count"),
-            pct(F.col("n"), filled, 1).alias("share_pct"),
+            pct(F.col("n"), F.col("filled"), 1).alias("share_pct"),
         )
 
     @cached_property
@@ -388,8 +390,10 @@ class Profile:
             .agg(F.sum("n").alias("count"))
         )
         total = classes.agg(F.sum("count").alias("n")).scalar()
-        return classes.select("label", "count", pct(F.col("count"), total).alias("share_pct")).orderBy(
-            F.desc("count"), F.asc("label")
+        return (
+            classes.select("*", total.alias("total"))
+            .select("label", "count", pct(F.col("count"), F.col("total")).alias("share_pct"))
+            .orderBy(F.desc("count"), F.asc("label"))
         )
 
     # ---- dates ------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from gleanframe.apptypes import ROWID, app_type, field_map
 from gleanframe.functions.columns import col, comparable
 from gleanframe.plans.filters import COMPARISONS, predicate
 from gleanframe.plans.table_query import Aggregation, TableQuery
-from gleanframe.plans.values import exact, literal
+from gleanframe.plans.values import exact, is_huge, literal
 
 
 def _aggregate(a: Aggregation, fields: Mapping[str, T.StructField]) -> Column:
@@ -101,6 +101,8 @@ def table_query_sql(df: DataFrame, spec: Mapping[str, Any], table: str = "data")
         if f.operator in ("in", "not_in"):
             marks = ", ".join(mark(v, data_type) for v in f.value)
             return f"{name} {'IN' if f.operator == 'in' else 'NOT IN'} ({marks})"
+        if is_huge(f.value):
+            name = f"CAST({name} AS DECIMAL(38,0))"
         if f.operator in COMPARISONS:
             return f"{name} {f.operator} {mark(f.value, data_type)}"
         call = {"contains": "contains", "starts_with": "startswith", "ends_with": "endswith"}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleanframe.apptypes import OPERATORS, app_type, field_map
 from gleanframe.functions.columns import as_text, col
-from gleanframe.plans.values import coerce, coerce_list, literal
+from gleanframe.plans.values import coerce, coerce_list, is_huge, literal
 
 COMPARISONS = {"=": op.eq, "!=": op.ne, ">": op.gt, "<": op.lt, ">=": op.ge, "<=": op.le}
 
@@ -55,6 +55,8 @@ class Filter:
         if self.operator in ("in", "not_in"):
             hit = c.isin([literal(v, data_type) for v in self.value])
             return hit if self.operator == "in" else ~hit
+        if is_huge(self.value):
+            c = c.cast("decimal(38,0)")
         if self.operator in COMPARISONS:
             return COMPARISONS[self.operator](c, literal(self.value, data_type))
         text, needle = F.lower(c), F.lower(F.lit(self.value))

@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "gleanframe") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     partitions = "8" if cpus == "*" else str(cpus)
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        .appName("gleanframe")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
@@ -22,8 +24,10 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "gleanfr
         .config("spark.ui.enabled", "false")
         # wide profiles build hundreds of column expressions; recording a call site for each is slow
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
