@@ -1,6 +1,6 @@
 """Time the headline queries: ``BENCH_SF_DIR`` and ``BENCH_CPUS`` choose the data and the cores.
 
-Every result is written whole to the noop sink. Each query runs ``BENCH_RUNS`` times (default 2)
+Every result is written whole to the noop sink. Each query runs ``BENCH_RUNS`` times (default 3)
 and its best time counts, so that class loading and code generation of the first run do not.
 """
 
@@ -48,7 +48,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 1))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, memory="16g")
     spark.sparkContext.setLogLevel("ERROR")

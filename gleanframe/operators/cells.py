@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import sys
 import threading
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import redirect_stdout
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from gleanframe.apptypes import ROWID, visible_fields
 from gleanframe.functions.columns import col, display_text
+from gleanframe.functions.numbers import finite
 
 DATA_VIEW = "data"
 PREVIEW_ROWS = 1000
@@ -45,15 +49,17 @@ def transform(df: DataFrame, fn: Callable[[DataFrame], Any]) -> DataFrame:
     """Apply a Python function over Spark frames: the result as a frame.
 
     A frame stays a frame, a column becomes a one-column frame ``value``, anything else one row of
-    text in ``text_output``.
+    text in ``text_output``: what the function printed, then its result.
     """
-    result = fn(df.drop(ROWID))
-    if isinstance(result, DataFrame):
-        return result
-    if isinstance(result, Column):
-        return df.drop(ROWID).select(result.alias("value"))
-    text = None if result is None else str(result)
-    return df.sparkSession.range(1).select(F.lit(text).cast("string").alias("text_output"))
+    source, printed = df.drop(ROWID), io.StringIO()
+    with redirect_stdout(printed):
+        result = fn(source)
+    if isinstance(result, (DataFrame, Column)):
+        sys.stdout.write(printed.getvalue())
+        return result if isinstance(result, DataFrame) else source.select(result.alias("value"))
+    parts = [printed.getvalue().strip(), "" if result is None else str(result)]
+    text = "\n".join(p for p in parts if p)
+    return df.sparkSession.range(1).select(F.lit(text).alias("text_output"))
 
 
 def transform_batches(
@@ -65,18 +71,28 @@ def transform_batches(
     return df.drop(ROWID).mapInPandas(fn, schema)
 
 
-def display(df: DataFrame) -> DataFrame:
-    """The columns as shown: numbers, text and booleans as they are, everything else as text."""
-    plain = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    plain += (T.FloatType, T.DoubleType)
-    return df.select(
-        *[
-            col(f.name)
-            if isinstance(f.dataType, plain)
-            else display_text(col(f.name), f.dataType).alias(f.name)
-            for f in visible_fields(df)
-        ]
-    )
+_FLOATS = (T.FloatType, T.DoubleType)
+_PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _shown(f: T.StructField, python: bool) -> Column:
+    c = col(f.name)
+    if isinstance(f.dataType, _FLOATS):
+        return finite(c).alias(f.name) if python else c
+    if isinstance(f.dataType, _PLAIN):
+        return c
+    text = display_text(c, f.dataType)
+    if python and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+        text = F.replace(text, F.lit(" "), F.lit("T"))
+    return text.alias(f.name)
+
+
+def display(df: DataFrame, python: bool = False) -> DataFrame:
+    """The columns as shown: numbers, text and booleans as they are, everything else as text.
+
+    ``python`` shows the results of Python cells: NaN and infinities as null, ISO timestamps.
+    """
+    return df.select(*[_shown(f, python) for f in visible_fields(df)])
 
 
 @dataclass(frozen=True)
@@ -86,7 +102,7 @@ class Preview:
     row_count: int
 
 
-def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> Preview:
+def preview(df: DataFrame, rows: int = PREVIEW_ROWS, python: bool = False) -> Preview:
     """The first rows on the driver (at most ``rows``) and the full row count."""
-    shown = display(df)
+    shown = display(df, python)
     return Preview(shown.columns, shown.limit(rows).collect(), df.count())

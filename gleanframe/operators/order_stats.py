@@ -200,9 +200,10 @@ def _ordered_quantiles(counts: DataFrame, probabilities: Sequence[float]) -> Dat
     return found.select(F.when(F.col("rows").isNotNull(), F.array(*cells)).alias("q"))
 
 
-def _selected_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+def _selected_quantiles(
+    values: DataFrame, probabilities: Sequence[float], rows: int
+) -> DataFrame:
     """Quantiles by rank selection over the rows, in a few passes without a shuffle of values."""
-    rows = values.count()
     places = [p * (rows - 1) for p in probabilities]
     keys = rank_select(values, [(F.col("v"), T.DoubleType())], [int(h) for h in places], rows)
     lower = [key_literal(k, T.DoubleType()) for (k,) in keys]
@@ -219,24 +220,33 @@ def _selected_quantiles(values: DataFrame, probabilities: Sequence[float]) -> Da
     return values.sparkSession.range(1).select(F.array(*cells).alias("q"))
 
 
-def orderable_in_one_task(values: DataFrame, rows: int, limit: int = ORDERED_VALUES) -> bool:
-    """Whether the distinct values of ``v`` are few: by the row count, else by an estimate."""
+@dataclass(frozen=True)
+class Size:
+    """Rows of a column (an upper bound when ``few``) and whether one task may order its values."""
+
+    rows: int
+    few: bool
+
+
+def size_of(values: DataFrame, rows: int, limit: int = ORDERED_VALUES) -> Size:
+    """Decide by the row count of the table, or else by one pass that counts without shuffling."""
     if rows <= limit:
-        return True
-    return values.agg(F.approx_count_distinct("v")).first()[0] <= limit * 0.8
+        return Size(rows, True)
+    filled, distinct = values.agg(F.count("v"), F.approx_count_distinct("v")).first()
+    return Size(filled, filled == 0 or distinct <= limit * 0.8)
 
 
 def quantiles(
-    values: DataFrame, counts: DataFrame, probabilities: Sequence[float], few: bool
+    values: DataFrame, counts: DataFrame, probabilities: Sequence[float], size: Size
 ) -> DataFrame:
     """One row with the array ``q`` of linearly interpolated quantiles of the double column ``v``.
 
-    ``values`` are the rows and ``counts`` their value counts ``(v, n)``, without nulls; ``few``
-    tells whether the counts may be ordered in one task. NaN ranks above everything.
+    ``values`` are the rows and ``counts`` their value counts ``(v, n)``, without nulls. NaN ranks
+    above everything.
     """
-    if few or values.isEmpty():
+    if size.few:
         return _ordered_quantiles(counts, probabilities)
-    return _selected_quantiles(values, probabilities)
+    return _selected_quantiles(values, probabilities, size.rows)
 
 
 def sample_rows(df: DataFrame, rows: int, rowid: str, total: int, seed: int = 0) -> DataFrame:

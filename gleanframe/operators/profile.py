@@ -18,9 +18,10 @@ from gleanframe.functions.columns import as_text, col, display_text
 from gleanframe.functions.numbers import finite, pct, round_to, share
 from gleanframe.operators.order_stats import (
     ORDERED_VALUES,
-    orderable_in_one_task,
+    Size,
     quantiles,
     sample_rows,
+    size_of,
 )
 from gleanframe.operators.value_counts import ranked, rows_in, value_counts
 
@@ -166,14 +167,14 @@ class Profile:
         """One row, column ``q``: the quantiles, rounded to 4 decimals as all thresholds are."""
         v = F.col("v").cast("double").alias("v")
         raw = quantiles(
-            self._numbers.select(v), self._present.select(v, "n"), QUANTILES, self._few_values
+            self._numbers.select(v), self._present.select(v, "n"), QUANTILES, self._size
         )
         return raw.select(F.transform("q", lambda x: finite(round_to(x, 4))).alias("q"))
 
     @cached_property
-    def _few_values(self) -> bool:
+    def _size(self) -> Size:
         rows = self.max_rows if self.sampled else self.total_rows
-        return orderable_in_one_task(self._numbers, rows, self.ordered_values)
+        return size_of(self._numbers, rows, self.ordered_values)
 
     def numeric_stats(self) -> DataFrame:
         """Moments, quantiles, uniqueness, zero/negative rates, outliers and tails: one row."""
@@ -238,7 +239,7 @@ class Profile:
         p5, p95 = ends.scalar()["p5"], ends.scalar()["p95"]
         x = F.col("v").cast("double")
         # few values: their one shuffle serves the tails too; else shuffle only the tails
-        tail_of = self._present_where if self._few_values else self._present.where
+        tail_of = self._present_where if self._size.few else self._present.where
         parts = [
             ranked(tail_of(kept), TAIL_VALUES).select(
                 F.lit(tail).alias("tail"), self._shown().alias("value"), F.col("n").alias("count")

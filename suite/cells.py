@@ -84,7 +84,7 @@ QUERIES = {
     ),
     "sql_ranking_window": _cell(
         "part",
-        "SELECT p_partkey, p_brand, r FROM (SELECT p_partkey, p_brand, ROW_NUMBER() OVER "
+        "SELECT p_partkey, p_brand, CAST(r AS BIGINT) AS r FROM (SELECT p_partkey, p_brand, ROW_NUMBER() OVER "
         "(PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM data) x WHERE r <= 3",
     ),
     "sql_framed_window": _cell(

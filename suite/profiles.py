@@ -55,9 +55,9 @@ def _counts(source, c):
 def _universal(source, c):
     return f"""WITH b AS (SELECT count(*) AS sample_size, count({c}) AS non_null_count,
     count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count FROM {source} t),
-  r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS r, max(n) OVER () AS top,
-    count(*) FILTER (r2 = 1) OVER () AS leaders
-    FROM (SELECT v, n, rank() OVER (ORDER BY n DESC) AS r2 FROM {_counts(source, c)}))
+  c AS {_counts(source, c)},
+  r AS (SELECT min(v) AS v, any_value(n) AS top, count(*) AS leaders FROM c
+    WHERE n = (SELECT max(n) FROM c))
 SELECT sample_size, non_null_count, null_count, unique_count,
   {_pct('non_null_count', 'sample_size')} AS coverage_pct,
   {_pct('unique_count', 'non_null_count')} AS cardinality_pct,
@@ -69,7 +69,7 @@ SELECT sample_size, non_null_count, null_count, unique_count,
   CASE WHEN leaders > 1 THEN 'none' ELSE v::VARCHAR END AS dominant_value,
   top AS dominant_count,
   CASE WHEN leaders = 1 THEN {_pct('top', 'non_null_count')} END AS dominant_share_pct
-FROM b, r WHERE r.r = 1"""
+FROM b, r"""
 
 
 def _quantile(c, p):

@@ -31,7 +31,8 @@ def test_python_results(sales):
     assert frame.columns == ["id", "amount"] and frame.count() == 5
     assert transform(sales, lambda df: F.col("quantity") * 2).columns == ["value"]
     assert transform(sales, lambda df: (df.count(), len(df.columns))).first().text_output == "(35, 10)"
-    assert transform(sales, lambda df: None).first().text_output is None
+    assert transform(sales, lambda df: print("seen", df.count())).first().text_output == "seen 35"
+    assert transform(sales, lambda df: [print("a"), 1][1]).first().text_output == "a\n1"
     with pytest.raises(Exception, match="missing_col"):
         transform(sales, lambda df: df.select("missing_col"))
 
@@ -40,6 +41,9 @@ def test_preview(sales):
     shown = preview(sales, 4)
     assert (len(shown.rows), shown.row_count, shown.columns) == (4, 35, sales.columns)
     assert isinstance(shown.rows[0].day, str) and isinstance(shown.rows[0].amount, float)
+    odd = sales.selectExpr("CAST('NaN' AS DOUBLE) AS x", "CAST(day AS TIMESTAMP_NTZ) AS at").limit(1)
+    assert tuple(preview(odd, python=True).rows[0]) == (None, "2024-01-02T00:00:00")
+    assert str(preview(odd).rows[0].x) == "nan"
 
 
 SPEC = {
