@@ -119,7 +119,12 @@ def _approximate(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> Data
 def _epoch_seconds(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.DateType):
         return F.unix_date(c).cast("double") * 86400.0
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(c) / F.lit(1e6)
+    # a timestamp without a zone, counted as it reads on the clock
+    minutes = F.unix_date(F.to_date(c)).cast("bigint") * 1440 + F.hour(c) * 60 + F.minute(c)
+    micros = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return (minutes * 60_000_000 + micros) / F.lit(1e6)
 
 
 def _number(c: Column, data_type: T.DataType) -> Column:

@@ -22,6 +22,8 @@ def _behind(pager, pages):
         p, cursor = pager(spark, folder), None
         for _ in range(pages):
             cursor = p.fetch(cursor).next_cursor
+            if cursor is None:  # no further page
+                return p.page().limit(0)
         return p.page(cursor)
 
     return run
