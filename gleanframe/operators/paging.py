@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, types as T
@@ -27,6 +29,8 @@ from gleanframe.plans.filters import check_filters, predicate
 DEFAULT_SIZE = 200
 MAX_SIZE = 10_000
 SHALLOW_ROWS = 100_000  # up to here a page is reached by a top-k with offset
+ROWID_SPANS = (4, 4_096, 16_777_216, None)  # row ids looked through per wanted row
+ID_RANGES = 64
 _KEY, _KEY_TEXT = "_sort_key", "_sort_key_text"
 
 
@@ -115,18 +119,49 @@ class Pager:
         return self.filtered.where(self._after(at.key, at.rowid))
 
     def fetch(self, cursor: str | None = None) -> FetchedPage:
-        """Rows of one page on the driver (at most 10,000) and the cursor of the next."""
-        found = self._take(self._rows(cursor), self.size + 1).collect()
-        rows, has_more = found[: self.size], len(found) > self.size
+        """Rows of one page on the driver (at most 10,000) and the cursor of the next.
+
+        Only filter and sort columns are scanned to find the page; its rows are then read by id.
+        """
+        anchors = self._anchors(cursor)
+        page, has_more = anchors[: self.size], len(anchors) > self.size
+        ids = [a[ROWID] for a in page]
+        rows = {}
+        if ids:
+            wanted = self.source.where(self._with_ids(ids))
+            whole = wanted.select(*[col(c) for c in self.columns], self.rowid).collect()
+            rows = {r[-1]: r[:-1] for r in whole}
         token = None
         if has_more:
-            last = rows[-1]
-            key = last[_KEY_TEXT] if self.sort is not None else None
-            token = Cursor(
-                self.sort, self.descending, last[ROWID], key, self.fingerprint
-            ).encode()
+            key = page[-1][_KEY_TEXT] if self.sort is not None else None
+            token = Cursor(self.sort, self.descending, ids[-1], key, self.fingerprint).encode()
         visible = Row(*self.columns)
-        return FetchedPage([visible(*r[: len(self.columns)]) for r in rows], has_more, token)
+        return FetchedPage([visible(*rows[i]) for i in ids], has_more, token)
+
+    def _anchors(self, cursor: str | None) -> list[Row]:
+        """Row id and sort key of the page's rows and of one more."""
+        rows, limit = self._rows(cursor), self.size + 1
+        if self.sort is not None:
+            key = key_text(self.key, self.key_type).alias(_KEY_TEXT)
+            return rows.orderBy(*self._order()).limit(limit).select(self.rowid, key).collect()
+        # In row order the page usually lies right behind its start. An upper bound on the id lets
+        # Parquet skip the rest of the table; it grows until enough rows pass the filters.
+        start = Cursor.decode(cursor, None, False, self.fingerprint).rowid if cursor else -1
+        for span in ROWID_SPANS:
+            near = rows if span is None else rows.where(self.rowid <= start + span * limit)
+            found = near.orderBy(*self._order()).limit(limit).select(self.rowid).collect()
+            if len(found) == limit:
+                break
+        return found
+
+    def _with_ids(self, ids: Sequence[int]) -> Column:
+        """Rows with these ids; a few ranges around them let Parquet skip row groups."""
+        known = sorted(ids)
+        gaps = sorted(range(1, len(known)), key=lambda i: known[i - 1] - known[i])
+        starts = [0, *sorted(gaps[: ID_RANGES - 1])]
+        ends = [s - 1 for s in starts[1:]] + [len(known) - 1]
+        ranges = [self.rowid.between(known[a], known[b]) for a, b in zip(starts, ends)]
+        return reduce(or_, ranges) & self.rowid.isin(known)
 
     def has_more(self, cursor: str | None = None) -> DataFrame:
         """One row: rows on the page and whether another page follows."""

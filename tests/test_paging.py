@@ -76,6 +76,21 @@ def test_far_jumps_equal_cursor_pages(edge, column, direction):
         assert [r["id"] for r in pager.jump(page).collect()] == got
 
 
+def test_unsorted_pages_across_wide_gaps_of_ids(spark):
+    """Row ids jump by 2**33 from one written partition to the next."""
+    rows = spark.range(0, 300, 1, 6).select(F.monotonically_increasing_id().alias(ROWID), "id")
+    assert _walk(Pager(rows, size=70)) == list(range(300))
+    odd = Pager(rows, filters=[{"column": "id", "operator": ">=", "value": 280}], size=7)
+    assert _walk(odd) == list(range(280, 300))
+
+
+def test_rows_by_id_are_read_through_few_ranges(edge):
+    pager = Pager(edge, sort="k", size=10)
+    condition = pager._with_ids([i * i for i in range(500)])
+    plan = edge.where(condition)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" OR ") == 63 and " INSET " in plan
+
+
 def test_filters_counts_numbers_and_columns(edge):
     rows = edge.withColumn("id", F.col(ROWID))
     hot = [{"column": "k", "operator": "=", "value": "hot"}]
