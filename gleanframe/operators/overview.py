@@ -136,23 +136,33 @@ def _number(c: Column, data_type: T.DataType) -> Column:
 def _numeric_bars(df: DataFrame, f: T.StructField) -> Column:
     """Counts per distinct value when at most 8, else counts of 8 equal-width bins.
 
-    The bins are plain conditional counts of the rows; only the distinct values need a shuffle.
+    The bins are conditional counts of the rows, and a column is known to have more than 8 values
+    without a shuffle: k distinct values set at most k registers of the estimate, which therefore
+    cannot exceed k. Only columns with an estimate of at most 8 have their values counted.
     NaN and infinities are left out.
     """
     x = _number(col(f.name), f.dataType)
     finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
     kept = df.where(finite).select(x.alias("x"))
-    bounds = kept.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    bounds = kept.agg(
+        F.struct(
+            F.min("x").alias("lo"),
+            F.max("x").alias("hi"),
+            F.approx_count_distinct("x").alias("values"),
+        )
+    ).scalar()
     low, high = F.col("b.lo"), F.col("b.hi")
     at = F.least(F.floor((F.col("x") - low) / ((high - low) / BINS)).cast("int"), F.lit(BINS - 1))
     placed = kept.select("x", bounds.alias("b")).select(F.when(low < high, at).alias("at"))
-    bins = placed.agg(F.array(*[F.count_if(F.col("at") == i) for i in range(BINS)])).scalar()
+    tally = F.array(*[F.count_if(F.col("at") == i) for i in range(BINS)])
+    bins = placed.agg(F.when(F.count("at") > 0, tally)).scalar()
 
-    counts, number = _present(df, f), _number(F.col("v"), f.dataType)
+    candidates = df.where(bounds["values"] <= BINS)
+    counts, number = _present(candidates, f), _number(F.col("v"), f.dataType)
     whole = ~F.isnan(number) & (F.abs(number) < float("inf"))
     smallest = counts.where(F.when(F.col("n") > 0, whole)).orderBy("v").limit(BINS + 1)
     few = smallest.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("a")).select(
-        F.when(F.size("a") <= BINS, F.transform("a", lambda s: s["n"]))
+        F.when(F.size("a").between(1, BINS), F.transform("a", lambda s: s["n"]))
     )
     return F.coalesce(few.scalar(), bins)
 

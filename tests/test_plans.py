@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe import ROWID, Pager, Profile, apply_filters, overview, profile, table_query
+from gleanframe import ROWID, Pager, Profile, apply_filters, overview, profile, sparklines, table_query
 from suite import all_queries
 from tests.conftest import SMALL
 
@@ -97,6 +97,14 @@ def test_profile_shuffles_the_values_once(lineitem, column, shuffles):
     assert len(_shuffles_of_scans(profile(lineitem, column))) == shuffles
 
 
+def test_sparkline_counts_values_only_behind_the_estimate(lineitem):
+    """The rows whose values are counted pass a filter on the distinct estimate first."""
+    frame = sparklines(lineitem, ["l_extendedprice"])
+    frame.collect()
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert "values <= 8" in text
+
+
 def test_no_query_multiplies_rows(spark):
     """No cross product anywhere, and no global sort where a top-k is enough."""
     for name, run in all_queries().items():

@@ -58,6 +58,18 @@ def test_decimals_and_wide_sums(spark):
     assert Profile(df, "big").numeric_stats().first().sum == pytest.approx(20 * (2**63 - 1))
 
 
+def test_sparkline_at_the_edge_of_eight_values(spark):
+    """7, 8, 9 and many more distinct values, whatever their registers in the estimate."""
+    for k in (7, 8, 9, 10, 40):
+        for base in (0, 1000, 77_777):
+            values = [float(base + i * i) for i in range(k) for _ in range(i % 3 + 1)]
+            bars = _bars(_one(spark, values, "double"))
+            if k <= 8:
+                assert bars == [i % 3 + 1 for i in range(k)]
+            else:
+                assert len(bars) == 8 and sum(bars) == len(values)
+
+
 def test_outliers_and_tails(spark):
     values = [10.0] * 50 + [11.0] * 45 + [500.0, 500.0, 400.0, -300.0, -300.0]
     p = Profile(_one(spark, values, "double"), "v")
