@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import mixing, quality, url_filter
+from gleanframe.llm import decontaminate, mixing, quality, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -56,6 +56,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r"""
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
@@ -84,8 +90,18 @@ SELECT page_id, host, path, rule, coalesce(won, 'allow') AS verdict
 FROM p LEFT JOIN fits USING (host, path)"""
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, table(spark, folder, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_hits"
+    )
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_source_mixing": (op6_source_mixing, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
+    "op10_toxicity": (op10_toxicity, None),
 }
