@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import decontaminate, mixing, quality, toxicity, url_filter
+from gleanframe.llm import decontaminate, mixing, quality, token_files, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.encode_and_read(table(spark, folder, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     rules = url_filter.rule_table(spark, url_filter.RULES)
@@ -102,6 +106,7 @@ QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_source_mixing": (op6_source_mixing, None),
+    "op7_token_files": (op7_token_files, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
