@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import decontaminate, mixing, quality, token_files, toxicity, url_filter
+from gleanframe.llm import decontaminate, mixing, quality, simhash, token_files, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -56,6 +56,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM r"""
 
 
+def op4_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated_pairs(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -104,6 +108,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
+    "op4_simhash_near_duplicates": (op4_simhash_near_duplicates, None),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_source_mixing": (op6_source_mixing, None),
     "op7_token_files": (op7_token_files, None),
