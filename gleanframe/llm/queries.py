@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import decontaminate, extraction, mixing, quality, simhash, token_files, toxicity, url_filter
+from gleanframe.llm import decontaminate, extraction, licenses, mixing, quality, simhash, token_files, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -102,6 +102,41 @@ SELECT page_id, host, path, rule, coalesce(won, 'allow') AS verdict
 FROM p LEFT JOIN fits USING (host, path)"""
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NORMAL = "regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), '\\p{{N}}+', '0', 'g')"
+_PAIRS = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+# Runs of possible lines are made with the vocabulary; the score is taken against every template.
+OP9_SQL = f"""
+WITH t AS (
+  SELECT i, license, {_PAIRS} AS g FROM (
+    SELECT i, license, list_filter(string_split(replace({_NORMAL.format("text")}, chr(10), ' '), ' '), lambda x: x <> '') AS w
+    FROM (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(x)})" for i, (n, x) in enumerate(licenses.TEMPLATES))}) v(i, license, text))),
+v AS (SELECT [{", ".join(_quoted(x) for x in licenses.vocabulary())}] AS ws),
+l AS (
+  SELECT doc_id, list_filter(list_transform(string_split({_NORMAL.format("coalesce(text, '')")}, chr(10)),
+    lambda x: list_filter(string_split(x, ' '), lambda y: y <> '')), lambda x: len(x) > 0) AS ws FROM documents),
+n AS (SELECT doc_id, line, ws[line + 1] AS w FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS line FROM l)),
+ok AS (
+  SELECT doc_id, line, w FROM n, v
+  WHERE len(w) > 1 AND len(list_filter(w, lambda x: list_contains(ws, x))) >= {licenses.LEAST / (2 - licenses.LEAST)} * (len(w) - 1)),
+runs AS (
+  SELECT doc_id, min(line) AS first_line, max(line) AS last_line, flatten(list(w ORDER BY line)) AS w
+  FROM (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM ok) GROUP BY doc_id, run HAVING count(*) > 1),
+units AS (SELECT doc_id, line AS first_line, line AS last_line, {_PAIRS} AS g FROM ok
+  UNION ALL SELECT doc_id, first_line, last_line, {_PAIRS} AS g FROM runs),
+scored AS (
+  SELECT doc_id, first_line, last_line, license, max(2 * len(list_intersect(units.g, t.g)) / (len(units.g) + len(t.g))) AS dice
+  FROM units CROSS JOIN t GROUP BY ALL)
+SELECT doc_id, first_line, last_line, license, dice FROM scored WHERE dice >= {licenses.LEAST}"""
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.learn(documents, table(spark, folder, "labels"))
@@ -118,5 +153,6 @@ QUERIES = {
     "op6_source_mixing": (op6_source_mixing, None),
     "op7_token_files": (op7_token_files, None),
     "op8_url_filter": (op8_url_filter, OP8_SQL),
+    "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
 }
