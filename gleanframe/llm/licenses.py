@@ -138,7 +138,7 @@ def _units(text: Column, known: list[str], least: float) -> Column:
 
     def possible(line: Column) -> Column:
         size = F.size(line["words"])
-        return (size > 1) & (F.size(F.filter(line["words"], lambda w: w.isin(known))) >= share * (size - 1))
+        return (size > 1) & (F.size(F.filter(line["words"], lambda w: w.isin(known))) >= share * (size - 1) - 1e-9)
 
     lines = F.filter(
         F.transform(F.split(normalised(text), "\n"), words_in), lambda words: F.size(words) > 0

@@ -125,7 +125,7 @@ l AS (
 n AS (SELECT doc_id, line, ws[line + 1] AS w FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS line FROM l)),
 ok AS (
   SELECT doc_id, line, w FROM n, v
-  WHERE len(w) > 1 AND len(list_filter(w, lambda x: list_contains(ws, x))) >= {licenses.LEAST / (2 - licenses.LEAST)} * (len(w) - 1)),
+  WHERE len(w) > 1 AND len(list_filter(w, lambda x: list_contains(ws, x))) >= {licenses.LEAST / (2 - licenses.LEAST)} * (len(w) - 1) - 1e-9),
 runs AS (
   SELECT doc_id, min(line) AS first_line, max(line) AS last_line, flatten(list(w ORDER BY line)) AS w
   FROM (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM ok) GROUP BY doc_id, run HAVING count(*) > 1),
