@@ -23,12 +23,14 @@ together, ordered by a hash of their text. An empty table writes no shard and re
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.ipc
 from pyspark import TaskContext
@@ -40,7 +42,9 @@ LENGTH = 2048
 BATCH = 64
 END_ID = 2
 #: Entries of a task's table of pieces.
-PIECES = 400_000
+PIECES = 150_000
+#: Characters of text that are encoded at once; a longer text is encoded alone.
+CHUNK = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -60,6 +64,8 @@ class Encoder:
     """Texts to little-endian ids, equal to encoding each text whole."""
 
     def __init__(self, tokenizer: str, end_id: int):
+        # Spark has a task for every core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -94,6 +100,19 @@ class Encoder:
         return [(next(whole) if p is None else b"".join(map(find, p))) + self.end for p in cut]
 
 
+def _chunks(batch: pa.RecordBatch):
+    """Slices of a batch of (doc_id, text) of about ``CHUNK`` characters at most."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > CHUNK:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _list_type(kind: pa.DataType, length: int) -> pa.DataType:
     return pa.list_(pa.field("item", kind, nullable=False), length)
 
@@ -139,9 +158,8 @@ def write_tokens(
             waiting, held = [rest.tobytes()], len(rest)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                if writer is None and part.num_rows:
+            for part in _chunks(batch):
+                if writer is None:
                     files, path = store(name)
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = [files.open_output_stream(path + x) for x in (".arrow", ".docs.arrow")]
