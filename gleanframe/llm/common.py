@@ -33,8 +33,20 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return folder
 
 
+#: Spark then deletes the shuffle files of a query when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, what: str) -> DataFrame:
-    """``frame`` written to the shared folder and read back: computed once, without lineage."""
-    folder = new_folder(frame.sparkSession, what)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    """``frame`` written to the shared folder and read back: computed once, without lineage.
+
+    The table replaces the shuffle files that made it, so these need not stay on the executors' disks.
+    """
+    spark = frame.sparkSession
+    folder, before = new_folder(spark, what), spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(frame.schema).parquet(folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import decontaminate, extraction, licenses, mixing, quality, simhash, token_files, toxicity, url_filter
+from gleanframe.llm import decontaminate, extraction, licenses, mixing, quality, repeats, simhash, token_files, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.report(table(spark, folder, "documents"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -148,6 +152,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_html_extraction": (op2_html_extraction, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_simhash_near_duplicates": (op4_simhash_near_duplicates, None),
     "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_source_mixing": (op6_source_mixing, None),
