@@ -294,17 +294,14 @@ def extract(pages: DataFrame) -> DataFrame:
     keyed = pages.select(*rest, url_host(F.col("url")).alias("wrapper_host"), "html")
     schema = keyed.drop("html").schema.add("wrapper_tree", "string")
     schema = schema.add("wrapper_blocks", T.ArrayType(T.StructType().add("node", "integer").add("text", "string")))
-    text = F.array_join(
-        F.transform(
-            F.filter("wrapper_blocks", lambda b: F.array_contains("nodes", b["node"])), lambda b: b["text"]
-        ),
-        " ",
-    )
     read = keyed.mapInArrow(blocks_of, schema)
+    plans = plans.select(*[F.col(c).alias(f"plan_{c}") for c in ("host", "tree", "nodes")])
+    kept = F.filter("wrapper_blocks", lambda b: F.array_contains(plans["plan_nodes"], b["node"]))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return (
         read.join(
             plans,
-            (read["wrapper_host"] == plans["host"]) & (read["wrapper_tree"] == plans["tree"]),
+            (read["wrapper_host"] == plans["plan_host"]) & (read["wrapper_tree"] == plans["plan_tree"]),
             "left",
         )
         .select(*[read[c] for c in rest], F.coalesce(text, F.lit("")).alias("text"))

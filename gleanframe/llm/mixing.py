@@ -153,15 +153,17 @@ def round_fractions(fractions: DataFrame, seed: int = 42, fan_in: int = FAN_IN)
     return result
 
 
-def _unit() -> Column:
+def _size() -> Column:
+    return F.size(words_of(F.col("text"))).cast("long")
+
+
+def _unit(size: Column) -> Column:
     """A text that tells units apart and is never null."""
-    return F.to_json(F.struct("doc_id", "source", "size"))
+    return F.to_json(F.struct("doc_id", "source", size.alias("size")))
 
 
 def _sized(documents: DataFrame) -> DataFrame:
-    return documents.select(
-        "doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size")
-    )
+    return documents.select("doc_id", "source", _size().alias("size"))
 
 
 def mixed_units(sized: DataFrame, seed: int = 42, **targets) -> DataFrame:
@@ -172,7 +174,7 @@ def mixed_units(sized: DataFrame, seed: int = 42, **targets) -> DataFrame:
     units = (
         sized.groupBy("doc_id", "source", "size")
         .agg(F.count("*").alias("rows"))
-        .withColumn("unit", _unit())
+        .withColumn("unit", _unit(F.col("size")))
     )
     goal = source_targets(sized, **targets)
     wanted = F.when(
@@ -225,16 +227,17 @@ def mix_report(documents: DataFrame, seed: int = 42, **targets) -> DataFrame:
 def mix(documents: DataFrame, seed: int = 42, **targets) -> DataFrame:
     """The mixed corpus: every document as often as it was drawn, with the columns it came with."""
     units = mixed_units(written(_sized(documents), "mixing"), seed, **targets)
-    drawn = units.where("copies > 0").select("unit", "rows", "copies")
-    keyed = documents.withColumn("size", F.size(words_of(F.col("text"))).cast("long")).withColumn(
-        "unit", _unit()
+    # Names that the documents' own columns do not bear.
+    drawn = units.where("copies > 0").select(
+        F.col("unit").alias("mix_unit"), F.col("rows").alias("mix_rows"), F.col("copies").alias("mix_copies")
     )
-    order = Window.partitionBy("unit").orderBy(F.xxhash64("text"))
+    order = Window.partitionBy("mix_unit").orderBy(F.xxhash64("text"))
     return (
-        keyed.withColumn("index", F.row_number().over(order) - 1)
-        .join(drawn, "unit")
-        .withColumn("share", _of_row(F.col("copies"), F.col("rows"), F.col("index")))
-        .where("share > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("share"))))
+        documents.withColumn("mix_unit", _unit(_size()))
+        .withColumn("mix_index", F.row_number().over(order) - 1)
+        .join(drawn, "mix_unit")
+        .withColumn("mix_share", _of_row(F.col("mix_copies"), F.col("mix_rows"), F.col("mix_index")))
+        .where("mix_share > 0")
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_share"))))
         .select(*documents.columns)
     )

@@ -27,6 +27,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -255,33 +256,36 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     hashed = written(fingerprints(documents), "simhash")
     labels = labelled(hashed, radius)
-    winners = labels.where("component_id is not null").select(F.col("component_id").alias("winner")).distinct()
-    order = Window.partitionBy("winner").orderBy(F.xxhash64("text"))
+    winners = labels.where("component_id is not null").select(
+        F.col("component_id").alias("simhash_winner")
+    ).distinct()
+    turn = F.row_number().over(Window.partitionBy("simhash_winner").orderBy(F.xxhash64("text")))
     kept = (
-        documents.join(winners, documents["doc_id"] == winners["winner"])
-        .withColumn("turn", F.row_number().over(order))
-        .where("turn = 1")
-        .select(*[documents[c] for c in documents.columns])
+        documents.join(winners, documents["doc_id"] == winners["simhash_winner"])
+        .withColumn("simhash_turn", turn)
+        .where("simhash_turn = 1")
+        .select(*documents.columns)
     )
     if hashed.where("doc_id is null").isEmpty():
         return kept
-    nameless = labels.where("component_id is null").select("fp", "root")
-    numbered = documents.where("doc_id is null").withColumn("simhash_of_row", _udf_fingerprint("text"))
-    turn = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("text")))
+    nameless = labels.where("component_id is null").select(
+        F.col("fp").alias("simhash_fp"), F.col("root").alias("simhash_root")
+    )
+    turn = F.row_number().over(Window.partitionBy("simhash_root").orderBy(F.xxhash64("text")))
     rest = (
-        numbered.join(nameless, numbered["simhash_of_row"] == nameless["fp"])
-        .withColumn("turn", turn)
-        .where("turn = 1")
-        .select(*[numbered[c] for c in documents.columns])
+        documents.where("doc_id is null")
+        .withColumn("simhash_of_row", _fingerprint_column("text"))
+        .join(nameless, F.col("simhash_of_row") == F.col("simhash_fp"))
+        .withColumn("simhash_turn", turn)
+        .where("simhash_turn = 1")
+        .select(*documents.columns)
     )
     return kept.unionByName(rest)
 
 
-def _udf_fingerprint(text: str) -> Column:
+def _fingerprint_column(text: str) -> Column:
     @F.pandas_udf("long")
-    def of(texts):
-        import pandas as pd
-
+    def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
 
     return of(F.col(text))

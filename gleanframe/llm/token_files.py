@@ -42,7 +42,10 @@ LENGTH = 2048
 BATCH = 64
 END_ID = 2
 #: Entries of a task's table of pieces.
-PIECES = 150_000
+PIECES = 500_000
+PIECES_AT_ONCE = 4096
+# Signs that never share a token with the letter before them.
+SIGNS = ".,;:!?%&*#$|)"
 #: Characters of text that are encoded at once; a longer text is encoded alone.
 CHUNK = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,14 +78,47 @@ class Encoder:
         self.end = self.pack([end_id])
         specials = sorted(t.content for t in self.model.get_added_tokens_decoder().values())
         self.unsafe = re.compile("|".join([r" (?:\s|$)", *map(re.escape, specials)]))
+        self.line_end = self.model.encode("\n", add_special_tokens=False).ids[0]
         self.pieces: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Add pieces to the table, many in one call with line ends between them.
+
+        A line end is a token of its own there, unless a piece has white space inside; such pieces are
+        encoded alone.
+        """
+        plain = [p for p in pieces if len(p.split()) == 1 and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace())]
+        for at in range(0, len(plain), PIECES_AT_ONCE):
+            part = plain[at : at + PIECES_AT_ONCE]
+            ids = np.array(self.model.encode_batch_fast(["\n" + "\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            if len(ends) != len(part) + 1:
+                self.pieces.update(zip(part, self._whole(part)))
+                continue
+            data, size = ids.tobytes(), self.kind.itemsize
+            self.pieces.update((p, data[(a + 1) * size : b * size]) for p, a, b in zip(part, ends, ends[1:]))
+        odd = [p for p in pieces if p not in self.pieces]
+        self.pieces.update(zip(odd, self._whole(odd)))
+
+    def _look_up(self, new: set[str]) -> None:
+        """Make sure that the table has the pieces. A word and the signs after it are encoded apart."""
+        known, joined, missing = self.pieces, [], set()
+        for piece in new:
+            stem = piece.rstrip(SIGNS)
+            if stem != piece and stem[-1:].isalpha():
+                joined.append((piece, stem, piece[len(stem) :]))
+                missing.update((stem, piece[len(stem) :]))
+            else:
+                missing.add(piece)
+        self._learn([p for p in missing if p not in known])
+        known.update((piece, known[stem] + known[signs]) for piece, stem, signs in joined)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text with the end id."""
         cut = [None if t and self.unsafe.search(t) else (t or "").split(" ") for t in texts]
@@ -93,9 +129,9 @@ class Encoder:
         known = self.pieces
         if len(known) > PIECES:
             known.clear()
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        known.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, pieces in zip(texts, cut) if pieces is None]))
+        self._look_up({p for pieces in cut if pieces for p in pieces if p and p not in known})
+        known[""] = b""
+        whole = iter(self._whole([t for t, pieces in zip(texts, cut) if pieces is None]))
         find = known.__getitem__
         return [(next(whole) if p is None else b"".join(map(find, p))) + self.end for p in cut]
 

@@ -26,7 +26,6 @@ from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -120,7 +119,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic`` of the sampled rows that may be learned from; equal texts once."""
+    """``text, toxic`` of the sampled rows that may be learned from.
+
+    The sample has ``sample_rows`` ids and labels at most, a bound that lets it be broadcast: the texts stay.
+    """
     chosen = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -128,35 +130,49 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SA
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    return documents.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").select("text", "toxic")
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic")
 
 
 def _counted(table):
     def count(batches):
         seen: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 words = {w for w in fold(text, table).split() if len(w) >= SHORTEST}
                 for term in {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}:
                     seen.setdefault(term, [0, 0])[toxic] += 1
-        yield pd.DataFrame(
-            {"term": list(seen), "clean": [x[0] for x in seen.values()], "toxic": [x[1] for x in seen.values()]}
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(seen), pa.string()),
+                pa.array([x[0] for x in seen.values()], pa.int64()),
+                pa.array([x[1] for x in seen.values()], pa.int64()),
+            ],
+            names=["term", "clean", "toxic"],
         )
 
     return count
 
 
 def _listed(table, terms):
+    numbers = pa.list_(pa.int32())
+
     def list_(batches):
-        tree = None
+        tree = automaton(terms, ())
         for batch in batches:
-            tree = tree or automaton(terms, ())
-            rows = []
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            words, found = [], []
+            for text in batch.column(0).to_pylist():
                 folded = fold(text, table)
-                at: dict[int, int] = Counter(t for _, (t, _) in tree.iter(folded))
-                rows.append((int(toxic), folded.count(" ") - 1, list(at), list(at.values())))
-            yield pd.DataFrame(rows, columns=["toxic", "n_words", "terms", "counts"])
+                words.append(folded.count(" ") - 1)
+                found.append(Counter(t for _, (t, _) in tree.iter(folded)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(1).cast(pa.int32()),
+                    pa.array(words, pa.int32()),
+                    pa.array([list(f) for f in found], numbers),
+                    pa.array([list(f.values()) for f in found], numbers),
+                ],
+                names=["toxic", "n_words", "terms", "counts"],
+            )
 
     return list_
 
@@ -205,7 +221,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     precise = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     candidates = [
         row.term
-        for row in rows.mapInPandas(_counted(table), "term string, clean long, toxic long")
+        for row in rows.mapInArrow(_counted(table), "term string, clean long, toxic long")
         .groupBy("term")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where((F.col("toxic") >= MIN_ROWS) & (precise >= MIN_PRECISION))
@@ -214,7 +230,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         .collect()
     ]
     candidates = list(dict.fromkeys([*SEED_TERMS, *candidates]))
-    found = rows.mapInPandas(
+    found = rows.mapInArrow(
         _listed(table, candidates), "toxic int, n_words int, terms array<int>, counts array<int>"
     ).collect()
     if len({row.toxic for row in found}) < 2:

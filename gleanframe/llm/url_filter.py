@@ -109,12 +109,12 @@ def filter_urls(
         .where(F.col("full") == F.col("digest"))
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
-        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("won"))
+        .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict_of_rule"))
     )
     return (
         located.join(found, ["host", "path"], "left")
-        .withColumn("verdict", F.coalesce("won", F.lit(default)))
-        .drop("won")
+        .withColumn("verdict", F.coalesce("verdict_of_rule", F.lit(default)))
+        .drop("verdict_of_rule")
     )
 
 
