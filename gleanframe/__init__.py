@@ -7,6 +7,7 @@ from gleanframe.operators.cells import (
     run_sql,
     transform,
     transform_batches,
+    transform_groups,
 )
 from gleanframe.operators.compare import compare
 from gleanframe.operators.overview import column_types, overview, schema_overview, sparklines
@@ -51,5 +52,6 @@ __all__ = [
     "table_query_sql",
     "transform",
     "transform_batches",
+    "transform_groups",
     "with_rowid",
 ]

@@ -26,14 +26,16 @@ def run_sql(df: DataFrame, text: str, datasets: Mapping[str, DataFrame] | None =
     """Run SQL with ``df`` as the view ``data`` and other datasets under their names.
 
     The views exist only while the statement is analysed; the returned frame is lazy and unbounded.
-    A statement without a result gives a frame without columns.
+    Temporary views of the same names come back afterwards; tables of the catalog are only hidden
+    meanwhile. A statement without a result gives a frame without columns.
     """
     if not text.strip():
         raise ValueError("SQL query is empty")
     spark = df.sparkSession
     views = {**(datasets or {}), DATA_VIEW: df}
     with _views:
-        hidden = {n: spark.table(n) for n in views if spark.catalog.tableExists(n)}
+        temporary = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+        hidden = {n: spark.table(n) for n in views if n.lower() in temporary}
         for name, frame in views.items():
             frame.drop(ROWID).createOrReplaceTempView(name)
         try:
@@ -71,6 +73,23 @@ def transform_batches(
     return df.drop(ROWID).mapInPandas(fn, schema)
 
 
+def transform_groups(
+    df: DataFrame,
+    by: list[str],
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: T.StructType | str,
+) -> DataFrame:
+    """Apply pandas code to each group of equal ``by`` columns; nulls form a group.
+
+    One task holds a whole group as a pandas frame, so this is for keys whose groups fit there; for
+    others aggregate first, or use :func:`transform_batches`.
+    """
+    missing = [c for c in by if c not in df.columns]
+    if missing or not by:
+        raise ValueError(f"Invalid group column: {', '.join(missing) or 'none given'}")
+    return df.drop(ROWID).groupBy(*[col(c) for c in by]).applyInPandas(fn, schema)
+
+
 _FLOATS = (T.FloatType, T.DoubleType)
 _PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 

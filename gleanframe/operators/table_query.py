@@ -8,10 +8,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleanframe.apptypes import ROWID, app_type, field_map
-from gleanframe.functions.columns import col, comparable
-from gleanframe.plans.filters import COMPARISONS, predicate
+from gleanframe.functions.columns import col, comparable, comparable_type
+from gleanframe.plans.filters import COMPARISONS, compared, predicate
 from gleanframe.plans.table_query import Aggregation, TableQuery
-from gleanframe.plans.values import exact, is_huge, literal
+from gleanframe.plans.values import exact_items, exact_test, literal_type
 
 
 def _aggregate(a: Aggregation, fields: Mapping[str, T.StructField]) -> Column:
@@ -28,83 +28,101 @@ def _aggregate(a: Aggregation, fields: Mapping[str, T.StructField]) -> Column:
     )
 
 
-def _order(df: DataFrame, query: TableQuery) -> list[Column]:
-    """Requested keys, nulls last both ways, then the other columns so the order is total."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    keys = []
-    for s in query.sort:
-        c = comparable(col(s.column), types[s.column])
-        keys.append(c.desc_nulls_last() if s.descending else c.asc_nulls_last())
-    named = {s.column for s in query.sort}
+def _sort_keys(types: Mapping[str, T.DataType], query: TableQuery) -> list[tuple[str, bool]]:
+    """Columns of a total order with their direction, none when the query asks for no order.
+
+    Requested keys come first, then the row identity or else the other columns. A limit needs an
+    order too, so that it always cuts the same rows.
+    """
+    if not query.sort and query.limit is None:
+        return []
+    named = {s.column: s.descending for s in query.sort}
     ties = [ROWID] if ROWID in types else [n for n in types if n not in named]
-    return keys + [comparable(col(n), types[n]).asc_nulls_last() for n in ties]
+    return [*named.items(), *((n, False) for n in ties)]
 
 
-def table_query(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
-    """Run a spec. Raises ``ValueError`` before planning when the spec is invalid.
-
-    Sort and limit together plan as a per-partition top-k, so no full sort is shuffled.
-    """
+def _selected(df: DataFrame, query: TableQuery) -> DataFrame:
+    """The query without its order and limit."""
     fields = field_map(df)
-    query = TableQuery.check(spec, fields)
     condition = predicate(query.filters, fields)
     out = df if condition is None else df.where(condition)
-
     groups = [col(c) for c in query.group_by]
     if query.aggregations:
         aggregates = [_aggregate(a, fields) for a in query.aggregations]
         out = out.groupBy(*groups).agg(*aggregates) if groups else out.agg(*aggregates)
         types = {f.name: f.dataType for f in out.schema.fields}
         for h in query.having:
-            out = out.where(
-                COMPARISONS[h.operator](col(h.metric), literal(h.value, types[h.metric]))
-            )
+            out = out.where(compared(col(h.metric), h.operator, h.value, types[h.metric]))
     elif groups:
         out = out.select(*groups).distinct()
+    return out
 
-    if query.sort:
-        out = out.orderBy(*_order(out, query))
-    return out.limit(query.limit).drop(ROWID)
+
+def table_query(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
+    """Run a spec. Raises ``ValueError`` before planning when the spec is invalid.
+
+    Without ``limit`` every row of the result is there. Sort and limit together plan as a
+    per-partition top-k, so no full sort is shuffled.
+    """
+    query = TableQuery.check(spec, field_map(df))
+    out = _selected(df, query)
+    types = {f.name: f.dataType for f in out.schema.fields}
+    keys = []
+    for name, descending in _sort_keys(types, query):
+        c = comparable(col(name), types[name])
+        keys.append(c.desc_nulls_last() if descending else c.asc_nulls_last())
+    if keys:
+        out = out.orderBy(*keys)
+    return (out if query.limit is None else out.limit(query.limit)).drop(ROWID)
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _comparable_sql(text: str, data_type: T.DataType) -> str:
+    if isinstance(data_type, T.VariantType):
+        return f"to_json({text})"
+    return text if comparable_type(data_type) == data_type else f"CAST({text} AS STRING)"
+
+
 def table_query_sql(df: DataFrame, spec: Mapping[str, Any], table: str = "data") -> tuple[str, dict[str, Any]]:
     """The same query as SQL text with ``:name`` markers and the arguments by name.
 
-    ``spark.sql(text, args)`` over a view named ``table`` gives the rows of :func:`table_query`.
+    ``spark.sql(text, args)`` over a view of ``df`` named ``table`` gives the rows of
+    :func:`table_query`, in the same order and cut at the same row.
     """
     fields = field_map(df)
     query = TableQuery.check(spec, fields)
+    result = {f.name: f.dataType for f in _selected(df, query).schema.fields}
     args: dict[str, Any] = {}
 
     def mark(value: Any, data_type: T.DataType) -> str:
         name = f"v{len(args) + 1}"
-        if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            args[name] = value
-            timed = isinstance(data_type, T.DateType) and "T" in value
-            return f"CAST(:{name} AS {'TIMESTAMP_NTZ' if timed else data_type.simpleString()})"
-        args[name] = exact(value, data_type)
-        return f":{name}"
+        args[name] = value
+        target = literal_type(value, data_type)
+        return f":{name}" if target is None else f"CAST(:{name} AS {target})"
+
+    def comparison(name: str, operator: str, value: Any, data_type: T.DataType) -> str:
+        test = exact_test(operator, value, data_type)
+        if test.operator in COMPARISONS:
+            return f"{name} {test.operator} {mark(test.value, data_type)}"
+        return f"{name} IS NOT NULL" if test.operator == "always" else "FALSE"
 
     def condition(f) -> str:
         data_type = fields[f.column].dataType
         name = _quoted(f.column)
-        if f.operator == "is_null":
-            return f"{name} IS NULL"
-        if f.operator == "is_not_null":
-            return f"{name} IS NOT NULL"
+        if f.operator in ("is_null", "is_not_null"):
+            return f"{name} IS {'NOT ' if f.operator == 'is_not_null' else ''}NULL"
         if app_type(data_type) == "string" and not isinstance(data_type, T.StringType):
-            name = f"CAST({name} AS STRING)"
+            name = f"to_json({name})" if isinstance(data_type, T.VariantType) else f"CAST({name} AS STRING)"
         if f.operator in ("in", "not_in"):
-            marks = ", ".join(mark(v, data_type) for v in f.value)
+            marks = ", ".join(mark(v, data_type) for v in exact_items(f.value, data_type))
+            if not marks:
+                return "FALSE" if f.operator == "in" else f"{name} IS NOT NULL"
             return f"{name} {'IN' if f.operator == 'in' else 'NOT IN'} ({marks})"
-        if is_huge(f.value):
-            name = f"CAST({name} AS DECIMAL(38,0))"
         if f.operator in COMPARISONS:
-            return f"{name} {f.operator} {mark(f.value, data_type)}"
+            return comparison(name, f.operator, f.value, data_type)
         call = {"contains": "contains", "starts_with": "startswith", "ends_with": "endswith"}
         return f"{call[f.operator]}(lower({name}), lower({mark(f.value, data_type)}))"
 
@@ -112,27 +130,29 @@ def table_query_sql(df: DataFrame, spec: Mapping[str, Any], table: str = "data")
         if a.column == "*":
             return f"count(*) AS {_quoted(a.alias)}"
         target = _quoted(a.column)
-        if a.op == "sum" and a.app == "integer":
+        data_type = fields[a.column].dataType
+        if a.op == "sum" and app_type(data_type) == "integer":
             target = f"CAST({target} AS DECIMAL(38,0))"
+        elif a.op in ("min", "max"):
+            target = _comparable_sql(target, data_type)
         return f"{a.op}({target}) AS {_quoted(a.alias)}"
 
-    groups = ", ".join(_quoted(c) for c in query.group_by)
     output = [_quoted(c) for c in query.group_by] + [aggregate(a) for a in query.aggregations]
     text = "SELECT " + (", ".join(output) or ", ".join(_quoted(c) for c in fields))
     text += f" FROM {_quoted(table)}"
     if query.filters:
         text += " WHERE " + " AND ".join(condition(f) for f in query.filters)
-    if groups:
-        text += f" GROUP BY {groups}"
+    if query.group_by:
+        text += f" GROUP BY {', '.join(_quoted(c) for c in query.group_by)}"
     if query.having:
-        by_alias = {f.name: f.dataType for f in table_query(df, spec).schema.fields}
         text += " HAVING " + " AND ".join(
-            f"{_quoted(h.metric)} {h.operator} {mark(h.value, by_alias[h.metric])}"
-            for h in query.having
+            comparison(_quoted(h.metric), h.operator, h.value, result[h.metric]) for h in query.having
         )
-    if query.sort:
+    if keys := _sort_keys(result, query):
         text += " ORDER BY " + ", ".join(
-            f"{_quoted(s.column)} {'DESC' if s.descending else 'ASC'} NULLS LAST" for s in query.sort
+            f"{_comparable_sql(_quoted(n), result[n])} {'DESC' if down else 'ASC'} NULLS LAST" for n, down in keys
         )
-    args["row_limit"] = query.limit
-    return text + " LIMIT :row_limit", args
+    if query.limit is not None:
+        args["row_limit"] = query.limit
+        text += " LIMIT :row_limit"
+    return text, args

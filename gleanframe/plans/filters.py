@@ -12,11 +12,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleanframe.apptypes import OPERATORS, app_type, field_map
 from gleanframe.functions.columns import as_text, col
-from gleanframe.plans.values import coerce, coerce_list, is_huge, literal
+from gleanframe.plans.values import exact_items, exact_test, literal, typed, typed_list
 
 COMPARISONS = {"=": op.eq, "!=": op.ne, ">": op.gt, "<": op.lt, ">=": op.ge, "<=": op.le}
 
 
+def compared(c: Column, operator: str, value: Any, data_type: T.DataType) -> Column:
+    """``c operator value``; null where the column is."""
+    test = exact_test(operator, value, data_type)
+    if test.operator in COMPARISONS:
+        return COMPARISONS[test.operator](c, literal(test.value, data_type))
+    return F.when(c.isNotNull(), F.lit(test.operator == "always"))
+
+
 @dataclass(frozen=True)
 class Filter:
     """One checked filter; ``value`` is typed, a tuple for ``in``/``not_in``, None for null tests."""
@@ -34,14 +42,14 @@ class Filter:
             raise ValueError(f"Invalid filter column: {column}")
         if not isinstance(operator, str) or not operator:
             raise ValueError(f"Filter operator is required for column: {column}")
-        app = app_type(fields[column].dataType)
+        data_type = fields[column].dataType
+        app = app_type(data_type)
         if operator not in OPERATORS[app]:
             raise ValueError(f"Unsupported operator '{operator}' for column '{column}' ({app})")
         if operator in ("is_null", "is_not_null"):
             return cls(column, operator)
-        if operator in ("in", "not_in"):
-            return cls(column, operator, tuple(coerce_list(raw.get("value"), app, column, operator)))
-        return cls(column, operator, coerce(raw.get("value"), app, column, operator))
+        read = typed_list if operator in ("in", "not_in") else typed
+        return cls(column, operator, read(raw.get("value"), data_type, column, operator))
 
     def predicate(self, fields: Mapping[str, T.StructField]) -> Column:
         data_type = fields[self.column].dataType
@@ -53,12 +61,11 @@ class Filter:
         if app_type(data_type) == "string":
             c = as_text(c, data_type)
         if self.operator in ("in", "not_in"):
-            hit = c.isin([literal(v, data_type) for v in self.value])
+            items = [literal(v, data_type) for v in exact_items(self.value, data_type)]
+            hit = c.isin(items) if items else F.when(c.isNotNull(), F.lit(False))
             return hit if self.operator == "in" else ~hit
-        if is_huge(self.value):
-            c = c.cast("decimal(38,0)")
         if self.operator in COMPARISONS:
-            return COMPARISONS[self.operator](c, literal(self.value, data_type))
+            return compared(c, self.operator, self.value, data_type)
         text, needle = F.lower(c), F.lower(F.lit(self.value))
         return {
             "contains": F.contains,

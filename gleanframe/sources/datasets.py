@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from gleanframe.apptypes import ROWID, app_type, visible_fields
 from gleanframe.functions.columns import col, comparable, display_text
+from gleanframe.operators.overview import schema_overview
 from gleanframe.plans.filters import apply_filters
 from gleanframe.session import shared_folder
 from gleanframe.sources.sqlite import discover_sqlite, scan_sqlite
@@ -30,6 +32,10 @@ def format_of(path: str) -> str:
     return FORMATS[suffix]
 
 
+#: By session and view, the dataset that made it.
+_names: dict[tuple[int, str], str] = {}
+
+
 @dataclass(frozen=True)
 class Dataset:
     """A loaded table: Parquet files with ``_rowid``, known to SQL under ``view``."""
@@ -49,7 +55,17 @@ class Dataset:
         """The name as an SQL identifier: ``sales.csv`` is the view ``sales_csv``."""
         return re.sub(r"\W", "_", self.name)
 
+    def overview(self) -> DataFrame:
+        """Type, nulls, distinct values and sparkline of every column."""
+        return schema_overview(self.frame)
+
     def register(self) -> "Dataset":
+        """Make the view. Two names that differ only in signs would share one, so that is refused."""
+        spark = self.frame.sparkSession
+        held = _names.get((id(spark), self.view), self.name)
+        if held != self.name and spark.catalog.tableExists(self.view):
+            raise ValueError(f"Dataset '{self.name}' would replace the view of '{held}'")
+        _names[id(spark), self.view] = self.name
         self.frame.drop(ROWID).createOrReplaceTempView(self.view)
         return self
 
@@ -59,16 +75,47 @@ class Dataset:
         self.frame.sparkSession.catalog.dropTempView(self.view)
 
 
+#: Bits of a row id below the rank of its file: a file may have so many bytes, or rows.
+FILE_BITS = 42
+
+
+def _place(df: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows with their place: rank of the file by name, then the place in the file.
+
+    Parquet knows the row's number. Of a text file the start of the read block is known, and rows
+    follow each other in it; a row takes a byte at least, so start plus position stays below the next
+    block. A frame that is no plain scan has its rows in the order in which Spark deals them out.
+    """
+    scanned = F.monotonically_increasing_id()
+    try:
+        located = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        return df, scanned
+    # One row for each file, and for each block.
+    files = located.select("_file").distinct()
+    ranks = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_rank"))
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        inside = F.col("_at")
+    except AnalysisException:
+        numbered = located.withColumn("_at", scanned)
+        first = numbered.groupBy("_file", "_block").agg(F.min("_at").alias("_first"))
+        rows = numbered.join(first, ["_file", "_block"])
+        inside = F.col("_block") + F.col("_at") - F.col("_first")
+    return rows.join(ranks, "_file"), F.shiftleft("_rank", FILE_BITS) + inside
+
+
 def with_rowid(df: DataFrame, folder: str) -> DataFrame:
-    """Write the rows with a stable, increasing ``_rowid`` and read them back.
+    """Write the rows with a stable ``_rowid`` that follows the order of the source, and read them back.
 
-    The id comes from the position in the scan, needs no shuffle, and is frozen by the write: later
-    reads, retries and lost executors all see the same ids. Files are in id order, so Parquet
-    statistics prune a page's ``_rowid`` range.
+    Files come in the order of their names, rows in the order of their file. The id is frozen by the
+    write: later reads, retries and lost executors all see the same ids, and Parquet statistics prune
+    a page's range of them.
     """
     if ROWID in df.columns:
         raise ValueError(f"a column is already named {ROWID}")
-    df.select(F.monotonically_increasing_id().alias(ROWID), "*").write.parquet(folder)
+    rows, place = _place(df)
+    rows.select(place.alias(ROWID), *[col(c) for c in df.columns]).write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gleanframe import ROWID, discover, export_csv, import_entities, load, scan, with_rowid
 from gleanframe.session import shared_folder
@@ -60,6 +60,18 @@ def _row_identity(spark, folder):
     )
 
 
+def _files_in_order(spark, folder):
+    """Files of 10, nearly all, and few rows: Spark reads the large one first, the ids follow the names."""
+    orders = table(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    piece = F.when(F.col("o_orderkey") < 10, 0).when(F.col("o_orderkey") > last - 500, 2).otherwise(1)
+    target = shared_folder(spark, "pieces")
+    orders.withColumn("piece", piece).repartition(1).sortWithinPartitions("o_orderkey").write.partitionBy("piece").parquet(target)
+    rows = load(spark, target, "pieces", "parquet").frame
+    place = F.row_number().over(Window.orderBy(ROWID)).cast("bigint") - 1
+    return rows.select(place.alias("place"), "o_orderkey")
+
+
 def _loaded(spark, folder):
     dataset = load(spark, f"{folder}/part.parquet", "loaded_part")
     return spark.table(dataset.view)
@@ -128,6 +140,10 @@ QUERIES = {
         "SELECT count(*) AS rows, count(*) AS ids, count(*) AS known, max(o_orderkey) AS last_key, "
         "min(o_orderkey) AS first_key FROM orders",
     ),
+    "load_files_in_order": (
+        _files_in_order,
+        "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey FROM orders",
+    ),
     "load_registered": (_loaded, "SELECT * FROM part"),
     "scan_workbooks": (
         lambda spark, folder: scan(spark, _workbooks(spark, folder), "excel", "orders"),

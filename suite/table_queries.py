@@ -61,7 +61,7 @@ PRICING = {
 PRICING_SQL = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
   round(avg(l_discount), 2) AS avg_disc, count(*) AS count_order, max(l_shipdate) AS last_ship
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-06-30' GROUP BY ALL HAVING count(*) > 100
-ORDER BY l_returnflag, l_linestatus DESC LIMIT 200"""
+ORDER BY l_returnflag, l_linestatus DESC"""
 
 _TOP_CUSTOMERS = {
     "filters": [_where("o_orderstatus", "in", ["F", "O"])],
@@ -88,11 +88,51 @@ def _integer_sums(spark, folder):
 
 def _compare(spark, folder):
     orders, lineitem = table(spark, folder, "orders"), table(spark, folder, "lineitem")
-    left = {"filters": [_where("o_totalprice", ">", 480000)], "limit": 10000}
-    right = {"groupBy": ["l_suppkey"], "aggregations": [_agg("count", "*")], "limit": 10000}
+    left = {"filters": [_where("o_totalprice", ">", 480000)]}
+    right = {"groupBy": ["l_suppkey"], "aggregations": [_agg("count", "*")]}
     return compare(orders, left, lineitem, right).delta
 
 
+def _compare_complete(spark, folder):
+    """More rows on both sides than any page holds."""
+    lineitem, events = table(spark, folder, "lineitem"), table(spark, folder, "events")
+    return compare(lineitem, {}, events, {"groupBy": ["event_id", "user_id"]}).delta
+
+
+_HEAVY_TIES = {"sort": [_by("o_orderstatus", "desc"), _by("o_orderpriority")], "limit": 500}
+
+
+def _ties_as_sql(spark, folder):
+    """A limit in the middle of equal keys, over rows dealt to many partitions."""
+    orders = table(spark, folder, "orders").repartition(7)
+    text, args = table_query_sql(orders, _HEAVY_TIES, "spec_ties")
+    orders.createOrReplaceTempView("spec_ties")
+    return spark.sql(text, args=args)
+
+
+def _exact_prices(spark, folder):
+    """Prices with more digits than a double holds."""
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_extendedprice").cast("decimal(12,2)").cast("decimal(38,2)") * 10**15 + F.col("l_orderkey")).cast("decimal(38,2)").alias("price"),
+    )
+
+
+_EXACT_PRICES_SQL = """(SELECT l_orderkey, l_linenumber,
+  (l_extendedprice::DECIMAL(12,2)::DECIMAL(38,2) * 1000000000000000::DECIMAL(16,0) + l_orderkey)::DECIMAL(38,2) AS price FROM lineitem)"""
+
+
+def _exact_having(spark, folder):
+    spec = {
+        "groupBy": ["l_linenumber"],
+        "aggregations": [_agg("max", "price", "top"), _agg("count", "*", "n")],
+        "having": [{"metric": "top", "operator": ">=", "value": "1000000000000000001.005"}],
+        "sort": [_by("l_linenumber")],
+    }
+    return table_query(_exact_prices(spark, folder), spec)
+
+
 def _compare_same_table(spark, folder):
     orders = table(spark, folder, "orders")
     empty = {"filters": [_where("o_orderstatus", "=", "nothing")]}
@@ -114,8 +154,8 @@ SELECT *, left_rows - right_rows AS rows_delta,
 QUERIES = {
     "query_pricing_summary": (_rounded("lineitem", PRICING, "avg_disc"), PRICING_SQL),
     "query_plain_select": (
-        _query("customer", {"filters": [_where("c_mktsegment", "=", "BUILDING")], "limit": 10000}),
-        "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' LIMIT 10000",
+        _query("customer", {"filters": [_where("c_mktsegment", "=", "BUILDING")]}),
+        "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'",
     ),
     "query_group_by": (
         lambda spark, folder: table_query(
@@ -124,9 +164,22 @@ QUERIES = {
         ),
         f"SELECT lang, quality, count(quality) AS n FROM {JUDGED_SQL} GROUP BY lang, quality",
     ),
+    "query_group_all_customers": (
+        _query("orders", {"groupBy": ["o_custkey"], "aggregations": [_agg("count", "*", "n"), _agg("max", "o_orderdate", "last")]}),
+        "SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY o_custkey",
+    ),
+    "query_having_exact_decimal": (
+        _exact_having,
+        f"SELECT l_linenumber, max(price) AS top, count(*) AS n FROM {_EXACT_PRICES_SQL} GROUP BY l_linenumber "
+        "HAVING max(price) >= 1000000000000000001.005 ORDER BY l_linenumber",
+    ),
+    "query_as_sql_text_with_ties": (
+        _ties_as_sql,
+        "SELECT * FROM orders ORDER BY o_orderstatus DESC, o_orderpriority, o_orderkey LIMIT 500",
+    ),
     "query_distinct": (
-        _query("part", {"groupBy": ["p_brand", "p_type"], "limit": 10000}),
-        "SELECT DISTINCT p_brand, p_type FROM part LIMIT 10000",
+        _query("part", {"groupBy": ["p_brand", "p_type"]}),
+        "SELECT DISTINCT p_brand, p_type FROM part",
     ),
     "query_global_aggregate": (
         _rounded(
@@ -168,12 +221,11 @@ QUERIES = {
                 "aggregations": [_agg("min", "o_orderdate", "first_order")],
                 "having": [{"metric": "first_order", "operator": ">=", "value": "1996-01-01"}],
                 "sort": [_by("o_custkey")],
-                "limit": 10000,
             },
         ),
         "SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP BY o_custkey "
         "HAVING min(o_orderdate) >= TIMESTAMP '1996-01-01' "
-        "ORDER BY o_custkey LIMIT 10000",
+        "ORDER BY o_custkey",
     ),
     "query_sort_many_keys": (
         _query(
@@ -220,18 +272,24 @@ QUERIES = {
     "compare_two_tables": (
         _compare,
         _compare_sql(
-            "SELECT * FROM orders WHERE o_totalprice > 480000 LIMIT 10000",
+            "SELECT * FROM orders WHERE o_totalprice > 480000",
             6,
-            "SELECT l_suppkey FROM lineitem GROUP BY l_suppkey LIMIT 10000",
+            "SELECT l_suppkey FROM lineitem GROUP BY l_suppkey",
             2,
         ),
     ),
+    "compare_complete_results": (
+        _compare_complete,
+        _compare_sql(
+            "SELECT * FROM lineitem", 11, "SELECT DISTINCT event_id, user_id FROM events", 2
+        ),
+    ),
     "compare_with_empty_side": (
         _compare_same_table,
         _compare_sql(
             "SELECT * FROM orders LIMIT 50",
             6,
-            "SELECT * FROM orders WHERE o_orderstatus = 'nothing' LIMIT 200",
+            "SELECT * FROM orders WHERE o_orderstatus = 'nothing'",
             6,
         ),
     ),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleanframe import compare, preview, run_sql, table_query, table_query_sql, transform
+from gleanframe import compare, preview, run_sql, table_query, table_query_sql, transform, transform_groups
 
 
 def test_sql_sees_data_and_other_datasets(spark, sales):
@@ -20,6 +20,30 @@ def test_sql_keeps_views_of_the_same_name(spark, sales):
     spark.catalog.dropTempView("data")
 
 
+def test_sql_leaves_a_catalog_table_of_the_name_alone(spark, sales):
+    spark.range(5).write.mode("overwrite").saveAsTable("data")
+    try:
+        assert run_sql(sales, "SELECT COUNT(*) AS n FROM data").first().n == 35
+        assert [t.isTemporary for t in spark.catalog.listTables() if t.name == "data"] == [False]
+        assert spark.table("data").count() == 5
+    finally:
+        spark.sql("DROP TABLE data")
+
+
+def test_pandas_code_by_group(sales):
+    def widest(group):
+        return group.nlargest(1, "quantity")[["status", "id"]]
+
+    got = {r.status: r.id for r in transform_groups(sales, ["status"], widest, "status string, id long").collect()}
+    best = {}
+    for r in sales.where("quantity IS NOT NULL").orderBy("quantity", "id").collect():
+        best[r.status] = r.quantity
+    rows = {r.id: r.quantity for r in sales.collect()}
+    assert {k: rows[v] for k, v in got.items()} == best and None in got
+    with pytest.raises(ValueError, match="Invalid group column: nope"):
+        transform_groups(sales, ["nope"], widest, "id long")
+
+
 def test_statement_without_result(spark, sales):
     out = run_sql(sales, "CREATE OR REPLACE TEMP VIEW made AS SELECT 1 AS n")
     assert out.columns == [] and out.count() == 0
@@ -27,14 +51,14 @@ def test_statement_without_result(spark, sales):
 
 
 def test_python_results(sales):
-    frame = transform(sales, lambda df: df.where("amount > 1000").select("id", "amount").limit(5))
-    assert frame.columns == ["id", "amount"] and frame.count() == 5
+    frame = transform(sales, lambda df: df.groupBy("region").max("quantity"))
+    assert frame.columns == ["region", "max(quantity)"] and frame.count() == 4
     assert transform(sales, lambda df: F.col("quantity") * 2).columns == ["value"]
     assert transform(sales, lambda df: (df.count(), len(df.columns))).first().text_output == "(35, 10)"
     assert transform(sales, lambda df: print("seen", df.count())).first().text_output == "seen 35"
     assert transform(sales, lambda df: [print("a"), 1][1]).first().text_output == "a\n1"
-    with pytest.raises(Exception, match="missing_col"):
-        transform(sales, lambda df: df.select("missing_col"))
+    with pytest.raises(Exception, match="colour"):
+        transform(sales, lambda df: df.select("colour"))
 
 
 def test_preview(sales):
@@ -70,6 +94,17 @@ def test_sql_text_gives_the_same_rows(spark, sales):
     spark.catalog.dropTempView("sold items")
 
 
+def test_sql_text_cuts_ties_like_the_query(spark, sales):
+    nested = sales.selectExpr("status", "array(region, product) AS both", "id").repartition(5)
+    spec = {"sort": [{"column": "status", "direction": "desc"}], "limit": 8}
+    grouped = {"groupBy": ["status"], "aggregations": [{"op": "max", "column": "both"}], "limit": 2}
+    nested.createOrReplaceTempView("tied")
+    for one in (spec, grouped):
+        text, args = table_query_sql(nested, one, "tied")
+        assert spark.sql(text, args=args).collect() == table_query(nested, one).collect()
+    spark.catalog.dropTempView("tied")
+
+
 def test_grouping_keeps_nulls_and_empty_input(sales):
     by_status = table_query(sales, {"groupBy": ["status"], "aggregations": [{"op": "count", "column": "*"}]})
     assert {r.status: r.count_all for r in by_status.collect()}[None] == 1

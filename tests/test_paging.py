@@ -111,8 +111,8 @@ def test_cursor_is_bound_to_its_pages(edge):
     first = Pager(edge, sort="k", size=10)
     token = first.fetch().next_cursor
     for other, message in (
-        (Pager(edge, sort="x", size=10), "current sort column"),
-        (Pager(edge, sort="k", direction="desc", size=10), "current sort direction"),
+        (Pager(edge, sort="x", size=10), "current sort"),
+        (Pager(edge, sort="k", direction="desc", size=10), "current sort"),
         (
             Pager(edge, filters=[{"column": "k", "operator": "is_null"}], sort="k", size=10),
             "current filters",
@@ -120,7 +120,7 @@ def test_cursor_is_bound_to_its_pages(edge):
     ):
         with pytest.raises(ValueError, match=message):
             other.fetch(token)
-    for broken in ("%%%", "bm90IGpzb24", "W10", ""):
+    for broken in ("%%%", "a.b", "....", "", token[:-1] + "!!", token.replace(".", "", 1)):
         with pytest.raises(ValueError, match="Invalid cursor"):
             first.fetch(broken)
     assert Cursor("k", False, 5, "v", "f").encode() == Cursor("k", False, 5, "v", "f").encode()

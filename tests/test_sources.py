@@ -225,3 +225,31 @@ def test_sqlite_is_read_in_row_ranges_over_a_folder(spark, tmp_path):
     df = scan_sqlite(spark, str(tmp_path), "members", rows_per_partition=10)
     assert df.rdd.getNumPartitions() == 4
     assert df.count() == 32 and df.agg(F.sum("score")).first()[0] == sum(range(25)) + sum(range(7))
+
+
+def test_ids_follow_the_names_of_unequal_files(spark, tmp_path):
+    for kind in ("csv", "parquet"):
+        folder = tmp_path / kind
+        for piece, (low, high) in enumerate([(0, 10), (10, 60_000), (60_000, 60_500)]):
+            rows = spark.range(low, high, numPartitions=1)
+            writer = rows.write.option("header", True)
+            (writer.csv if kind == "csv" else writer.parquet)(str(folder / f"piece={piece}"))
+        frame = load(spark, str(folder), f"pieces_{kind}", kind).frame
+        ids = [r.id for r in frame.orderBy(ROWID).select("id").collect()]
+        assert ids == list(range(60_500)), kind
+
+
+def test_sorted_export_loads_in_its_order(spark, tmp_path):
+    rows = spark.range(20_000).repartition(6, "id").withColumn(ROWID, F.col("id"))
+    rows = rows.withColumn("k", (F.col("id") * 7919) % 1000)
+    out = str(tmp_path / "out")
+    export_csv(rows, out, sort="k")
+    back = [r.k for r in load(spark, out, "back", "csv").frame.orderBy(ROWID).select("k").collect()]
+    assert len(back) == 20_000 and back == sorted(back)
+
+
+def test_views_of_like_names_are_not_replaced(spark, tmp_path):
+    path = _save(tmp_path / "t.csv", "n\n1\n")
+    load(spark, path, "like-name")
+    with pytest.raises(ValueError, match="would replace the view of 'like-name'"):
+        load(spark, path, "like.name")
