@@ -1,7 +1,8 @@
 """Paging through a filtered, sorted table by keyset cursor or by page number.
 
-Every page plans as a per-partition top-k (``TakeOrderedAndProject``); a cursor adds a predicate on
-the sort column and the row id that Parquet row groups can be pruned by.
+A page is found by a per-partition top-k over filter and sort columns and the row id alone; then its
+rows are read by id, through ranges that Parquet row groups can be pruned by. A cursor adds a
+predicate on the sort column and the row id.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from gleanframe.plans.filters import check_filters, predicate
 
 DEFAULT_SIZE = 200
 MAX_SIZE = 10_000
-SHALLOW_ROWS = 100_000  # up to here a page is reached by a top-k with offset
-ROWID_SPANS = (4, 4_096, 16_777_216, None)  # row ids looked through per wanted row
 ID_RANGES = 64
 _KEY, _KEY_TEXT = "_sort_key", "_sort_key_text"
 
@@ -96,63 +95,57 @@ class Pager:
         beyond = self.key < anchor if self.descending else self.key > anchor
         return beyond | ((self.key == anchor) & forward) | self.key.isNull()
 
-    def _take(self, rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-        extra = [self.rowid]
-        if self.sort is not None:
-            extra += [self.key.alias(_KEY), key_text(self.key, self.key_type).alias(_KEY_TEXT)]
-        ordered = rows.orderBy(*self._order())
-        if offset:
-            ordered = ordered.offset(offset)
-        return ordered.limit(limit).select(*[col(c) for c in self.columns], *extra)
+    def _rows(self, cursor: str | None) -> DataFrame:
+        if cursor is None:
+            return self.filtered
+        at = Cursor.decode(cursor, self.sort, self.descending, self.fingerprint)
+        return self.filtered.where(self._after(at.key, at.rowid))
+
+    def _narrow(self, rows: DataFrame, limit: int) -> DataFrame:
+        """Row ids and sort keys of the first ``limit`` rows in page order."""
+        keys = [] if self.sort is None else [key_text(self.key, self.key_type).alias(_KEY_TEXT)]
+        return rows.orderBy(*self._order()).limit(limit).select(self.rowid, *keys)
+
+    def _read(self, rows: DataFrame) -> DataFrame:
+        """The first page of ``rows`` with the row id and, where there is one, the sort key."""
+        ids = [r[0] for r in self._narrow(rows, self.size).select(self.rowid).collect()]
+        wanted = self.source.where(self._with_ids(ids)) if ids else self.source.limit(0)
+        keys = [] if self.sort is None else [self.key.alias(_KEY)]
+        page = wanted.orderBy(*self._order()).limit(self.size)
+        return page.select(*[col(c) for c in self.columns], self.rowid, *keys)
 
     def _visible(self, page: DataFrame) -> DataFrame:
         return page.select(*[col(c) for c in self.columns])
 
     def page(self, cursor: str | None = None) -> DataFrame:
-        """The first page, or the page behind ``cursor``."""
-        return self._visible(self._take(self._rows(cursor), self.size))
+        """The first page, or the page behind ``cursor``. Its ids are looked up at once."""
+        return self._visible(self._read(self._rows(cursor)))
 
-    def _rows(self, cursor: str | None) -> DataFrame:
-        if cursor is None:
-            return self.filtered
-        at = Cursor.decode(cursor, self.sort, self.descending, self.fingerprint)
-        return self.filtered.where(self._after(at.key, at.rowid))
+    def next_cursor(self, cursor: str | None = None) -> str | None:
+        """The cursor behind the page at ``cursor``, or None after the last; no row is read for it."""
+        return self._token(self._narrow(self._rows(cursor), self.size + 1).collect())
 
-    def fetch(self, cursor: str | None = None) -> FetchedPage:
-        """Rows of one page on the driver (at most 10,000) and the cursor of the next.
+    def _token(self, anchors: list[Row]) -> str | None:
+        """A cursor behind the page, from the anchors of its rows and of one more if there is one."""
+        if len(anchors) <= self.size:
+            return None
+        last = anchors[self.size - 1]
+        key = last[_KEY_TEXT] if self.sort is not None else None
+        return Cursor(self.sort, self.descending, last[ROWID], key, self.fingerprint).encode()
 
-        Only filter and sort columns are scanned to find the page; its rows are then read by id.
-        """
-        anchors = self._anchors(cursor)
-        page, has_more = anchors[: self.size], len(anchors) > self.size
-        ids = [a[ROWID] for a in page]
+    def fetch(self, cursor: str | None = None) -> FetchedPage:
+        """Rows of one page on the driver (at most 10,000) and the cursor of the next."""
+        anchors = self._narrow(self._rows(cursor), self.size + 1).collect()
+        ids = [a[ROWID] for a in anchors[: self.size]]
         rows = {}
         if ids:
             wanted = self.source.where(self._with_ids(ids))
             whole = wanted.select(*[col(c) for c in self.columns], self.rowid).collect()
             rows = {r[-1]: r[:-1] for r in whole}
-        token = None
-        if has_more:
-            key = page[-1][_KEY_TEXT] if self.sort is not None else None
-            token = Cursor(self.sort, self.descending, ids[-1], key, self.fingerprint).encode()
         visible = Row(*self.columns)
-        return FetchedPage([visible(*rows[i]) for i in ids], has_more, token)
-
-    def _anchors(self, cursor: str | None) -> list[Row]:
-        """Row id and sort key of the page's rows and of one more."""
-        rows, limit = self._rows(cursor), self.size + 1
-        if self.sort is not None:
-            key = key_text(self.key, self.key_type).alias(_KEY_TEXT)
-            return rows.orderBy(*self._order()).limit(limit).select(self.rowid, key).collect()
-        # In row order the page usually lies right behind its start. An upper bound on the id lets
-        # Parquet skip the rest of the table; it grows until enough rows pass the filters.
-        start = Cursor.decode(cursor, None, False, self.fingerprint).rowid if cursor else -1
-        for span in ROWID_SPANS:
-            near = rows if span is None else rows.where(self.rowid <= start + span * limit)
-            found = near.orderBy(*self._order()).limit(limit).select(self.rowid).collect()
-            if len(found) == limit:
-                break
-        return found
+        return FetchedPage(
+            [visible(*rows[i]) for i in ids], len(anchors) > self.size, self._token(anchors)
+        )
 
     def _with_ids(self, ids: Sequence[int]) -> Column:
         """Rows with these ids; a few ranges around them let Parquet skip row groups."""
@@ -165,7 +158,7 @@ class Pager:
 
     def has_more(self, cursor: str | None = None) -> DataFrame:
         """One row: rows on the page and whether another page follows."""
-        window = self._take(self._rows(cursor), self.size + 1)
+        window = self._narrow(self._rows(cursor), self.size + 1)
         n = F.count(F.lit(1))
         return window.agg(
             F.least(n, F.lit(self.size)).alias("rows"), (n > self.size).alias("has_more")
@@ -180,18 +173,18 @@ class Pager:
             total.alias("total_rows"), kept.alias("filtered_rows"), pages.alias("total_pages")
         )
 
-    def jump(self, page: int, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+    def jump(self, page: int) -> DataFrame:
         """Any page by its 0-based number.
 
-        Near pages are one top-k with an offset. For far pages the first row's key is found by
-        exact rank selection (counts only), then the page is read like one behind a cursor.
+        The first row's key is found by exact rank selection over sort key and row id (counts only),
+        then the page is read like one behind a cursor.
         """
+        return self._visible(self._read(self._from_page(page)))
+
+    def _from_page(self, page: int) -> DataFrame:
         if isinstance(page, bool) or not isinstance(page, int) or page < 0:
             raise ValueError("page must be at least 0")
-        first = page * self.size
-        if first + self.size <= shallow_rows:
-            return self._visible(self._take(self.filtered, self.size, first))
-        return self._visible(self._take(self._from_rank(first), self.size))
+        return self._from_rank(page * self.size) if page else self.filtered
 
     def _from_rank(self, rank: int) -> DataFrame:
         rows = self.filtered
@@ -220,13 +213,7 @@ class Pager:
 
     def numbered(self, page: int) -> DataFrame:
         """A page with the table-wide row number of each row, counted from 1."""
-        if isinstance(page, bool) or not isinstance(page, int) or page < 0:
-            raise ValueError("page must be at least 0")
-        first = page * self.size
-        if first + self.size <= SHALLOW_ROWS:
-            taken = self._take(self.filtered, self.size, first)
-        else:
-            taken = self._take(self._from_rank(first), self.size)
+        taken, first = self._read(self._from_page(page)), page * self.size
         # the window sees one page only, so its single partition is bounded by the page size
         order = self._order(F.col(_KEY))
         number = F.row_number().over(W.orderBy(*order)) + F.lit(first)

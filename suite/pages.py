@@ -21,7 +21,7 @@ def _behind(pager, pages):
     def run(spark, folder):
         p, cursor = pager(spark, folder), None
         for _ in range(pages):
-            cursor = p.fetch(cursor).next_cursor
+            cursor = p.next_cursor(cursor)
             if cursor is None:  # no further page
                 return p.page().limit(0)
         return p.page(cursor)
@@ -94,23 +94,19 @@ QUERIES = {
     "page_jump_far_number": (
         lambda spark, folder: _pager("orders", sort="o_totalprice", direction="desc")(
             spark, folder
-        ).jump(50, shallow_rows=0),
+        ).jump(50),
         "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 200 OFFSET 10000",
     ),
     "page_jump_far_text": (
-        lambda spark, folder: _pager("events", sort="event_type")(spark, folder).jump(
-            33, shallow_rows=0
-        ),
+        lambda spark, folder: _pager("events", sort="event_type")(spark, folder).jump(33),
         "SELECT * FROM events ORDER BY event_type, event_id LIMIT 200 OFFSET 6600",
     ),
     "page_jump_far_unsorted": (
-        lambda spark, folder: _pager("customer", size=500)(spark, folder).jump(2, shallow_rows=0),
+        lambda spark, folder: _pager("customer", size=500)(spark, folder).jump(2),
         "SELECT * FROM customer ORDER BY c_custkey LIMIT 500 OFFSET 1000",
     ),
     "page_jump_far_nulls": (
-        lambda spark, folder: _pager("judged", sort="quality", size=100)(spark, folder).jump(
-            8, shallow_rows=0
-        ),
+        lambda spark, folder: _pager("judged", sort="quality", size=100)(spark, folder).jump(8),
         f"SELECT * FROM {JUDGED_SQL} ORDER BY quality NULLS LAST, doc_id LIMIT 100 OFFSET 800",
     ),
     "page_visible_columns": (

@@ -46,6 +46,7 @@ def _walk(pager):
         page = pager.fetch(cursor)
         ids += [r["id"] for r in page.rows]
         assert page.has_more == (page.next_cursor is not None)
+        assert page.next_cursor == pager.next_cursor(cursor)
         if not page.has_more:
             return ids
         assert len(page.rows) == pager.size
@@ -71,9 +72,8 @@ def test_far_jumps_equal_cursor_pages(edge, column, direction):
     pager = Pager(rows, sort=column, direction=direction, size=50)
     want = _expected(edge, column, direction)
     for page in (0, 2, 4, 5):
-        got = [r["id"] for r in pager.jump(page, shallow_rows=0).collect()]
+        got = [r["id"] for r in pager.jump(page).collect()]
         assert got == want[page * 50 : page * 50 + 50]
-        assert [r["id"] for r in pager.jump(page).collect()] == got
 
 
 def test_unsorted_pages_across_wide_gaps_of_ids(spark):

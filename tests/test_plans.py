@@ -71,13 +71,13 @@ def test_pages_are_top_k_and_read_visible_columns_only(orders):
 
 
 def test_far_jump_sorts_one_page_only(orders):
-    frame = Pager(orders, sort="o_totalprice", size=20).jump(40, shallow_rows=0)
+    frame = Pager(orders, sort="o_totalprice", size=20).jump(40)
     plan = _plan(frame)
     assert re.search(r"TakeOrderedAndProject\n.*\nArguments: 20,", plan) and "Exchange" not in plan
 
 
 def test_grouping_aggregates_before_the_shuffle(lineitem):
-    spec = {"groupBy": ["l_returnflag"], "aggregations": [{"op": "sum", "column": "l_quantity", "as": "q"}], "sort": [{"column": "q"}]}
+    spec = {"groupBy": ["l_returnflag"], "aggregations": [{"op": "sum", "column": "l_quantity", "as": "q"}], "sort": [{"column": "q"}], "limit": 50}
     plan = _plan(table_query(lineitem, spec))
     assert "partial_sum" in plan and len(re.findall(r"\(\d+\) Exchange", plan)) == 1
     assert "rangepartitioning" not in plan
