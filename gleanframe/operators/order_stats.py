@@ -179,7 +179,7 @@ def _interpolated(lower: Column, upper: Column, part: Column) -> Column:
     return F.when(part == 0, lower).otherwise(lower * (1 - part) + upper * part)
 
 
-def _ordered_quantiles(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+def quantiles_of_few(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """Quantiles from value counts few enough for one task: a running count in value order."""
     upto = W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     running = counts.select("v", F.sum("n").over(upto).alias("upto"))
@@ -245,7 +245,7 @@ def quantiles(
     above everything.
     """
     if size.few:
-        return _ordered_quantiles(counts, probabilities)
+        return quantiles_of_few(counts, probabilities)
     return _selected_quantiles(values, probabilities, size.rows)
 
 

@@ -1,8 +1,9 @@
 """Column profiles over all rows.
 
-The facets of a profile are weighted aggregates over the column's value counts, which one shuffle
-builds and all facets of a query share. First-pass results (quantiles, mean length) reach the
-second pass as scalar subqueries, so a profile stays one lazy DataFrame and nothing is joined.
+What concerns single values (moments, lengths, patterns) is aggregated over the rows; what needs
+distinct values is read from the column's value counts, which one shuffle builds and all facets of a
+query share, for texts by digest. First-pass results (quantiles, mean length) reach the second pass
+as scalar subqueries, so a profile stays one DataFrame and nothing is joined.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from gleanframe.operators.order_stats import (
     ORDERED_VALUES,
     Size,
     quantiles,
+    quantiles_of_few,
     sample_rows,
     size_of,
 )
-from gleanframe.operators.value_counts import ranked, rows_in, value_counts
+from gleanframe.operators.value_counts import ranked, value_counts
 
 # Thresholds and sizes of the profile.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -33,9 +35,14 @@ HIGH_CARDINALITY_PCT, MEDIUM_CARDINALITY_PCT, POSSIBLE_KEY_PCT = 80, 20, 98
 LOW_TAIL_PCT, MEDIUM_TAIL_PCT = 70, 40
 
 
+def _digest(v: Column) -> Column:
+    return F.unhex(F.md5(v.cast("binary")))
+
+
 @dataclass(frozen=True)
 class Profile:
-    """Profile of one column; every property is a lazy DataFrame.
+    """Profile of one column. Facets are DataFrames; those of numbers count the table first, to
+    place their quantiles.
 
     ``max_rows`` profiles a deterministic sample when the table is larger. ``ordered_values`` is the
     number of distinct values up to which one task orders them for the quantiles.
@@ -88,11 +95,17 @@ class Profile:
         """Value counts without the nulls. All uses read ``n``, so they share one shuffle."""
         return value_counts(self._rows.where(F.col("v").isNotNull()), F.col("v"))
 
+    @cached_property
+    def _keys(self) -> DataFrame:
+        """Value counts ``(v, n)`` without the nulls; texts stand as a 16-byte digest, so that counting
+        long ones shuffles no text."""
+        if self.type != "string":
+            return self._present
+        return value_counts(self._rows.where(F.col("v").isNotNull()), _digest(F.col("v")))
+
     @cached_property
     def _distinct(self) -> Column:
-        totals = self._present.agg(
-            F.struct(F.count("v").alias("values"), F.sum("n").alias("rows"))
-        )
+        totals = self._keys.agg(F.struct(F.count("v").alias("values"), F.sum("n").alias("rows")))
         return F.coalesce(totals.scalar()["values"], F.lit(0)).cast("bigint")
 
     def _present_where(self, condition: Column) -> DataFrame:
@@ -114,11 +127,11 @@ class Profile:
             F.count(v).alias("non_null_count"),
             F.count_if(v.isNull()).alias("null_count"),
         )
-        leaders = ranked(self._present, 2).agg(
+        # A text is looked up by its digest, once the most frequent one is known.
+        shown = F.lit(None).cast("string") if self.type == "string" else display_text(v, self._value_type)
+        leaders = ranked(self._keys, 2).agg(
             F.array_sort(
-                F.collect_list(
-                    F.struct((-n).alias("order"), v, display_text(v, self._value_type).alias("text"))
-                )
+                F.collect_list(F.struct((-n).alias("order"), v, shown.alias("text")))
             ).alias("top")
         )
         rows, filled, nulls, unique = (
@@ -139,6 +152,10 @@ class Profile:
         first, second = F.get(top, F.lit(0)), F.get(top, F.lit(1))
         tie = F.coalesce(first["order"] == second["order"], F.lit(False))
         top_count = -first["order"]
+        value = first["text"]
+        if self.type == "string":
+            leader = F.get(leaders.scalar(), F.lit(0))["v"]
+            value = self._rows.where(_digest(v) == leader).agg(F.min("v")).scalar()
         return counted.select(
             "*", self._distinct.alias("unique_count"), leaders.scalar().alias("top")
         ).select(
@@ -150,7 +167,7 @@ class Profile:
             cardinality.alias("cardinality_pct"),
             band.alias("cardinality_band"),
             key.alias("key_hint"),
-            F.when(tie, "none").otherwise(first["text"]).alias("dominant_value"),
+            F.when(tie, "none").otherwise(value).alias("dominant_value"),
             top_count.alias("dominant_count"),
             F.when(~tie & top_count.isNotNull(), pct(top_count, filled)).alias("dominant_share_pct"),
         )
@@ -290,21 +307,26 @@ class Profile:
             pct(F.col("n"), F.col("filled"), 1).alias("share_pct"),
         )
 
+    @cached_property
+    def _texts(self) -> DataFrame:
+        self._require("string")
+        return self._rows.where(F.col("v").isNotNull())
+
     @cached_property
     def _measured(self) -> DataFrame:
-        """Value counts with ``m``, the mean and population standard deviation of the text length,
-        from exact integer sums."""
-        size, n = F.length("v").cast("decimal(10,0)"), F.col("n").cast("decimal(18,0)")
-        sums = self._present.agg(
-            F.sum("n").alias("rows"),
-            F.sum((size * n).cast("decimal(28,0)")).alias("s1"),
-            F.sum((size * size * n).cast("decimal(38,0)")).alias("s2"),
+        """The texts with ``m``, the mean and population standard deviation of their length, from
+        exact integer sums."""
+        size = F.length("v").cast("decimal(10,0)")
+        sums = self._texts.agg(
+            F.count("v").alias("rows"), F.sum(size).alias("s1"), F.sum((size * size).cast("decimal(28,0)")).alias("s2")
         )
         rows, s1 = F.col("rows").cast("double"), F.col("s1").cast("double")
         mean = s1 / rows
         spread = F.greatest(F.col("s2").cast("double") / rows - mean * mean, F.lit(0.0))
-        lengths = sums.select(F.struct(mean.alias("mean"), F.sqrt(spread).alias("stddev"))).scalar()
-        return self._present.select("v", "n", lengths.alias("m"))
+        lengths = sums.select(
+            F.when(rows > 0, F.struct(mean.alias("mean"), F.sqrt(spread).alias("stddev")))
+        ).scalar()
+        return self._texts.select("v", lengths.alias("m"))
 
     def _length_outlier(self) -> Column:
         off = F.abs(F.length("v") - F.col("m.mean"))
@@ -313,24 +335,21 @@ class Profile:
     def string_stats(self) -> DataFrame:
         """Lengths, blanks, sentinels, length outliers, shapes and top-10 coverage: one row."""
         self._require("string")
-        v, n = F.col("v"), F.col("n")
+        v = F.col("v")
         raw = self._measured.agg(
-            rows_in(n).alias("rows"),
+            F.count(v).alias("rows"),
             F.min(F.length(v)).alias("min_length"),
             F.max(F.length(v)).alias("max_length"),
-            F.percentile(F.length(v), F.lit(0.5), n).alias("median_length"),
-            rows_in(n, text.is_blank(v)).alias("blank_count"),
-            rows_in(n, text.sentinel_token(v).isNotNull()).alias("sentinel_count"),
-            rows_in(n, self._length_outlier()).alias("outlier_length_count"),
-        )
-        shapes = (
-            self._stripped()
-            .groupBy(text.shape(F.col("v")).alias("shape"))
-            .agg(F.sum("n").alias("n"))
-            .agg(F.count(F.lit(1)))
-            .scalar()
+            F.count_if(text.is_blank(v)).alias("blank_count"),
+            F.count(text.sentinel_token(v)).alias("sentinel_count"),
+            F.count_if(self._length_outlier()).alias("outlier_length_count"),
         )
-        top = ranked(self._present, TOP_VALUES).agg(F.sum("n")).scalar()
+        # One row for each length that occurs.
+        lengths = value_counts(self._texts, F.length(v).cast("double"))
+        median = quantiles_of_few(lengths, (0.5,)).select(F.get("q", F.lit(0))).scalar()
+        raw = raw.select("*", median.alias("median_length"))
+        shapes = value_counts(self._stripped(), _digest(text.shape(v))).agg(F.count(F.lit(1))).scalar()
+        top = ranked(self._keys, TOP_VALUES).agg(F.sum("n")).scalar()
         rows, covered = F.col("rows"), F.coalesce(F.col("top"), F.lit(0))
         coverage = share(covered, rows)
         tail = (
@@ -353,17 +372,16 @@ class Profile:
         )
 
     def _stripped(self) -> DataFrame:
-        filled = self._present_where(~text.is_blank(F.col("v")))
-        return filled.select(text.strip(F.col("v")).alias("v"), "n")
+        filled = self._texts.where(~text.is_blank(F.col("v")))
+        return filled.select(text.strip(F.col("v")).alias("v"))
 
     def sentinel_tokens(self) -> DataFrame:
         """``(token, count)`` of texts that stand for a missing value."""
-        self._require("string")
-        token = text.sentinel_token(F.col("v"))
+        tokens = self._texts.select(text.sentinel_token(F.col("v")).alias("token"))
         return (
-            self._present_where(token.isNotNull())
-            .groupBy(token.alias("token"))
-            .agg(F.sum("n").alias("count"))
+            tokens.where("token IS NOT NULL")
+            .groupBy("token")
+            .agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), F.asc("token"))
         )
 
@@ -372,7 +390,8 @@ class Profile:
         self._require("string")
         off = F.abs(F.length("v") - F.col("m.mean"))
         return (
-            self._measured.where(F.when(F.col("n") > 0, self._length_outlier()))
+            self._measured.where(self._length_outlier())
+            .distinct()
             .orderBy(off.desc(), F.asc("v"))
             .limit(EXAMPLES)
             .select(
@@ -388,7 +407,7 @@ class Profile:
         classes = (
             self._stripped()
             .groupBy(text.pattern_class(F.col("v")).alias("label"))
-            .agg(F.sum("n").alias("count"))
+            .agg(F.count(F.lit(1)).alias("count"))
         )
         total = classes.agg(F.sum("count").alias("n")).scalar()
         return (

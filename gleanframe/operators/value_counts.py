@@ -14,12 +14,6 @@ def value_counts(df: DataFrame, value: Column) -> DataFrame:
     return df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rows_in(n: Column, condition: Column | None = None) -> Column:
-    """Sum of the counts of the rows that meet a condition, 0 instead of null."""
-    kept = n if condition is None else F.when(condition, n)
-    return F.coalesce(F.sum(kept), F.lit(0)).cast("bigint")
-
-
 def ranked(counts: DataFrame, rows: int) -> DataFrame:
     """The most frequent values: count descending, then value ascending (a per-partition top-k)."""
     return counts.orderBy(F.desc("n"), F.asc("v")).limit(rows)

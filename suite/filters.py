@@ -59,8 +59,8 @@ QUERIES = {
         "SELECT * FROM documents WHERE contains(lower(text), 'éa')",
     ),
     "filter_contains_literal": (
-        _filter("pages", ("url", "contains", "?page=2&ref_")),
-        "SELECT * FROM pages WHERE contains(lower(url), '?page=2&ref_')",
+        _filter("pages", ("url", "contains", "?PAGE=2&r")),
+        "SELECT * FROM pages WHERE contains(lower(url), '?page=2&r')",
     ),
     "filter_starts_with": (
         _filter("part", ("p_name", "starts_with", "SMALL")),

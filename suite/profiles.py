@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanframe import ROWID, Profile, profile
+from gleanframe.functions.columns import display_text
 from gleanframe.operators.order_stats import sample_rows
 from gleanframe.functions.text import CODE, DIGITS, EMAIL, UUID
 from suite.common import JUDGED_SQL, identified, judged, table
@@ -225,21 +226,91 @@ def _sampled_profile(spark, folder):
     )
 
 
-def _whole(source, column):
-    """The nested one-row profile, with the leading facts compared."""
+#: Nested facets of a profile and the columns their items have; all values are compared as text.
+_LISTED = {
+    "histogram": ("bin", "low", "high", "count"),
+    "tail_values": ("tail", "value", "count"),
+    "top_values": ("value", "count", "share_pct"),
+    "sentinel_tokens": ("token", "count"),
+    "length_outliers": ("example", "length", "distance"),
+    "pattern_classes": ("label", "count", "share_pct"),
+}
+_MONTHS = {"histogram": ("label", "count")}
+
+
+def _line(name, fields, types):
+    def item(x):
+        texts = [_text(x[f], types[f].dataType) for f in fields]
+        return F.struct(F.lit(name).alias("facet"), F.concat_ws("|", *texts).alias("item"))
+
+    return item
+
+
+def _whole(source, column, lists):
+    """The nested one-row profile as long rows ``(facet, item)``: every fact of every facet."""
 
     def run(spark, folder):
         df = source(spark, folder) if callable(source) else table(spark, folder, source)
-        return profile(df, column).select(
-            "column", "type", "sampled", "total_rows", "unique_count", "key_hint", "stats.*"
-        )
+        whole = profile(df, column)
+        single = [f for f in whole.columns if f not in lists and f not in ("column", "sampled", "stats")]
+        facts = [(f, whole.schema[f].dataType) for f in single]
+        facts += [(f"stats.{f.name}", f.dataType) for f in whole.schema["stats"].dataType]
+        items = [F.array(F.struct(F.lit(n).alias("facet"), _text(F.col(n), t).alias("item"))) for n, t in facts]
+        for name, fields in lists.items():
+            items.append(F.transform(name, _line(name, fields, whole.schema[name].dataType.elementType)))
+        return whole.select(F.inline(F.concat(*items)))
 
     return run
 
 
-def _whole_sql(source, c, kind, stats):
-    return f"""SELECT '{c}' AS "column", '{kind}' AS type, false AS sampled, u.sample_size AS total_rows,
-  u.unique_count, u.key_hint, s.* FROM ({_universal(source, c)}) u, ({stats(source, c)}) s"""
+def _text(c, data_type):
+    """Numbers in one form in both engines: a whole double as an integer."""
+    return F.regexp_replace(F.coalesce(display_text(c, data_type), F.lit("none")), r"\.0$", "")
+
+
+def _text_sql(c):
+    return rf"""regexp_replace(coalesce(({c})::VARCHAR, 'none'), '\.0$', '')"""
+
+
+def _whole_sql(source, c, kind, stats, stat_names, lists):
+    def unpivoted(prefix, names, sql):
+        return [f"""SELECT '{prefix}{n}' AS facet, {_text_sql(f'"{n}"')} AS item FROM ({sql})""" for n in names]
+
+    universal = (
+        "non_null_count null_count unique_count coverage_pct cardinality_pct cardinality_band key_hint "
+        "dominant_value dominant_count dominant_share_pct sample_size"
+    ).split()
+    parts = [
+        f"SELECT 'type' AS facet, '{kind}' AS item",
+        f"SELECT 'total_rows' AS facet, count(*)::VARCHAR AS item FROM {source} t",
+        *unpivoted("", universal, _universal(source, c)),
+        *unpivoted("stats.", stat_names, stats(source, c)),
+    ]
+    for name, (fields, sql) in lists.items():
+        line = " || '|' || ".join(_text_sql(f'"{f}"') for f in fields)
+        parts.append(f"SELECT '{name}' AS facet, {line} AS item FROM ({sql})")
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+_NUMERIC_STATS = (
+    "min max sum mean median stddev p5 p25 p75 p95 p99 iqr distinct_count uniqueness_rate_pct duplicate_rate_pct "
+    "zero_rate_pct negative_rate_pct outlier_count outlier_rate_pct low_tail_count low_tail_rate_pct "
+    "high_tail_count high_tail_rate_pct"
+).split()
+_STRING_STATS = (
+    "min_length max_length median_length blank_count blank_pct sentinel_count outlier_length_count "
+    "outlier_length_pct distinct_pattern_count top10_coverage_pct tail_profile"
+).split()
+_DATE_STATS = "min max missing_period_days largest_gap_days".split()
+_BOOLEAN_STATS = [f"{k}_{what}" for what in ("count", "share_pct") for k in ("true", "false", "null")]
+
+
+def _lists(*names):
+    return {n: _LISTED[n] for n in names}
+
+
+def _of_lists(source, c, **sqls):
+    return {n: ((_MONTHS if n == "histogram" and sql is _months else _LISTED)[n], sql(source, c)) for n, sql in sqls.items()}
 
 
 QUERIES = {
@@ -318,15 +389,33 @@ QUERIES = {
     ),
     "profile_boolean": (_of(judged, "good", "boolean_stats"), _boolean(JUDGED_SQL, "good")),
     "profile_whole_numeric": (
-        _whole("orders", "o_totalprice"),
-        _whole_sql("orders", "o_totalprice", "float", _numeric),
+        _whole("orders", "o_custkey", _lists("histogram", "tail_values")),
+        _whole_sql(
+            "orders", "o_custkey", "integer", _numeric, _NUMERIC_STATS,
+            _of_lists("orders", "o_custkey", histogram=_histogram, tail_values=_tails),
+        ),
     ),
     "profile_whole_string": (
-        _whole("conversations", "text"),
-        _whole_sql("conversations", "text", "string", _string),
+        _whole(
+            "conversations", "text",
+            _lists("top_values", "sentinel_tokens", "length_outliers", "pattern_classes"),
+        ),
+        _whole_sql(
+            "conversations", "text", "string", _string, _STRING_STATS,
+            _of_lists(
+                "conversations", "text", top_values=_top, sentinel_tokens=_sentinels,
+                length_outliers=_outlier_lengths, pattern_classes=_patterns,
+            ),
+        ),
+    ),
+    "profile_whole_date": (
+        _whole("orders", "o_orderdate", _MONTHS),
+        _whole_sql("orders", "o_orderdate", "date", _dates, _DATE_STATS, _of_lists("orders", "o_orderdate", histogram=_months)),
+    ),
+    "profile_whole_boolean": (
+        _whole(judged, "good", {}),
+        _whole_sql(JUDGED_SQL, "good", "boolean", _boolean, _BOOLEAN_STATS, {}),
     ),
-    "profile_whole_date": (_whole("orders", "o_orderdate"), _whole_sql("orders", "o_orderdate", "date", _dates)),
-    "profile_whole_boolean": (_whole(judged, "good"), _whole_sql(JUDGED_SQL, "good", "boolean", _boolean)),
     "profile_sample": (
         _sample,
         "SELECT least(count(*), 5000) AS rows, least(count(*), 5000) AS distinct_rows, "
