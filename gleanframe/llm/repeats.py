@@ -4,8 +4,8 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a doc
 
 Only strings that can repeat are sorted. Every window of ``LENGTH`` bytes has an anchor: the smallest hash of
 the ``GRAM``-byte strings in it, which equal windows share. A run of windows with one anchor is a unit. Units
-whose anchor occurs in one document only cannot repeat and end there; the counts that tell this are
-aggregated before the shuffle. Units that are equal as a whole are settled by the smallest id among
+whose anchor occurs in one document only cannot repeat and end there: units meet by anchor, but those of
+anchors that a sample shows to be frequent, which are known to repeat, travel alone. Units that are equal as a whole are settled by the smallest id among
 them, so a passage in a third of all documents is one unit. What is left, units that share an anchor and differ,
 goes to the suffix arrays: tasks that hold all units of an anchor put them into one string, sort its
 suffixes (triples of the sample, names, recursion, merge) and compare adjacent ones over ``LENGTH``
@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanframe.llm.common import written
 from gleanframe.llm.suffixes import equal_windows
@@ -40,6 +40,8 @@ STRETCH = 1 << 20
 MANY = 2_000
 #: Bytes that go into one suffix array, unless one anchor needs more.
 TEXT_BYTES = 400_000
+#: Of so many documents one is looked at to find anchors of at least this share of documents.
+SAMPLE_EVERY, FREQUENT = 64, 0.005
 #: Units that leave a task in one batch.
 UNITS_AT_ONCE = 20_000
 LAST_ID = (1 << 63) - 1
@@ -127,16 +129,40 @@ def anchored(documents: DataFrame) -> DataFrame:
     return _identified(documents).mapInArrow(merged, UNIT)
 
 
+def frequent_anchors(documents: DataFrame) -> DataFrame:
+    """Anchors in so many documents that no task should hold all their units.
+
+    They are looked for in a sample, and each was seen in two documents there. The list only says
+    which units travel alone; results do not depend on it. A document of k units adds k to the sum of all
+    frequencies, so there are at most ``k / FREQUENT`` of them for the mean k.
+    """
+    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0)
+    size = F.greatest(F.lit(50.0), F.lit(FREQUENT) * sample.count())
+    return (
+        anchored(sample)
+        .groupBy("anchor")
+        .agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+        .where((F.col("n") >= size) & (F.col("low") < F.col("high")))
+        .select(F.col("anchor").alias("frequent"))
+    )
+
+
 def shared_units(documents: DataFrame) -> DataFrame:
     """The units whose anchor occurs in two documents or more."""
-    found = anchored(documents)
-    shared = (
-        found.groupBy("anchor")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        .where("low < high")
-        .select("anchor")
+    frequent = F.broadcast(written(frequent_anchors(documents), "repeats"))
+    found = anchored(documents).join(frequent, F.col("anchor") == F.col("frequent"), "left")
+    # Units of one anchor meet, unless it is frequent: then each is alone.
+    alone = F.when(F.col("frequent").isNotNull(), F.xxhash64("unit", "doc", "at"))
+    together = Window.partitionBy("anchor", "alone")
+    return written(
+        found.withColumn("alone", alone)
+        .drop("frequent")
+        .withColumn("low", F.min("doc").over(together))
+        .withColumn("high", F.max("doc").over(together))
+        .where(F.col("alone").isNotNull() | (F.col("low") < F.col("high")))
+        .drop("alone", "low", "high"),
+        "repeats",
     )
-    return written(found.join(shared, "anchor"), "repeats")
 
 
 def with_content(documents: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -13,9 +13,9 @@ the manifest names it, so lost executors and repeated attempts leave no wrong sh
 as a stream; memory holds one batch of documents and one of sequences. The tokenizer file is
 read by every task from its own installation of the tokenizers' files.
 
-Byte-level BPE never joins across a blank before a word, so a text is encoded blank by blank and
-pieces seen before come from a table of bounded size. Texts where that does not hold (runs of white
-space after a blank, special tokens) are encoded whole.
+Byte-level BPE never joins across a blank or line end between two words, so a text is encoded word by word,
+and words seen before come from a table of bounded size. Texts where that does not hold (runs of
+white space, other white space, special tokens) are encoded whole.
 
 Defined results: a null or empty text is its end id alone. Null ids come first. Rows of one id keep
 together, ordered by a hash of their text. An empty table writes no shard and reads as an empty one.
@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
 
@@ -41,8 +43,8 @@ from gleanframe.llm.common import new_folder, written
 LENGTH = 2048
 BATCH = 64
 END_ID = 2
-#: Entries of a task's table of pieces.
-PIECES = 500_000
+#: Entries of each half of a table of pieces.
+PIECES = 250_000
 PIECES_AT_ONCE = 4096
 # Signs that never share a token with the letter before them.
 SIGNS = ".,;:!?%&*#$|)"
@@ -63,6 +65,26 @@ def store(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
+class Table:
+    """Ids of the pieces seen of late: about the last ``PIECES`` to twice as many."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Those without ids; what only the older half has comes forward."""
+        if len(self.recent) > PIECES:
+            self.recent, self.older = {}, self.recent
+        recent, older, new = self.recent, self.older, []
+        for piece in [p for p in pieces if p not in recent]:
+            if piece in older:
+                recent[piece] = older[piece]
+            else:
+                new.append(piece)
+        return new
+
+
 class Encoder:
     """Texts to little-endian ids, equal to encoding each text whole."""
 
@@ -77,63 +99,89 @@ class Encoder:
         self.kind = np.dtype("<u4" if wide else "<u2")
         self.end = self.pack([end_id])
         specials = sorted(t.content for t in self.model.get_added_tokens_decoder().values())
-        self.unsafe = re.compile("|".join([r" (?:\s|$)", *map(re.escape, specials)]))
-        self.line_end = self.model.encode("\n", add_special_tokens=False).ids[0]
-        self.pieces: dict[str, bytes] = {}
+        self.unsafe = ("  ", "\n\n", " \n", "\n ", *specials)
+        self.other_space = re.compile(r"[^\S \n]")
+        (self.line_end,) = self.model.encode("\n", add_special_tokens=False).ids
+        #: Pieces at the start of a line, and pieces after a blank, which is part of them.
+        self.firsts, self.others = Table(), Table()
 
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self.pack(x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Add pieces to the table, many in one call with line ends between them.
-
-        A line end is a token of its own there, unless a piece has white space inside; such pieces are
-        encoded alone.
-        """
-        plain = [p for p in pieces if len(p.split()) == 1 and not p[1:2].isspace() and (p[0] == " " or not p[0].isspace())]
-        for at in range(0, len(plain), PIECES_AT_ONCE):
-            part = plain[at : at + PIECES_AT_ONCE]
-            ids = np.array(self.model.encode_batch_fast(["\n" + "\n".join(part)], add_special_tokens=False)[0].ids, self.kind)
+    def _learn(self, table: dict[str, bytes], pieces: list[str], blank: str) -> None:
+        """Add pieces to the table, many in one call with line ends, a token of their own, between them."""
+        between, size = "\n" + blank, self.kind.itemsize
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            part = pieces[at : at + PIECES_AT_ONCE]
+            ids = np.array(self._ids([between + between.join(part)])[0], self.kind)
             ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+            data = ids.tobytes()
+            table.update((p, data[(a + 1) * size : b * size]) for p, a, b in zip(part, ends, ends[1:], strict=False))
             if len(ends) != len(part) + 1:
-                self.pieces.update(zip(part, self._whole(part)))
-                continue
-            data, size = ids.tobytes(), self.kind.itemsize
-            self.pieces.update((p, data[(a + 1) * size : b * size]) for p, a, b in zip(part, ends, ends[1:]))
-        odd = [p for p in pieces if p not in self.pieces]
-        self.pieces.update(zip(odd, self._whole(odd)))
+                raise ValueError("a line end is no token of its own in this vocabulary")
 
-    def _look_up(self, new: set[str]) -> None:
+    def _look_up(self, table: Table, pieces: set[str], blank: str) -> None:
         """Make sure that the table has the pieces. A word and the signs after it are encoded apart."""
-        known, joined, missing = self.pieces, [], set()
-        for piece in new:
+        joined, alone, signs = [], set(), set()
+        for piece in table.missing(pieces):
             stem = piece.rstrip(SIGNS)
             if stem != piece and stem[-1:].isalpha():
                 joined.append((piece, stem, piece[len(stem) :]))
-                missing.update((stem, piece[len(stem) :]))
+                alone.add(stem)
+                signs.add(piece[len(stem) :])
             else:
-                missing.add(piece)
-        self._learn([p for p in missing if p not in known])
-        known.update((piece, known[stem] + known[signs]) for piece, stem, signs in joined)
+                alone.add(piece)
+        self._learn(table.recent, table.missing(alone), blank)
+        if signs:
+            self._learn(self.firsts.recent, [x for x in signs if x not in self.firsts.recent], "")
+            tails = self.firsts.recent
+            table.recent.update([(piece, table.recent[stem] + tails[end]) for piece, stem, end in joined])
+
+    def _plain(self, text: str) -> bool:
+        """Whether all white space is one blank or line end between two words."""
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in self.unsafe):
+            return False
+        return self.other_space.search(text) is None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text with the end id."""
-        cut = [None if t and self.unsafe.search(t) else (t or "").split(" ") for t in texts]
-        for pieces in cut:
-            # A piece carries the blank before it; the first of a text has none.
-            if pieces:
-                pieces[1:] = [f" {p}" for p in pieces[1:]]
-        known = self.pieces
-        if len(known) > PIECES:
-            known.clear()
-        self._look_up({p for pieces in cut if pieces for p in pieces if p and p not in known})
-        known[""] = b""
-        whole = iter(self._whole([t for t, pieces in zip(texts, cut) if pieces is None]))
-        find = known.__getitem__
-        return [(next(whole) if p is None else b"".join(map(find, p))) + self.end for p in cut]
+        cut, firsts, others, whole = [], set(), set(), []
+        for text in texts:
+            lines = []
+            if text and not self._plain(text):
+                whole.append(text)
+                lines = None
+            elif text:
+                for line in text.split("\n"):
+                    start, *words = line.split(" ")
+                    firsts.add(start)
+                    others.update(words)
+                    lines.append((start, words))
+            cut.append(lines)
+        self._look_up(self.others, others, " ")
+        self._look_up(self.firsts, firsts, "")
+        first, other = self.firsts.recent, self.others.recent.__getitem__
+        complete, line_end = iter(self._ids(whole)), self.pack([self.line_end])
+        result = []
+        for lines in cut:
+            if lines is None:
+                result.append(self.pack(next(complete)) + self.end)
+                continue
+            parts = [first[start] + b"".join(map(other, words)) for start, words in lines]
+            result.append(line_end.join(parts) + self.end)
+        return result
+
+
+def process_encoder(tokenizer: str, end_id: int) -> Encoder:
+    """The encoder of this Python process, which serves many tasks one after another."""
+    name = f"gleanframe encoder {tokenizer} {end_id}"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].encoder = Encoder(tokenizer, end_id)
+    return sys.modules[name].encoder
 
 
 def _chunks(batch: pa.RecordBatch):
@@ -159,7 +207,7 @@ def write_tokens(
     """Write ``documents`` to ``folder``; the manifest has one row for each shard, in id order."""
 
     def shard(batches):
-        encoder, writer, index, sink = Encoder(tokenizer, end_id), None, None, []
+        encoder, writer, index, sink = process_encoder(tokenizer, end_id), None, None, []
         number = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{number:06d}-{uuid.uuid4().hex[:12]}"
         size = encoder.kind.itemsize

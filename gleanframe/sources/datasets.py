@@ -119,11 +119,13 @@ def with_rowid(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def scan(spark: SparkSession, path: str, file_format: str | None = None, entity: str | None = None, schema=None) -> DataFrame:
-    """Read a source without materialising it."""
+def scan(
+    spark: SparkSession, path: str, file_format: str | None = None, entity: str | None = None, schema=None, **csv: Any
+) -> DataFrame:
+    """Read a source without materialising it. ``csv`` are options of :func:`scan_csv`."""
     file_format = file_format or format_of(path)
     if file_format == "csv":
-        return scan_csv(spark, path, schema)
+        return scan_csv(spark, path, schema, **csv)
     if file_format == "parquet":
         return scan_parquet(spark, path)
     if file_format == "excel":
@@ -141,22 +143,31 @@ def load(
     entity: str | None = None,
     schema: T.StructType | str | None = None,
     store: str | None = None,
+    **csv: Any,
 ) -> Dataset:
     """Load a source once into Parquet with row identity and register it as ``name``."""
     file_format = file_format or format_of(path)
-    rows = scan(spark, path, file_format, entity, schema)
+    rows = scan(spark, path, file_format, entity, schema, **csv)
     frame = with_rowid(rows, store or shared_folder(spark, "dataset"))
     return Dataset(name, "file", path, frame, frame.count()).register()
 
 
-def discover(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
-    """``(path, name, kind, row_count)`` of everything that can be imported from a path."""
+def discover(spark: SparkSession, path: str, file_format: str | None = None, **csv: Any) -> DataFrame:
+    """``(path, name, kind, row_count)`` of everything that can be imported from a path.
+
+    Rows of a CSV input are counted without reading types.
+    """
     file_format = file_format or format_of(path)
     if file_format == "excel":
         return discover_workbook(spark, path)
     if file_format == "sqlite":
         return discover_sqlite(spark, path)
-    rows = scan(spark, path, file_format)
+    if file_format == "csv":
+        # One text column: the header gives the count of rows, the fields do not matter.
+        csv = {"delimiter": ",", "multiline": False, **csv}
+        rows = spark.read.option("header", True).option("multiLine", csv["multiline"]).schema("line string").csv(path)
+    else:
+        rows = scan(spark, path, file_format)
     return rows.agg(
         F.lit(path).alias("path"),
         F.lit("data").alias("name"),

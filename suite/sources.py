@@ -33,7 +33,20 @@ def _csv_texts(spark, folder):
     """Texts with quotes and line breaks."""
     target = shared_folder(spark, "export")
     export_csv(identified(spark, folder, "documents"), target)
-    return scan(spark, target, "csv")
+    return scan(spark, target, "csv", multiline=True)
+
+
+def _csv_dialect(delimiter):
+    """Orders with another delimiter and days written the other way round, found out by the scan."""
+
+    def run(spark, folder):
+        target = shared_folder(spark, "dialect")
+        rows = _orders(spark, folder).withColumn("day", F.date_format("day", "dd/MM/yyyy"))
+        rows.write.option("header", True).option("sep", delimiter).csv(target)
+        found = scan(spark, target, "csv")
+        return found.select(F.col("id").cast("bigint").alias("id"), "status", "price", "day")
+
+    return run
 
 
 def _csv_with_schema(spark, folder):
@@ -140,6 +153,8 @@ QUERIES = {
         "SELECT count(*) AS rows, count(*) AS ids, count(*) AS known, max(o_orderkey) AS last_key, "
         "min(o_orderkey) AS first_key FROM orders",
     ),
+    "csv_semicolons_and_written_days": (_csv_dialect(";"), _ORDERS_SQL.format(id="o_orderkey")),
+    "csv_tabs_and_written_days": (_csv_dialect("\t"), _ORDERS_SQL.format(id="o_orderkey")),
     "load_files_in_order": (
         _files_in_order,
         "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, o_orderkey FROM orders",

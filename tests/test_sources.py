@@ -52,7 +52,37 @@ def test_csv_types_and_nulls(spark, tmp_path):
 
 def test_csv_with_line_breaks_in_fields(spark, tmp_path):
     path = _save(tmp_path / "t.csv", 'id,note\n1,"two\nlines"\n2,plain\n')
-    assert [tuple(r) for r in scan(spark, path).orderBy("id").collect()] == [(1, "two\nlines"), (2, "plain")]
+    with pytest.raises(ValueError, match="pass multiline=True"):
+        scan(spark, path)
+    rows = scan(spark, path, multiline=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "plain")]
+
+
+def test_csv_with_stray_quotes_is_split(spark, tmp_path):
+    path = _save(tmp_path / "t.csv", 'id,note\n1,5" pipe\n2,"a ""b"" c"\n3,6"" x\n')
+    assert [r.note for r in scan(spark, path).orderBy("id").collect()] == ['5" pipe', 'a "b" c', '6"" x']
+
+
+@pytest.mark.parametrize("delimiter", [";", "\t", "|", ","])
+def test_csv_dialects(spark, tmp_path, delimiter):
+    lines = ["id;day;us;name;when", '1;31/01/2024;01/31/2024;"a;b,c|d";x', "2;01/02/2024;02/01/2024;e, f;31/02/2024", "3;;;;"]
+    path = _save(tmp_path / "t.csv", "\n".join(x.replace(";", delimiter) for x in lines) + "\n")
+    if delimiter == ",":
+        path = _save(tmp_path / "t.csv", "\n".join(x.replace("e, f", "e f").replace(";", ",") for x in lines) + "\n")
+    df = scan(spark, path)
+    assert df.columns == ["id", "day", "us", "name", "when"]
+    assert (_types(df)["day"], _types(df)["us"], _types(df)["when"]) == ("date", "date", "string")
+    first, second, last = df.orderBy("id").collect()
+    assert str(first.day) == "2024-01-31" == str(first.us) and str(second.day) == "2024-02-01" == str(second.us)
+    assert first.name == "a;b,c|d".replace(";", delimiter) and last.day is None
+
+
+def test_csv_options_are_taken_as_given(spark, tmp_path):
+    path = _save(tmp_path / "t.csv", "a;b\n1;'x;y'\n")
+    row = scan(spark, path, schema="a int, b string", delimiter=";", quote="'", multiline=False).first()
+    assert tuple(row) == (1, "x;y")
+    path = _save(tmp_path / "d.csv", "d\n2024|31|01\n")
+    assert str(scan(spark, path, schema="d date", delimiter=",", date_format="yyyy|dd|MM").first().d) == "2024-01-31"
 
 
 def test_csv_value_that_does_not_fit_fails(spark, tmp_path):
@@ -110,7 +140,7 @@ def test_export_keeps_awkward_text(spark, tmp_path):
     df = spark.createDataFrame([(i, t, 1e8 + 0.5) for i, t in enumerate(texts)], f"{ROWID} int, t string, x double")
     out = str(tmp_path / "out")
     export_csv(df, out)
-    assert [r.t for r in scan(spark, out, "csv", schema="t string, x double").collect()] == texts
+    assert [r.t for r in scan(spark, out, "csv", schema="t string, x double", multiline=True).collect()] == texts
     assert "100000000.5" in open(glob.glob(f"{out}/part-*")[0]).read()
 
 
