@@ -49,4 +49,13 @@ def written(frame: DataFrame, what: str) -> DataFrame:
         frame.write.parquet(folder)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(frame.schema).parquet(folder)
+    table_ = spark.read.schema(frame.schema).parquet(folder)
+    table_.written_to = folder
+    return table_
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing will read again."""
+    spark = frame.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

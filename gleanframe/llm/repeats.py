@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleanframe.llm.common import written
+from gleanframe.llm.common import discard, written
 from gleanframe.llm.suffixes import equal_windows
 
 LENGTH = 50
@@ -283,21 +283,26 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         .unionByName(_window_by_window(contents.where("many"), length)),
         "repeats",
     )
+    discard(contents)
+    # Per unit the earliest document and the windows that an earlier one holds. A copy in a later
+    # document goes as a whole, in the earliest the covered windows go.
+    runs = covered.groupBy("anchor", "unit").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    decided = distinct.select("anchor", "unit", F.col("doc").alias("earliest"), "n").join(runs, ["anchor", "unit"], "left")
     span = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
-    occurrences = shared.join(
-        distinct.select("anchor", "unit", F.col("doc").alias("earliest")), ["anchor", "unit"]
-    )
-    copies = occurrences.where("doc > earliest").select(
-        "doc", "version", span(F.col("at"), F.col("at") + F.col("n") + (length - 1)).alias("span")
-    )
-    parts = (
-        occurrences.where("doc = earliest")
-        .join(covered, ["anchor", "unit"])
-        .select("doc", "version", span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + (length - 1)).alias("span"))
-    )
-    return written(
-        copies.unionByName(parts).groupBy("doc", "version").agg(F.collect_list("span").alias("spans")), "repeats"
+    occurrences = shared.drop("n").join(decided, ["anchor", "unit"])
+    whole = F.array(span(F.col("at"), F.col("at") + F.col("n") + (length - 1)))
+    parts = F.transform("runs", lambda r: span(F.col("at") + r["low"], F.col("at") + r["high"] + (length - 1)))
+    found = written(
+        occurrences.select(
+            "doc", "version", F.explode(F.when(F.col("doc") > F.col("earliest"), whole).otherwise(parts)).alias("span")
+        )
+        .groupBy("doc", "version")
+        .agg(F.collect_list("span").alias("spans")),
+        "repeats",
     )
+    for done in (shared, distinct, covered):
+        discard(done)
+    return found
 
 
 def _merged(spans, size: int) -> list[tuple[int, int]]:
