@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Shortest run that counts, in tokens.
 MIN_MATCH = 5
 COVERAGE = 0.8
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 4_000_000
 #: Multiplier of the rolling hash.
 BASE = np.uint64(1_000_003)
 FILTER_BITS = 22
