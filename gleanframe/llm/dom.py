@@ -14,7 +14,7 @@ TOKEN = re.compile(
     r"|<[a-zA-Z][^>]*+\Z",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 # Elements that stand in a line of text; all others are blocks.
 INLINE = frozenset(
@@ -41,6 +41,8 @@ CLOSES = {
 }
 #: Deeper elements count as part of their ancestor at this depth; their text is kept.
 MOST_DEPTH = 60
+# Attributes that make part of a label, with the mark before their tokens.
+PREFIXES = {"class": ".", "id": ".", "role": "@", "itemprop": "$"}
 
 
 class Node(NamedTuple):
@@ -55,7 +57,7 @@ class Block(NamedTuple):
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id, role and itemprop; digits do not count."""
+    """The tag with the tokens of its class, id, role and itemprop, their words joined by ``-``; digits do not count."""
     if not attributes or not attributes.strip(" /"):
         return tag
     words = set()
@@ -63,9 +65,9 @@ def label_of(tag: str, attributes: str) -> str:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)):
             words.add("hidden")
-        elif name != "style":
-            prefix = {"role": "@", "itemprop": "$"}.get(name, ".")
-            words |= {prefix + w for w in re.findall(r"[^\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
+        elif name in PREFIXES:
+            tokens = ["-".join(re.findall(r"[^\W\d_]+", token)) for token in value.split()]
+            words |= {PREFIXES[name] + token for token in tokens if token}
     return " ".join([tag, *sorted(words)])
 
 

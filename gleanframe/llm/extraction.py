@@ -56,29 +56,96 @@ NO_CONTENT_WORDS = frozenset(
 # The same for what stands outside of the article only.
 OUTER_WORDS = frozenset("header masthead banner topbar".split())
 ARTICLE_WORDS = frozenset(["article", "main"])
-
-
-def _parts(label: str) -> tuple[str, frozenset[str], frozenset[str]]:
+# Marks of what readers wrote, which may well be longer than the article.
+READER_WORDS = frozenset("comment comments respond disqus reply replies".split())
+# Words before which a mark keeps its sense, as in share-buttons or comment-list.
+HOLDERS = frozenset(
+    "area bar block blocks box button buttons container field form group holder icon icons inner item items "
+    "link links list outer panel section slot unit wrap wrapper zone".split()
+)
+# The same after a mark of what leads elsewhere, as in related-posts.
+ELSEWHERE = frozenset("related recommended trending sponsored promo promotion".split())
+TEASERS = frozenset("article articles news post posts stories story".split())
+# Words that tell of a page what it has or lacks, as in no-sidebar.
+STATES = frozenset("has have hide hides no not show shows with without".split())
+#: Elements that hold so much of the unlinked text are not judged by their words ...
+MOST = 0.5
+#: ... and so much if they are comments or stand in an article.
+NEARLY_ALL = 0.9
+
+
+def _parts(label: str) -> tuple[str, list[str]]:
     tag, *words = label.split(" ")
-    return tag, frozenset(w.lstrip(".@$") for w in words), frozenset(words)
+    return tag, words
 
 
 def is_article(label: str) -> bool:
-    tag, _, marked = _parts(label)
-    return tag in ARTICLE_WORDS or bool(marked & {"@main", "@article", "$articlebody"})
+    tag, marked = _parts(label)
+    return tag in ARTICLE_WORDS or not {"@main", "@article", "$articlebody"}.isdisjoint(marked)
+
+
+def marks(token: str, words: frozenset[str]) -> str | None:
+    """The word of ``words`` that a class, id or role token names.
+
+    The word is the token or ends it, but for holders: ``right-sidebar`` and ``share-buttons`` are marks,
+    ``no-sidebar``, ``comments-open`` and ``legal-news`` are none.
+    """
+    parts = token.lstrip(".@$").split("-")
+    if not STATES.isdisjoint(parts):
+        return None
+    while len(parts) > 1 and parts[-1] not in words and (
+        parts[-1] in HOLDERS or (parts[-1] in TEASERS and parts[-2] in ELSEWHERE)
+    ):
+        parts.pop()
+    return parts[-1] if parts[-1] in words else None
 
 
-def boilerplate(nodes: list[Node]) -> list[bool]:
-    """Whether a node, by its label or that of one above it, holds no article."""
-    result, inside = [], []
+def subtotals(nodes: list[Node], amounts: list[int]) -> list[int]:
+    """Amounts of nodes with all below them."""
+    total = list(amounts)
+    for i in range(len(nodes) - 1, 0, -1):
+        total[nodes[i].parent] += total[i]
+    return total
+
+
+def boilerplate(nodes: list[Node], content: list[int], spared: frozenset[int] = frozenset()) -> tuple[list[bool], list[int]]:
+    """Whether a node, by its label or that of one above it, holds no article; and what was spared.
+
+    ``content`` are the characters of every node without links. Words do not count against ``html`` and ``body``,
+    the largest article and what holds most of the text, nor against the nodes ``spared``.
+    """
+    total = subtotals(nodes, [max(0, c) for c in content])
+    inside, by_tag, found, readers = [], [], [], []
     for node in nodes:
-        tag, words, _ = _parts(node.label)
-        above = node.parent >= 0
-        inside.append(is_article(node.label) or (above and inside[node.parent]))
-        own = tag in NO_CONTENT or bool(words & NO_CONTENT_WORDS)
-        own = own or (not inside[-1] and (tag == "header" or bool(words & OUTER_WORDS)))
-        result.append(own or (above and result[node.parent]))
-    return result
+        tag, tokens = _parts(node.label)
+        above = node.parent
+        inside.append(is_article(node.label) or (above >= 0 and inside[above]))
+        marked = {m for t in tokens if (m := marks(t, NO_CONTENT_WORDS))}
+        outer = not inside[-1] and any(marks(t, OUTER_WORDS) for t in tokens)
+        found.append("hidden" if "hidden" in tokens else bool(marked) or outer)
+        readers.append(bool(marked & READER_WORDS) or (above >= 0 and readers[above]))
+        by_tag.append(tag in NO_CONTENT or (tag == "header" and not inside[-1]) or (above >= 0 and by_tag[above]))
+    articles = [i for i, n in enumerate(nodes) if is_article(n.label) and total[i] and not by_tag[i] and not readers[i]]
+    largest = max(articles, key=lambda i: (total[i], i), default=-1)
+    rival = total[largest] if largest >= 0 else 0
+    holds_article = {largest}
+    at = largest
+    while at >= 0:
+        holds_article.add(at := nodes[at].parent)
+    result, kept = [], []
+    for i, node in enumerate(nodes):
+        own = by_tag[i]
+        if found[i] and not own and node.label.split(" ")[0] not in ("html", "body"):
+            needed = NEARLY_ALL if readers[i] or inside[i] else MOST
+            # An article elsewhere is the better one, unless it is a mere teaser.
+            better = i not in holds_article and rival > (0 if readers[i] else total[i] / 4)
+            most = total[i] > 0 and total[i] >= needed * total[0] and not better
+            spare = found[i] != "hidden" and (i == largest or most or i in spared)
+            own = not spare
+            if spare:
+                kept.append(i)
+        result.append(own or (node.parent >= 0 and result[node.parent]))
+    return result, kept
 
 
 def _skeleton(nodes: list[Node]) -> str:
@@ -134,6 +201,7 @@ KINDS = {
     "int": pa.int32(),
     "long": pa.int64(),
     "array<int>": pa.list_(pa.int32()),
+    "array<long>": pa.list_(pa.int64()),
 }
 
 
@@ -153,10 +221,10 @@ def _row_by_row(function, schema: str):
     return run
 
 
-def _aligned(host, tree, skeleton, reference):
+def _aligned(host, tree, skeleton, content, reference):
     """The partner of every node in the host's tree, -1 for none."""
     nodes, partners = _nodes(skeleton), align(_nodes(skeleton), _nodes(reference))
-    return host, tree, skeleton, [partners.get(i, -1) for i in range(len(nodes))]
+    return host, tree, skeleton, content, [partners.get(i, -1) for i in range(len(nodes))]
 
 
 def _article_node(nodes: list[Node], drop: list[bool], content: list[int]) -> int:
@@ -181,13 +249,14 @@ def _article_node(nodes: list[Node], drop: list[bool], content: list[int]) -> in
 def _wrapper(host, reference, stats, pages, equal):
     """Nodes of the host's tree that hold content: ``article`` and the kept nodes below it."""
     nodes = _nodes(reference)
-    drop = boilerplate(nodes)
     chars, links, constant = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
     for s in stats:
         if s["ref"] >= 0:
             chars[s["ref"]], links[s["ref"]] = s["chars"], s["link_chars"]
             constant[s["ref"]] = s["low"] == s["high"] and pages >= LEAST_PAGES and not equal
-    article = _article_node(nodes, drop, [c - k for c, k in zip(chars, links)])
+    content = [c - k for c, k in zip(chars, links)]
+    drop, spared = boilerplate(nodes, content)
+    article = _article_node(nodes, drop, content)
     inside = [False] * len(nodes)
     for i, node in enumerate(nodes):
         inside[i] = i == article or (node.parent >= 0 and inside[node.parent])
@@ -195,13 +264,13 @@ def _wrapper(host, reference, stats, pages, equal):
     slots = [k and not constant[i] for i, k in enumerate(kept)]
     if sum(c for c, s in zip(chars, slots) if s) >= LEAST_LEFT * sum(c for c, k in zip(chars, kept) if k):
         kept = slots
-    return host, article, [i for i, k in enumerate(kept) if k]
+    return host, article, [i for i, k in enumerate(kept) if k], spared
 
 
-def _plan(host, tree, skeleton, partners, article, kept):
+def _plan(host, tree, skeleton, partners, content, article, kept, spared):
     """Nodes of one tree that hold content. Nodes without a partner follow the one above them."""
     nodes, keeps = _nodes(skeleton), set(kept)
-    drop = boilerplate(nodes)
+    drop, _ = boilerplate(nodes, content, frozenset(i for i, p in enumerate(partners) if p in set(spared)))
     inside = []
     for i, node in enumerate(nodes):
         inside.append(partners[i] == article or (node.parent >= 0 and inside[node.parent]))
@@ -240,11 +309,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
         F.sum("pages").alias("pages"),
         (F.min("page_low") == F.max("page_high")).alias("equal"),
     )
+    # Unlinked characters of a tree's nodes, in order.
+    content = F.sort_array(F.collect_list(F.struct("node", (F.col("chars") - F.col("link_chars")).alias("own"))))
+    contents = counts.groupBy("host", "tree").agg(F.transform(content, lambda c: c["own"]).alias("content"))
     aligned = written(
         trees.select("host", "tree", "skeleton")
+        .join(contents, ["host", "tree"])
         .join(reference.select("host", "reference"), "host")
         .mapInArrow(
-            _row_by_row(_aligned, s := "host string, tree string, skeleton string, partners array<int>"), s
+            _row_by_row(
+                _aligned,
+                s := "host string, tree string, skeleton string, content array<long>, partners array<int>",
+            ),
+            s,
         ),
         "wrappers",
     )
@@ -264,7 +341,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("ref", "chars", "link_chars", "low", "high")).alias("stats"))
     )
     decided = reference.join(by_node, "host").select("host", "reference", "stats", "pages", "equal")
-    decided = decided.mapInArrow(_row_by_row(_wrapper, s := "host string, article int, kept array<int>"), s)
+    decided = decided.mapInArrow(_row_by_row(_wrapper, s := "host string, article int, kept array<int>, spared array<int>"), s)
     return written(
         aligned.join(decided, "host").mapInArrow(
             _row_by_row(_plan, s := "host string, tree string, nodes array<int>"), s

@@ -67,3 +67,41 @@ def test_tree_matching():
     partners = dom.align(a, b)
     assert {a[x].label for x in partners} == {"page", "div", "h2", "ul", "li"}
     assert all(a[x].label == b[y].label for x, y in partners.items())
+
+
+SHELL = (
+    "<html><body {body}><div class='site-menu'><a href='/'>Home {n}</a></div><div {wrapper}><article {article}><h1>Head {n}</h1>"
+    "<p>Story number {n} tells of {n} things at some length.</p></article></div><div class='right-sidebar'>Side {n}</div></body></html>"
+)
+
+
+def test_words_of_page_wrappers_and_articles_lose_nothing(spark):
+    shells = [
+        ("class='right-sidebar'", "", ""),
+        ("class='no-sidebar'", "", ""),
+        ("", "class='page has-menu'", ""),
+        ("", "class='page menu'", ""),
+        ("", "class='page' data-role='menu' data-id='footer'", ""),
+        ("", "", "class='post comments-open'"),
+        ("", "", "class='post search'"),
+        ("", "", "id='legal-news'"),
+        ("", "", "aria-hidden='false' data-role='alert'"),
+        ("", "", "title='class=menu'"),
+    ]
+    rows = [
+        (100 * k + i, f"http://h{k}.org/{i}", SHELL.format(n=i, body=body, wrapper=wrapper, article=article), "", "")
+        for k, (body, wrapper, article) in enumerate(shells)
+        for i in (1, 2, 3, 4, 5, 6)
+    ]
+    for r in extraction.extract(pages(spark, rows)).collect():
+        n = r.page_id % 100
+        assert r.text == f"Head {n} Story number {n} tells of {n} things at some length.", shells[r.page_id // 100]
+
+
+def test_marks_are_whole_tokens():
+    def mark(token):
+        return extraction.marks(token, extraction.NO_CONTENT_WORDS)
+
+    assert mark(".right-sidebar") == "sidebar" and mark(".share-buttons") == "share" and mark("@search") == "search"
+    assert mark(".related-posts") == "related" and mark(".cookie-notice") == "notice"
+    assert not any(map(mark, [".no-sidebar", ".has-menu", ".comments-open", ".legal-news", ".post"]))
