@@ -2,20 +2,21 @@
 
 Every page is read into a tree of block elements; elements of one label below one element are one node,
 so a page of a thousand paragraphs has a small tree. The trees of a host are aligned by simple tree
-matching with the host's most frequent tree. For the nodes of that tree the text of all pages of the
-host is compared: where all pages have the same text the node is template, where it varies it is a slot.
-Slots below the article's element are content. Elements that by their nature are no article (menus, forms,
+matching with the host's most frequent tree. A node may so hold many blocks of a page; each is judged by
+itself: a block whose text most of the host's differing pages with text in that node share is template, all
+others are slots. Slots below the article's element are content. Elements that by their nature are no article (menus, forms,
 asides, adverts, notices, comments ...) are no content even where their text varies, as it does in
 menus that are made for every page; neither are blocks that consist of links.
 
 Nothing gathers a host's pages: tasks send counts for each node of each distinct tree, aggregated
 before and after the shuffle; the wrapper of a host is decided from one row for each node of one tree. A host
-with a third of all pages is as many rows as it has distinct trees. The finished wrappers meet the pages
-in a join on (host, tree), which Spark broadcasts only if they are small; pages are read twice and never
-shuffled then.
+with a third of all pages is as many rows as it has distinct trees. Texts of blocks are compared by hash, once for
+each differing page, and only hashes shared by most pages reach a host's row. The finished wrappers meet the pages
+in a join on (host, tree), which Spark broadcasts only if they are small; pages are read three times and never
+shuffled, only hashes of their blocks are.
 
 Defined results: null and empty pages have empty text. A null URL belongs to the empty host. A host with
-fewer than ``LEAST_PAGES`` pages, or of equal pages, has no template nodes, and its pages are judged by
+fewer than ``LEAST_PAGES`` differing pages has no template, and its pages are judged by
 their elements alone. Broken mark-up is read as browsers do: unclosed elements end with their
 parents, an unfinished tag or comment at the end is dropped, unknown references stay text. Repeated rows
 each get their row; other columns pass through.
@@ -35,7 +36,7 @@ from gleanframe.llm.dom import Node, align, children_of, parse
 from gleanframe.llm.url_filter import url_host
 
 LEAST_PAGES = 5
-#: Template nodes below the article are dropped only if so much of the article's text is left.
+#: Template blocks below the article are dropped only if so much of the article's text is left.
 LEAST_LEFT = 0.5
 #: A block of links holds so much of its text in links.
 LINK_SHARE = 0.7
@@ -160,10 +161,8 @@ def _tree_id(skeleton: str) -> str:
     return hashlib.md5(skeleton.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
 
 
-PROFILE = (
-    "host string, tree string, node int, skeleton string, pages long, chars long, link_chars long, "
-    "low long, high long, page_low long, page_high long"
-)
+PROFILE = "host string, tree string, node int, skeleton string, pages long, chars long, link_chars long"
+SHARED = "host string, tree string, page long, nodes array<int>, hashes array<long>, sizes array<long>"
 
 
 def _hash(text: str) -> int:
@@ -177,25 +176,35 @@ def _profiled(batches):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             nodes, blocks = parse(page.as_py())
             skeleton = _skeleton(nodes)
-            entry = trees.setdefault((host, skeleton), [0, 1 << 63, -(1 << 63), [[0, 0, 1 << 63, -(1 << 63)] for _ in nodes]])
-            texts: list[list[str]] = [[] for _ in nodes]
+            entry = trees.setdefault((host, skeleton), [0, [[0, 0] for _ in nodes]])
+            entry[0] += 1
             for block in blocks:
-                texts[block.node].append(block.text)
-                entry[3][block.node][0] += len(block.text)
-                entry[3][block.node][1] += block.link_chars
-            hashes = [_hash("\n".join(t)) for t in texts]
-            for cell, h in zip(entry[3], hashes):
-                cell[2], cell[3] = min(cell[2], h), max(cell[3], h)
-            whole = _hash(str(hashes))
-            entry[0], entry[1], entry[2] = entry[0] + 1, min(entry[1], whole), max(entry[2], whole)
+                entry[1][block.node][0] += len(block.text)
+                entry[1][block.node][1] += block.link_chars
     rows = [
-        (host, _tree_id(skeleton), i, skeleton if i == 0 else None, pages, *cell, low, high)
-        for (host, skeleton), (pages, low, high, cells) in trees.items()
+        (host, _tree_id(skeleton), i, skeleton if i == 0 else None, pages, *cell)
+        for (host, skeleton), (pages, cells) in trees.items()
         for i, cell in enumerate(cells)
     ]
     yield _batch(rows, PROFILE)
 
 
+def _hashed(batches):
+    """Every page with the hashes of its blocks, each (node, text) once with all its characters."""
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            nodes, blocks = parse(page.as_py())
+            sizes: dict[tuple[int, int], int] = {}
+            keys = [(block.node, _hash(block.text)) for block in blocks]
+            for key, block in zip(keys, blocks):
+                sizes[key] = sizes.get(key, 0) + len(block.text)
+            rows.append(
+                (host, _tree_id(_skeleton(nodes)), _hash(str(keys)), [n for n, _ in sizes], [h for _, h in sizes], [*sizes.values()])
+            )
+        yield _batch(rows, SHARED)
+
+
 KINDS = {
     "string": pa.string(),
     "int": pa.int32(),
@@ -246,14 +255,12 @@ def _article_node(nodes: list[Node], drop: list[bool], content: list[int]) -> in
         at = heavy[0]
 
 
-def _wrapper(host, reference, stats, pages, equal):
-    """Nodes of the host's tree that hold content: ``article`` and the kept nodes below it."""
+def _wrapper(host, reference, stats, template):
+    """Nodes of the host's tree that hold content, ``article`` and the kept nodes below it, and the template blocks in them."""
     nodes = _nodes(reference)
-    chars, links, constant = [0] * len(nodes), [0] * len(nodes), [False] * len(nodes)
+    chars, links = [0] * len(nodes), [0] * len(nodes)
     for s in stats:
-        if s["ref"] >= 0:
-            chars[s["ref"]], links[s["ref"]] = s["chars"], s["link_chars"]
-            constant[s["ref"]] = s["low"] == s["high"] and pages >= LEAST_PAGES and not equal
+        chars[s["ref"]], links[s["ref"]] = s["chars"], s["link_chars"]
     content = [c - k for c, k in zip(chars, links)]
     drop, spared = boilerplate(nodes, content)
     article = _article_node(nodes, drop, content)
@@ -261,15 +268,20 @@ def _wrapper(host, reference, stats, pages, equal):
     for i, node in enumerate(nodes):
         inside[i] = i == article or (node.parent >= 0 and inside[node.parent])
     kept = [inside[i] and not drop[i] and not links[i] > LINK_SHARE * chars[i] for i in range(len(nodes))]
-    slots = [k and not constant[i] for i, k in enumerate(kept)]
-    if sum(c for c, s in zip(chars, slots) if s) >= LEAST_LEFT * sum(c for c, k in zip(chars, kept) if k):
-        kept = slots
-    return host, article, [i for i, k in enumerate(kept) if k], spared
+    judged = [t for t in template or [] if kept[t["ref"]]]
+    every = sum(t["all_chars"] for t in judged)
+    same = [(t["ref"], h) for t in judged for h in t["hashes"] or []]
+    if every - sum(t["chars"] for t in judged) < LEAST_LEFT * every:
+        same = []
+    return host, article, [i for i, k in enumerate(kept) if k], spared, [r for r, _ in same], [h for _, h in same]
 
 
-def _plan(host, tree, skeleton, partners, content, article, kept, spared):
-    """Nodes of one tree that hold content. Nodes without a partner follow the one above them."""
+def _plan(host, tree, skeleton, partners, content, article, kept, spared, same_refs, same_hashes):
+    """Nodes of one tree that hold content, and the template blocks in them. Nodes without a partner follow the one above them."""
     nodes, keeps = _nodes(skeleton), set(kept)
+    shared: dict[int, list[int]] = {}
+    for ref, found in zip(same_refs, same_hashes):
+        shared.setdefault(ref, []).append(found)
     drop, _ = boilerplate(nodes, content, frozenset(i for i, p in enumerate(partners) if p in set(spared)))
     inside = []
     for i, node in enumerate(nodes):
@@ -280,34 +292,79 @@ def _plan(host, tree, skeleton, partners, content, article, kept, spared):
         inside = []
         for i, node in enumerate(nodes):
             inside.append(i == own or (node.parent >= 0 and inside[node.parent]))
-        return host, tree, [i for i in range(len(nodes)) if inside[i] and not drop[i]]
+        return host, tree, [i for i in range(len(nodes)) if inside[i] and not drop[i]], [], []
     wanted = [
         i
         for i in range(len(nodes))
         if inside[i] and not drop[i] and (partners[i] in keeps or partners[i] < 0)
     ]
-    return host, tree, wanted
+    same = [(i, found) for i in wanted for found in shared.get(partners[i], [])]
+    return host, tree, wanted, [i for i, _ in same], [found for _, found in same]
+
+
+def _template(read: DataFrame, partners: DataFrame) -> DataFrame:
+    """``host, template``: of every node of the host's tree the hashes of its template blocks and the characters
+    of these and of all blocks, counted once for each differing page."""
+    differing = (
+        read.mapInArrow(_hashed, SHARED)
+        .groupBy("host", "tree", "page")
+        .agg(*[F.first(c).alias(c) for c in ("nodes", "hashes", "sizes")])
+    )
+    blocks = differing.select("host", "tree", "page", F.inline(F.arrays_zip("nodes", "hashes", "sizes")))
+    shares = (
+        blocks.groupBy("host", "tree", F.col("nodes").alias("node"), F.col("hashes").alias("hash"))
+        .agg(F.count("*").alias("pages"), F.sum("sizes").alias("chars"))
+        .join(partners, ["host", "tree", "node"])
+        .groupBy("host", "ref", "hash")
+        .agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    )
+    shares = written(shares, "wrappers")
+    # Differing pages with text in a node.
+    wide = (
+        differing.select("host", "tree", F.explode(F.array_distinct("nodes")).alias("node"))
+        .groupBy("host", "tree", "node")
+        .agg(F.count("*").alias("node_pages"))
+        .join(partners, ["host", "tree", "node"])
+        .groupBy("host", "ref")
+        .agg(F.sum("node_pages").alias("node_pages"))
+    )
+    # A text shared by most pages of a node is one of few there.
+    frequent = (
+        shares.where(F.col("pages") >= LEAST_PAGES)
+        .join(wide, ["host", "ref"])
+        .where(2 * F.col("pages") > F.col("node_pages"))
+        .groupBy("host", "ref")
+        .agg(F.collect_list("hash").alias("hashes"), F.sum("chars").alias("chars"))
+    )
+    return (
+        shares.groupBy("host", "ref")
+        .agg(F.sum("chars").alias("all_chars"))
+        .join(frequent, ["host", "ref"], "left")
+        .groupBy("host")
+        .agg(
+            F.collect_list(
+                F.struct("ref", "hashes", F.coalesce("chars", F.lit(0)).alias("chars"), "all_chars")
+            ).alias("template")
+        )
+    )
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, tree, nodes``: the content nodes of every distinct tree of every host."""
+    """``host, tree, nodes, same_nodes, same_hashes``: of every distinct tree of every host the content nodes
+    and, by node and hash of the text, the template blocks in them."""
+    read = pages.select(url_host(F.col("url")).alias("host"), "html")
     counts = written(
-        pages.select(url_host(F.col("url")).alias("host"), "html")
-        .mapInArrow(_profiled, PROFILE)
+        read.mapInArrow(_profiled, PROFILE)
         .groupBy("host", "tree", "node")
         .agg(
             F.min("skeleton").alias("skeleton"),
             *[F.sum(c).alias(c) for c in ("pages", "chars", "link_chars")],
-            *[F.min(c).alias(c) for c in ("low", "page_low")],
-            *[F.max(c).alias(c) for c in ("high", "page_high")],
         ),
         "wrappers",
     )
-    trees = counts.where("node = 0").select("host", "tree", "skeleton", "pages", "page_low", "page_high")
+    trees = counts.where("node = 0").select("host", "tree", "skeleton", "pages")
     reference = trees.groupBy("host").agg(
-        F.max(F.struct("pages", "tree", "skeleton"))["skeleton"].alias("reference"),
-        F.sum("pages").alias("pages"),
-        (F.min("page_low") == F.max("page_high")).alias("equal"),
+        F.max(F.struct("pages", "tree", "skeleton"))["skeleton"].alias("reference")
     )
     # Unlinked characters of a tree's nodes, in order.
     content = F.sort_array(F.collect_list(F.struct("node", (F.col("chars") - F.col("link_chars")).alias("own"))))
@@ -326,25 +383,32 @@ def wrappers(pages: DataFrame) -> DataFrame:
         "wrappers",
     )
     # Counts by node of the host's tree; at most the nodes of one tree for a host.
+    partners = aligned.select("host", "tree", F.posexplode("partners").alias("node", "ref")).where("ref >= 0")
     by_node = (
-        aligned.select("host", "tree", F.posexplode("partners").alias("node", "ref"))
-        .where("ref >= 0")
-        .join(counts.select("host", "tree", "node", "chars", "link_chars", "low", "high"), ["host", "tree", "node"])
+        partners.join(counts.select("host", "tree", "node", "chars", "link_chars"), ["host", "tree", "node"])
         .groupBy("host", "ref")
         .agg(
             F.sum("chars").alias("chars"),
             F.sum("link_chars").alias("link_chars"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
         )
         .groupBy("host")
-        .agg(F.collect_list(F.struct("ref", "chars", "link_chars", "low", "high")).alias("stats"))
+        .agg(F.collect_list(F.struct("ref", "chars", "link_chars")).alias("stats"))
+    )
+    decided = (
+        reference.join(by_node, "host")
+        .join(_template(read, partners), "host", "left")
+        .select("host", "reference", "stats", "template")
+    )
+    lists = "same_{} array<int>, same_hashes array<long>"
+    decided = decided.mapInArrow(
+        _row_by_row(
+            _wrapper, s := "host string, article int, kept array<int>, spared array<int>, " + lists.format("refs")
+        ),
+        s,
     )
-    decided = reference.join(by_node, "host").select("host", "reference", "stats", "pages", "equal")
-    decided = decided.mapInArrow(_row_by_row(_wrapper, s := "host string, article int, kept array<int>, spared array<int>"), s)
     return written(
         aligned.join(decided, "host").mapInArrow(
-            _row_by_row(_plan, s := "host string, tree string, nodes array<int>"), s
+            _row_by_row(_plan, s := "host string, tree string, nodes array<int>, " + lists.format("nodes")), s
         ),
         "wrappers",
     )
@@ -354,7 +418,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` without html but with ``text`` and ``n_chars``; the page needs ``url`` and ``html``."""
     plans = wrappers(pages)
     rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    block = pa.struct([("node", pa.int32()), ("text", pa.string())])
+    block = pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("text", pa.string())])
 
     def blocks_of(batches):
         for batch in batches:
@@ -362,7 +426,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for page in batch.column(batch.num_columns - 1):
                 nodes, found = parse(page.as_py())
                 trees.append(_tree_id(_skeleton(nodes)))
-                blocks.append([{"node": b.node, "text": b.text} for b in found])
+                blocks.append([{"node": b.node, "hash": _hash(b.text), "text": b.text} for b in found])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(trees, pa.string()), pa.array(blocks, pa.list_(block))],
                 names=[*batch.schema.names[:-1], "wrapper_tree", "wrapper_blocks"],
@@ -370,10 +434,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
     keyed = pages.select(*rest, url_host(F.col("url")).alias("wrapper_host"), "html")
     schema = keyed.drop("html").schema.add("wrapper_tree", "string")
-    schema = schema.add("wrapper_blocks", T.ArrayType(T.StructType().add("node", "integer").add("text", "string")))
+    kind = T.StructType().add("node", "integer").add("hash", "long").add("text", "string")
+    schema = schema.add("wrapper_blocks", T.ArrayType(kind))
     read = keyed.mapInArrow(blocks_of, schema)
-    plans = plans.select(*[F.col(c).alias(f"plan_{c}") for c in ("host", "tree", "nodes")])
-    kept = F.filter("wrapper_blocks", lambda b: F.array_contains(plans["plan_nodes"], b["node"]))
+    same = F.arrays_zip(F.col("same_nodes").alias("node"), F.col("same_hashes").alias("hash"))
+    plans = plans.select(
+        *[F.col(c).alias(f"plan_{c}") for c in ("host", "tree", "nodes")], same.alias("plan_same")
+    )
+    kept = F.filter(
+        "wrapper_blocks",
+        lambda b: F.array_contains(plans["plan_nodes"], b["node"])
+        & ~F.exists(plans["plan_same"], lambda x: (x["node"] == b["node"]) & (x["hash"] == b["hash"])),
+    )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return (
         read.join(

@@ -105,3 +105,19 @@ def test_marks_are_whole_tokens():
     assert mark(".right-sidebar") == "sidebar" and mark(".share-buttons") == "share" and mark("@search") == "search"
     assert mark(".related-posts") == "related" and mark(".cookie-notice") == "notice"
     assert not any(map(mark, [".no-sidebar", ".has-menu", ".comments-open", ".legal-news", ".post"]))
+
+
+def test_constant_blocks_among_siblings_of_one_label_are_template(spark):
+    story = "Story number {n} tells of {n} things, at a length that leaves no doubt about what the page is for."
+    bodies = [
+        "<div>Always the same menu</div><div>" + story + "</div><div>Always the same end</div>",
+        "<div id=block1>Always the same menu</div><div id=block2>" + story + "</div><div id=block3>Same end</div>",
+        "<article><p>" + story + "</p><p>The same note under all.</p></article>",
+    ]
+    rows = [(100 * k + n, f"http://h{k}.org/", body.format(n=n), "", "") for k, body in enumerate(bodies) for n in range(8)]
+    # Copies of a page do not make its text template.
+    rows += [(100 * k + 1, f"http://h{k}.org/", body.format(n=1), "", "") for k, body in enumerate(bodies)] * 30
+    got = extraction.extract(pages(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == story.format(n=r.page_id % 100)
