@@ -1,8 +1,11 @@
 """License scan: Dice coefficient of word bigrams against license templates.
 
 A text is normalised (lower case, words of letters and digits, every number as ``0``) and read line by
-line. Two sizes of unit are compared with the templates: a line, and a run of lines in a row that may be
-parts of a license, so that a license that was wrapped is found whole. The score of a unit and a template is
+line. Three kinds of unit are compared with the templates: a line, a run of lines in a row that may be
+parts of a license, so that a license that was wrapped is found whole, and a window of words, across line
+ends, so that a license between other words or beside another license is found. Windows begin and end with bigrams of
+the template. Since their ends are chosen to score best, they must also hold ``least`` of the template's bigrams. Of windows of one license that overlap, that of the most shared bigrams counts, and none that overlaps a
+line or run that matches the license. The score of a unit and a template is
 ``2 * shared / (bigrams of the unit + bigrams of the template)``, over distinct bigrams of words.
 
 Two bounds prune without loss. A score of ``least`` needs a unit whose size is within ``least / (2 -
@@ -10,7 +13,8 @@ least)`` and its inverse times the template's; and that share of the unit's bigr
 so as many of its words are words of templates. Lines that fail the second bound never leave the scan; the rest
 is compared once for each distinct text, in an equi-join on bigrams, where the first bound cuts.
 
-Everything is a DataFrame expression. A license line that stands in a third of all documents is one text in
+Lines and runs are DataFrame expressions; windows are found in tasks, text by text, in texts that hold enough
+bigrams of a template. A license line that stands in a third of all documents is one text in
 the comparison; its matches return to the documents by a join on the text, whose hot keys Spark splits.
 
 Defined results: null and empty texts have no matches. A unit of one word has no bigrams and matches
@@ -20,7 +24,11 @@ do null ids. Lines without words are passed over and do not end a run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import math
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gleanframe.llm.common import let, written
 
@@ -171,6 +179,112 @@ def _units(text: Column, known: list[str], least: float) -> Column:
     return let(F.filter(numbered, possible), joined)
 
 
+def _best_windows(grams: list, spots: list[int], wanted: frozenset, least: float) -> list[tuple]:
+    """For each first bigram the best window ``shared, dice, first, last`` of a template, if it scores ``least``.
+
+    A window whose first bigram comes again is no better than the one that starts there, so it ends before; and
+    one of too many bigrams cannot reach ``least``. So a bigram is met once for each of the template at most.
+    """
+    size, found = len(wanted), []
+    for first in spots:
+        seen, shared, best = set(), 0, None
+        for at in range(first, len(grams)):
+            gram = grams[at]
+            if at > first and gram == grams[first]:
+                break
+            if gram is None or gram in seen:
+                continue
+            seen.add(gram)
+            if len(seen) > (2 - least) / least * size + 1e-9:
+                break
+            if gram in wanted:
+                shared += 1
+                dice = 2 * shared / (len(seen) + size)
+                if dice >= least and shared >= least * size - 1e-9 and (best is None or dice >= best[1]):
+                    best = (shared, dice, first, at)
+                if shared == size:
+                    break
+        if best:
+            found.append(best)
+    return found
+
+
+def _windows_of(text: str, index: dict, templates: list[tuple], known: frozenset, least: float) -> list[tuple]:
+    """``first_line, last_line, license, dice`` of the windows of a normalised text."""
+    lines = [words for line in text.split("\n") if (words := line.split())]
+    words = [w for line in lines for w in line]
+    grams = list(zip(words, words[1:]))
+    spots: dict[int, list[int]] = {}
+    for at, gram in enumerate(grams):
+        for t in index.get(gram, ()):
+            spots.setdefault(t, []).append(at)
+    found: dict[str, list[tuple]] = {}
+    for t, places in spots.items():
+        name, wanted = templates[t]
+        needed = math.ceil(least * len(wanted) - 1e-9)
+        if len(places) >= needed and len({grams[at] for at in places}) >= needed:
+            found.setdefault(name, []).extend(_best_windows(grams, places, wanted, least))
+    if not any(found.values()):
+        return []
+    starts, line_of = [], []
+    for i, line in enumerate(lines):
+        starts.append(len(line_of))
+        line_of += [i] * len(line)
+    starts.append(len(line_of))
+    share = least / (2 - least)
+    possible = [
+        i for i, line in enumerate(lines) if len(line) > 1 and sum(w in known for w in line) >= share * (len(line) - 1) - 1e-9
+    ]
+    units = [(i, i) for i in possible]
+    for _, run in groupby(enumerate(possible), lambda x: x[1] - x[0]):
+        run = [i for _, i in run]
+        units += [(run[0], run[-1])] * (len(run) > 1)
+    result = []
+    for name, windows in found.items():
+        same = [wanted for other, wanted in templates if other == name]
+        taken = bytearray(len(words))
+        for a, b in units:
+            own = set(grams[starts[a] : starts[b + 1] - 1])
+            if any(2 * len(own & w) / (len(own) + len(w)) >= least for w in same):
+                taken[starts[a] : starts[b + 1]] = b"\1" * (starts[b + 1] - starts[a])
+        for shared, dice, first, last in sorted(windows, key=lambda w: (-w[0], -w[1], w[2])):
+            if not any(taken[first : last + 2]):
+                taken[first : last + 2] = b"\1" * (last + 2 - first)
+                result.append((line_of[first], line_of[last + 1], name, dice))
+    return result
+
+
+def windows(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+    """``doc_id, first_line, last_line, license, dice`` of windows of words that match and that no line or run covers."""
+    known = frozenset(vocabulary(templates))
+    rows = template_table(documents.sparkSession, templates).where(F.size("grams") > 0).collect()
+    wanted = [(r["license"], frozenset(tuple(g.split(" ")) for g in r["grams"])) for r in rows]
+    index: dict[tuple, list[int]] = {}
+    for t, (_, grams) in enumerate(wanted):
+        for gram in grams:
+            index.setdefault(gram, []).append(t)
+
+    def found(batches):
+        for batch in batches:
+            owners, matches = [], []
+            for i, text in enumerate(batch.column(1)):
+                of_text = _windows_of(text.as_py(), index, wanted, known, least)
+                owners += [i] * len(of_text)
+                matches += of_text
+            columns = list(zip(*matches)) or [(), (), (), ()]
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owners, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                names=["doc_id", "first_line", "last_line", "license", "dice"],
+            )
+
+    read = documents.select("doc_id", normalised(F.col("text")).alias("text"))
+    schema = T.StructType([read.schema["doc_id"]])
+    for name, kind in (("first_line", "integer"), ("last_line", "integer"), ("license", "string"), ("dice", "double")):
+        schema = schema.add(name, kind)
+    return read.mapInArrow(found, schema)
+
+
 def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """``doc_id, first_line, last_line, license, dice`` of every unit and license that match.
 
@@ -205,4 +319,5 @@ def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Dat
         .groupBy("unit_text", "license")
         .agg(F.max("dice").alias("dice"))
     )
-    return units.join(found, "unit_text").select("doc_id", "first_line", "last_line", "license", "dice")
+    whole = units.join(found, "unit_text").select("doc_id", "first_line", "last_line", "license", "dice")
+    return whole.unionByName(windows(documents, templates, least))

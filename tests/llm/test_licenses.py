@@ -48,3 +48,31 @@ def test_scores_equal_a_plain_comparison(documents):
                 want.add((i, name, round(best, 9)))
     rows = licenses.scan(documents(list(enumerate(texts))), templates, least=0.6).collect()
     assert {(r.doc_id, r.license, round(r.dice, 9)) for r in rows} == want
+
+
+def test_notices_among_other_words_and_beside_each_other(documents, prose):
+    def wrapped(text):
+        words = text.split()
+        return "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+
+    texts = {name: text for name, text in licenses.TEMPLATES if len(text) > 150}
+    isc, gpl = wrapped(texts["ISC"]), wrapped(texts["GPL"])
+    rows = [
+        (1, "We describe a small parser for logs and how to build it. Released under the MIT License."),
+        (2, f"This tool reads maps of old towns. {texts['Apache']}. It was written over one long winter."),
+        (3, f"{isc}\n{gpl}"),
+        (4, f"{prose(1, 40)} {texts['BSD']} {prose(2, 40)}".replace("\n", " ")),
+        (5, f"{prose(3, 40)} all rights were reserved, and a license was given to any person"),
+        (6, "Released under the\nMIT License by the people of the town, who hope that it is of use to others"),
+    ]
+    got = found(documents(rows))
+    assert {(1, 0, 0, "MIT"), (2, 0, 0, "Apache"), (4, 0, 0, "BSD"), (6, 0, 1, "MIT")} <= set(got)
+    last = len(isc.split("\n")) - 1
+    assert [x for x in got if x[0] == 3] == [(3, 0, last, "ISC"), (3, last + 1, last + len(gpl.split("\n")), "GPL")]
+    assert len(got) == 6
+
+
+def test_windows_of_texts_that_repeat_themselves(documents):
+    got = licenses.windows(documents([(1, "licensed under the mit " * 20_000), (2, "x " + "all rights reserved " * 20_000)]))
+    assert got.where("doc_id = 2").count() == 20_000
+    assert got.where("doc_id = 1").count() == 0
