@@ -8,9 +8,10 @@ the template. Since their ends are chosen to score best, they must also hold ``l
 line or run that matches the license. The score of a unit and a template is
 ``2 * shared / (bigrams of the unit + bigrams of the template)``, over distinct bigrams of words.
 
-Two bounds prune without loss. A score of ``least`` needs a unit whose size is within ``least / (2 -
+Two bounds prune lines. A score of ``least`` needs a unit whose size is within ``least / (2 -
 least)`` and its inverse times the template's; and that share of the unit's bigrams must be the template's,
-so as many of its words are words of templates. Lines that fail the second bound never leave the scan; the rest
+so as many of its words are words of templates. The second bound counts repeated words, so
+it also drops lines that repeat unknown words; a license in them is found as a window. Lines that fail the second bound never leave the scan; the rest
 is compared once for each distinct text, in an equi-join on bigrams, where the first bound cuts.
 
 Lines and runs are DataFrame expressions; windows are found in tasks, text by text, in texts that hold enough

@@ -76,3 +76,7 @@ def test_windows_of_texts_that_repeat_themselves(documents):
     got = licenses.windows(documents([(1, "licensed under the mit " * 20_000), (2, "x " + "all rights reserved " * 20_000)]))
     assert got.where("doc_id = 2").count() == 20_000
     assert got.where("doc_id = 1").count() == 0
+
+
+def test_a_license_before_one_unknown_word_many_times(documents):
+    assert found(documents([(1, "Released under the MIT License" + " qwerty" * 8)])) == [(1, 0, 0, "MIT")]
