@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import decontaminate, extraction, licenses, mixing, quality, repeats, simhash, token_files, toxicity, url_filter
+from gleanframe.llm import decontaminate, extraction, licenses, mixing, packing, quality, repeats, simhash, token_files, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -149,6 +149,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, OP1_SQL),
     "op2_html_extraction": (op2_html_extraction, None),
@@ -160,4 +164,5 @@ QUERIES = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op13_best_fit_packing": (op13_best_fit_packing, None),
 }

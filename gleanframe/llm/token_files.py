@@ -23,33 +23,23 @@ together, ordered by a hash of their text. An empty table writes no shard and re
 
 from __future__ import annotations
 
-import os
 import re
-import sys
-import types
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gleanframe.llm import word_ids
 from gleanframe.llm.common import new_folder, written
 
 LENGTH = 2048
 BATCH = 64
 END_ID = 2
-#: Entries of each half of a table of pieces.
-PIECES = 250_000
-PIECES_AT_ONCE = 4096
-# Signs that never share a token with the letter before them.
-SIGNS = ".,;:!?%&*#$|)"
-#: Characters of text that are encoded at once; a longer text is encoded alone.
-CHUNK = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -65,80 +55,23 @@ def store(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
-class Table:
-    """Ids of the pieces seen of late: about the last ``PIECES`` to twice as many."""
-
-    def __init__(self):
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def missing(self, pieces: set[str]) -> list[str]:
-        """Those without ids; what only the older half has comes forward."""
-        if len(self.recent) > PIECES:
-            self.recent, self.older = {}, self.recent
-        recent, older, new = self.recent, self.older, []
-        for piece in [p for p in pieces if p not in recent]:
-            if piece in older:
-                recent[piece] = older[piece]
-            else:
-                new.append(piece)
-        return new
-
-
 class Encoder:
     """Texts to little-endian ids, equal to encoding each text whole."""
 
-    def __init__(self, tokenizer: str, end_id: int):
-        # Spark has a task for every core already.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        wide = max(self.model.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
-        self.kind = np.dtype("<u4" if wide else "<u2")
-        self.end = self.pack([end_id])
+    def __init__(self, tokenizer: str, end_id: int, limit: int = word_ids.WORDS):
+        self.model = word_ids.load(tokenizer)
+        self.kind = word_ids.kind_of(self.model, end_id)
         specials = sorted(t.content for t in self.model.get_added_tokens_decoder().values())
         self.unsafe = ("  ", "\n\n", " \n", "\n ", *specials)
         self.other_space = re.compile(r"[^\S \n]")
-        (self.line_end,) = self.model.encode("\n", add_special_tokens=False).ids
-        #: Pieces at the start of a line, and pieces after a blank, which is part of them.
-        self.firsts, self.others = Table(), Table()
-
-    def pack(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, table: dict[str, bytes], pieces: list[str], blank: str) -> None:
-        """Add pieces to the table, many in one call with line ends, a token of their own, between them."""
-        between, size = "\n" + blank, self.kind.itemsize
-        for at in range(0, len(pieces), PIECES_AT_ONCE):
-            part = pieces[at : at + PIECES_AT_ONCE]
-            ids = np.array(self._ids([between + between.join(part)])[0], self.kind)
-            ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-            data = ids.tobytes()
-            table.update((p, data[(a + 1) * size : b * size]) for p, a, b in zip(part, ends, ends[1:], strict=False))
-            if len(ends) != len(part) + 1:
-                raise ValueError("a line end is no token of its own in this vocabulary")
-
-    def _look_up(self, table: Table, pieces: set[str], blank: str) -> None:
-        """Make sure that the table has the pieces. A word and the signs after it are encoded apart."""
-        joined, alone, signs = [], set(), set()
-        for piece in table.missing(pieces):
-            stem = piece.rstrip(SIGNS)
-            if stem != piece and stem[-1:].isalpha():
-                joined.append((piece, stem, piece[len(stem) :]))
-                alone.add(stem)
-                signs.add(piece[len(stem) :])
-            else:
-                alone.add(piece)
-        self._learn(table.recent, table.missing(alone), blank)
-        if signs:
-            self._learn(self.firsts.recent, [x for x in signs if x not in self.firsts.recent], "")
-            tails = self.firsts.recent
-            table.recent.update([(piece, table.recent[stem] + tails[end]) for piece, stem, end in joined])
+        #: Words at the start of a line, and words after a blank, which is part of them.
+        self.firsts = word_ids.WordIds(self.model, self.kind, limit=limit)
+        self.others = word_ids.WordIds(self.model, self.kind, before=" ", limit=limit)
+        self.end = self.firsts.pack([end_id])
+        self.line_end = self._whole("\n")
+
+    def _whole(self, text: str) -> bytes:
+        return self.firsts.pack(self.model.encode(text, add_special_tokens=False).ids)
 
     def _plain(self, text: str) -> bool:
         """Whether all white space is one blank or line end between two words."""
@@ -148,55 +81,21 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text with the end id."""
-        cut, firsts, others, whole = [], set(), set(), []
+        first, other, result = self.firsts.__getitem__, self.others.__getitem__, []
         for text in texts:
-            lines = []
-            if text and not self._plain(text):
-                whole.append(text)
-                lines = None
-            elif text:
+            if not text:
+                result.append(self.end)
+            elif self._plain(text):
+                lines = []
                 for line in text.split("\n"):
                     start, *words = line.split(" ")
-                    firsts.add(start)
-                    others.update(words)
-                    lines.append((start, words))
-            cut.append(lines)
-        self._look_up(self.others, others, " ")
-        self._look_up(self.firsts, firsts, "")
-        first, other = self.firsts.recent, self.others.recent.__getitem__
-        complete, line_end = iter(self._ids(whole)), self.pack([self.line_end])
-        result = []
-        for lines in cut:
-            if lines is None:
-                result.append(self.pack(next(complete)) + self.end)
-                continue
-            parts = [first[start] + b"".join(map(other, words)) for start, words in lines]
-            result.append(line_end.join(parts) + self.end)
+                    lines.append(first(start) + b"".join(map(other, words)))
+                result.append(self.line_end.join(lines) + self.end)
+            else:
+                result.append(self._whole(text) + self.end)
         return result
 
 
-def process_encoder(tokenizer: str, end_id: int) -> Encoder:
-    """The encoder of this Python process, which serves many tasks one after another."""
-    name = f"gleanframe encoder {tokenizer} {end_id}"
-    if name not in sys.modules:
-        sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].encoder = Encoder(tokenizer, end_id)
-    return sys.modules[name].encoder
-
-
-def _chunks(batch: pa.RecordBatch):
-    """Slices of a batch of (doc_id, text) of about ``CHUNK`` characters at most."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-    start, held = 0, 0
-    for at, size in enumerate(sizes):
-        if at > start and held + size > CHUNK:
-            yield batch.slice(start, at - start)
-            start, held = at, 0
-        held += size
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _list_type(kind: pa.DataType, length: int) -> pa.DataType:
     return pa.list_(pa.field("item", kind, nullable=False), length)
 
@@ -207,7 +106,8 @@ def write_tokens(
     """Write ``documents`` to ``folder``; the manifest has one row for each shard, in id order."""
 
     def shard(batches):
-        encoder, writer, index, sink = process_encoder(tokenizer, end_id), None, None, []
+        encoder = word_ids.of_process(f"token files {tokenizer} {end_id}", lambda: Encoder(tokenizer, end_id))
+        writer, index, sink = None, None, []
         number = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{number:06d}-{uuid.uuid4().hex[:12]}"
         size = encoder.kind.itemsize
@@ -242,7 +142,7 @@ def write_tokens(
             waiting, held = [rest.tobytes()], len(rest)
 
         for batch in batches:
-            for part in _chunks(batch):
+            for part in word_ids.chunks(batch, 1):
                 if writer is None:
                     files, path = store(name)
                     files.create_dir(path.rpartition("/")[0], recursive=True)

@@ -73,3 +73,14 @@ def test_random_access_without_a_copy(documents, prose, plain, tmp_path):
 
 def test_empty_table(documents):
     assert token_files.encode_and_read(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [3, 40, 300])
+def test_full_tables_turn_over_without_loss(prose, plain, limit):
+    encoder = token_files.Encoder(token_files.TOKENIZER, token_files.END_ID, limit)
+    for batch in range(30):
+        texts = [prose(batch * 10 + i, 80).replace(" a", ", ") + "." for i in range(5)] + ["de la, été. le Über!", prose(3, 50)]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, encoder.kind).tolist() == plain(text)
+        for table in (encoder.firsts, encoder.others):
+            assert len(table) <= limit and len(table.older) <= limit
