@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import decontaminate, extraction, licenses, mixing, packing, quality, repeats, simhash, token_files, toxicity, url_filter
+from gleanframe.llm import collocations, decontaminate, extraction, licenses, mixing, packing, quality, repeats, simhash, token_files, toxicity, url_filter
 from gleanframe.llm.common import table
 
 
@@ -149,6 +149,39 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+def _cut_sql(words: int) -> str:
+    """Phrases of ``words`` words with their first k words and the rest, one row per cut."""
+    return f"""SELECT lang, p, a, k, array_to_string(list_slice(ws, 1, k), ' ') AS first, array_to_string(list_slice(ws, k + 1, {words}), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, {words})) AS k FROM known WHERE words = {words})"""
+
+
+_WORDS = range(1, collocations.LONGEST + 1)
+OP12_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS ({" UNION ALL ".join(f"SELECT lang, {k} AS words, unnest([array_to_string(list_slice(w, i, i + {k - 1}), ' ') for i in range(1, len(w) - {k - 2})]) AS p FROM pieces" for k in _WORDS)}),
+known AS (SELECT lang, words, p, string_split(p, ' ') AS ws, count(*) AS a FROM grams GROUP BY lang, words, p HAVING count(*) >= {collocations.LEAST}),
+cuts AS ({" UNION ALL ".join(_cut_sql(k) for k in _WORDS[1:])}),
+scored AS (
+  SELECT cuts.lang, cuts.p, cuts.a, k, f.a AS l, r.a AS r, n, (1000::HUGEINT * cuts.a * n) // (f.a::HUGEINT * r.a) AS score
+  FROM cuts JOIN known f ON f.lang = cuts.lang AND f.p = cuts.first JOIN known r ON r.lang = cuts.lang AND r.p = cuts.rest
+  JOIN totals ON totals.lang = cuts.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+held AS (
+  SELECT DISTINCT x.lang, x.p FROM known x JOIN known y
+  ON x.lang = y.lang AND x.words > 1 AND y.words > x.words AND y.a >= x.a AND contains(' ' || y.p || ' ', ' ' || x.p || ' ')),
+kept AS (SELECT * FROM weakest ANTI JOIN held USING (lang, p))
+SELECT lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept) WHERE rank <= {collocations.TOP}"""
+
+
 def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
@@ -164,5 +197,6 @@ QUERIES = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op12_phrase_collocations": (op12_phrase_collocations, OP12_SQL),
     "op13_best_fit_packing": (op13_best_fit_packing, None),
 }

@@ -114,14 +114,14 @@ def of_process(name: str, make):
 CHUNK = 1 << 20
 
 
-def chunks(batch, column: int):
-    """Slices of an Arrow batch with about ``CHUNK`` bytes of text at most."""
+def chunks(batch, column: int, most: int = CHUNK):
+    """Slices of an Arrow batch with about ``most`` bytes of text at most."""
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for at, size in enumerate(sizes):
-        if at > start and held + size > CHUNK:
+        if at > start and held + size > most:
             yield batch.slice(start, at - start)
             start, held = at, 0
         held += size
