@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanframe.llm import collocations, decontaminate, extraction, licenses, mixing, packing, quality, repeats, simhash, token_files, toxicity, url_filter
+from gleanframe.llm import collocations, decontaminate, extraction, licenses, mixing, packing, quality, repeats, simhash, token_files, toxicity, url_filter, whitening
 from gleanframe.llm.common import table
 
 
@@ -149,6 +149,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
 
@@ -197,6 +201,7 @@ QUERIES = {
     "op8_url_filter": (op8_url_filter, OP8_SQL),
     "op9_license_scan": (op9_license_scan, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_embedding_whitening": (op11_embedding_whitening, None),
     "op12_phrase_collocations": (op12_phrase_collocations, OP12_SQL),
     "op13_best_fit_packing": (op13_best_fit_packing, None),
 }
