@@ -1,7 +1,8 @@
 """Schema overview: type, null and distinct counts, and a sparkline per column.
 
-Each column is its own small plan over only its own Parquet column: together they read every column
-once, run side by side, and no row is expanded once per column.
+Rows and nulls of all columns are counted in one pass without a shuffle. Distinct values are counted exactly, each
+column in a small plan over only its own Parquet column, texts by digest: no text is shuffled and no row is
+expanded once per column.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleanframe.apptypes import ROWID, app_type, field_map
-from gleanframe.functions.columns import col, comparable
+from gleanframe.functions.columns import col, comparable, comparable_type
 from gleanframe.functions.numbers import share
-from gleanframe.operators.order_stats import sample_rows
-from gleanframe.operators.value_counts import value_counts
+from gleanframe.operators.ranks import sample_rows
+from gleanframe.operators.value_counts import digest, value_counts
 
 # Bins of a sparkline and the null-rate bands.
 BINS = 8
@@ -48,9 +49,9 @@ def _banded(rows: DataFrame) -> DataFrame:
 
 
 def _present(df: DataFrame, f: T.StructField) -> DataFrame:
-    """Value counts of a column without nulls: shared by its distinct count and its sparkline."""
+    """Value counts of a column without nulls: shared by its distinct count and its sparkline. Texts stand as digests."""
     c = comparable(col(f.name), f.dataType)
-    return value_counts(df.where(col(f.name).isNotNull()), c)
+    return value_counts(df.where(col(f.name).isNotNull()), digest(c) if isinstance(comparable_type(f.dataType), (T.StringType, T.BinaryType)) else c)
 
 
 def _named(i: int, f: T.StructField, *facts: Column) -> Column:
@@ -68,22 +69,25 @@ def _rows(df: DataFrame, structs: list[Column]) -> DataFrame:
     return one.select(F.inline_outer("columns"))
 
 
-def _counts(df: DataFrame, f: T.StructField) -> tuple[Column, Column]:
-    counted = _present(df, f).agg(
-        F.struct(
-            F.count("v").alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
-        )
-    )
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return total.alias("total_count"), counted.scalar().alias("present")
+def _nulls(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> Column:
+    """Rows of the table, and nulls of each column as an array."""
+    nulls = F.array(*[F.count_if(col(f.name).isNull()) for _, f in chosen])
+    return df.agg(F.struct(F.count(F.lit(1)).alias("total"), nulls.alias("nulls"))).scalar()
 
 
-def _described(rows: DataFrame) -> DataFrame:
-    nulls = (F.col("total_count") - F.col("present.rows")).alias("null_count")
-    unique = F.col("present.values").alias("unique_count")
+def _distinct(df: DataFrame, f: T.StructField) -> Column:
+    return _present(df, f).agg(F.count("v")).scalar().alias("unique_count")
+
+
+def _described(rows: DataFrame, nulls: Column) -> DataFrame:
+    """Rows of (position, column, type, unique_count, more) with the counts of rows and nulls."""
+    counted = rows.select("*", nulls.alias("counts"))
     return _banded(
-        rows.select("position", "column", "type", "total_count", nulls, unique, *rows.columns[5:])
-    )
+        counted.select(
+            "position", "column", "type", F.col("counts.total").alias("total_count"),
+            F.get(F.col("counts.nulls"), F.col("position")).alias("null_count"), "unique_count", *rows.columns[4:],
+        )
+    )
 
 
 def overview(
@@ -97,7 +101,7 @@ def overview(
     chosen = _chosen(df, columns)
     if approximate:
         return _banded(_approximate(df, chosen))
-    return _described(_rows(df, [_named(i, f, *_counts(df, f)) for i, f in chosen]))
+    return _described(_rows(df, [_named(i, f, _distinct(df, f)) for i, f in chosen]), _nulls(df, chosen))
 
 
 def _approximate(df: DataFrame, chosen: list[tuple[int, T.StructField]]) -> DataFrame:
@@ -168,13 +172,20 @@ def _numeric_bars(df: DataFrame, f: T.StructField) -> Column:
 
 
 def _text_bars(df: DataFrame, f: T.StructField) -> Column:
-    """Counts in key order when there are at most 8 values, else the 8 largest counts."""
-    top = _present(df, f).orderBy(F.desc("n"), F.asc("v")).limit(BINS + 1)
-    largest = F.sort_array(F.transform("a", lambda s: s["n"]), asc=False)
-    bars = F.when(
-        F.size("a") <= BINS, F.transform(F.array_sort("a"), lambda s: s["n"])
-    ).otherwise(F.slice(largest, 1, BINS))
-    return top.agg(F.collect_list(F.struct("v", "n")).alias("a")).select(bars).scalar()
+    """Counts in key order when there are at most 8 values, else the 8 largest counts.
+
+    The largest counts need no texts. Texts are put in order only where an estimate, which cannot
+    exceed so few, says that there are at most 8.
+    """
+    text = comparable(col(f.name), f.dataType)
+    filled = df.where(col(f.name).isNotNull())
+    largest = _present(df, f).orderBy(F.desc("n")).limit(BINS).agg(F.sort_array(F.collect_list("n"), asc=False)).scalar()
+    estimate = filled.agg(F.approx_count_distinct(text)).scalar()
+    counts = value_counts(filled.where(estimate <= BINS), text).orderBy("v").limit(BINS + 1)
+    few = counts.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("a")).select(
+        F.when(F.size("a").between(1, BINS), F.transform("a", lambda s: s["n"]))
+    )
+    return F.coalesce(few.scalar(), largest)
 
 
 def _boolean_bars(df: DataFrame, f: T.StructField) -> Column:
@@ -220,9 +231,6 @@ def schema_overview(
 
     Without sampling the sparkline reads the same shuffled value counts as the distinct count.
     """
-    source = _sampled(df, max_rows)
-    facts = [
-        _named(i, f, *_counts(df, f), _bars(source, f).alias("sparkline"))
-        for i, f in _chosen(df, columns)
-    ]
-    return _described(_rows(df, facts))
+    source, chosen = _sampled(df, max_rows), _chosen(df, columns)
+    facts = [_named(i, f, _distinct(df, f), _bars(source, f).alias("sparkline")) for i, f in chosen]
+    return _described(_rows(df, facts), _nulls(df, chosen))

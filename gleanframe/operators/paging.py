@@ -2,13 +2,15 @@
 
 A page is found by a per-partition top-k over filter and sort columns and the row id alone; then its
 rows are read by id, through ranges that Parquet row groups can be pruned by. A cursor adds a
-predicate on the sort column and the row id.
+predicate on the sort column and the row id. A page by number is looked up in a rank index of (sort key,
+row id): stored ranges with their cumulative counts, built on the first jump, of which a jump reads one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F, types as T
@@ -21,7 +23,7 @@ from gleanframe.functions.columns import (
     key_literal,
     key_text,
 )
-from gleanframe.operators.order_stats import rank_select
+from gleanframe.operators.ranks import RankIndex
 from gleanframe.plans.cursor import Cursor, filter_fingerprint
 from gleanframe.plans.filters import check_filters, predicate
 
@@ -80,11 +82,9 @@ class Pager:
             return [key.desc_nulls_last(), self.rowid.desc()]
         return [key.asc_nulls_last(), self.rowid.asc()]
 
-    def _after(self, key: str | None, rowid: int, inclusive: bool = False) -> Column:
-        """Rows behind (or at) an anchor in page order; ``key`` None anchors among the nulls."""
+    def _after(self, key: str | None, rowid: int) -> Column:
+        """Rows behind an anchor in page order; ``key`` None anchors among the nulls."""
         forward = self.rowid < rowid if self.descending else self.rowid > rowid
-        if inclusive:
-            forward = forward | (self.rowid == rowid)
         if self.sort is None:
             return forward
         if key is None:
@@ -106,7 +106,10 @@ class Pager:
 
     def _read(self, rows: DataFrame) -> DataFrame:
         """The first page of ``rows`` with the row id and, where there is one, the sort key."""
-        ids = [r[0] for r in self._narrow(rows, self.size).select(self.rowid).collect()]
+        return self._of_ids([r[0] for r in self._narrow(rows, self.size).select(self.rowid).collect()])
+
+    def _of_ids(self, ids: list[int]) -> DataFrame:
+        """The rows with the ids of one page, in page order."""
         wanted = self.source.where(self._with_ids(ids)) if ids else self.source.limit(0)
         keys = [] if self.sort is None else [self.key.alias(_KEY)]
         page = wanted.orderBy(*self._order()).limit(self.size)
@@ -172,47 +175,31 @@ class Pager:
             total.alias("total_rows"), kept.alias("filtered_rows"), pages.alias("total_pages")
         )
 
-    def jump(self, page: int) -> DataFrame:
-        """Any page by its 0-based number.
+    @cached_property
+    def index(self) -> RankIndex:
+        """Sort keys and row ids of the filtered rows in page order, stored by range."""
+        keys = [] if self.sort is None else [self.key.alias(_KEY)]
+        return RankIndex.build(self.filtered.select(*keys, self.rowid), self._order(F.col(_KEY)))
 
-        The first row's key is found by exact rank selection over sort key and row id (counts only),
-        then the page is read like one behind a cursor.
-        """
-        return self._visible(self._read(self._from_page(page)))
+    def with_index(self, index: RankIndex) -> Pager:
+        """The same pager with the rank index of another one over the same rows, filters and sort."""
+        self.__dict__["index"] = index
+        return self
 
-    def _from_page(self, page: int) -> DataFrame:
+    def jump(self, page: int) -> DataFrame:
+        """Any page by its 0-based number: its ids are looked up in the range that holds them."""
+        return self._visible(self._at_page(page))
+
+    def _at_page(self, page: int) -> DataFrame:
         if isinstance(page, bool) or not isinstance(page, int) or page < 0:
             raise ValueError("page must be at least 0")
-        return self._from_rank(page * self.size) if page else self.filtered
-
-    def _from_rank(self, rank: int) -> DataFrame:
-        rows = self.filtered
-        by_rowid = (self.rowid.cast("bigint"), T.LongType())
-        if self.sort is None:
-            total = rows.count()
-            if rank >= total:
-                return rows.limit(0)
-            ((anchor,),) = rank_select(rows, [by_rowid], [rank], total)
-            return rows.where(self._after(None, int(anchor), inclusive=True))
-        total, keyed = rows.agg(F.count(F.lit(1)), F.count(self.key)).first()
-        if rank >= total:
-            return rows.limit(0)
-        if rank < keyed:
-            place = keyed - 1 - rank if self.descending else rank
-            present = rows.where(self.key.isNotNull())
-            columns = [(self.key, self.key_type), by_rowid]
-            ((key, anchor),) = rank_select(present, columns, [place], keyed)
-        else:
-            nulls, rank = total - keyed, rank - keyed
-            place = nulls - 1 - rank if self.descending else rank
-            absent = rows.where(self.key.isNull())
-            ((anchor,),) = rank_select(absent, [by_rowid], [place], nulls)
-            key = None
-        return rows.where(self._after(key, int(anchor), inclusive=True))
+        if not page:
+            return self._read(self.filtered)
+        return self._of_ids([r[0] for r in self.index.slice(page * self.size, self.size).select(ROWID).collect()])
 
     def numbered(self, page: int) -> DataFrame:
         """A page with the table-wide row number of each row, counted from 1."""
-        taken, first = self._read(self._from_page(page)), page * self.size
+        taken, first = self._at_page(page), page * self.size
         # the window sees one page only, so its single partition is bounded by the page size
         order = self._order(F.col(_KEY))
         number = F.row_number().over(W.orderBy(*order)) + F.lit(first)

@@ -1,9 +1,10 @@
 """Column profiles over all rows.
 
-What concerns single values (moments, lengths, patterns) is aggregated over the rows; what needs
+What concerns single values (lengths, patterns, rates) is aggregated over the rows; what needs
 distinct values is read from the column's value counts, which one shuffle builds and all facets of a
-query share, for texts by digest. First-pass results (quantiles, mean length) reach the second pass
-as scalar subqueries, so a profile stays one DataFrame and nothing is joined.
+query share, for texts by digest. Those of a number are stored as a rank index, from which its quantiles,
+sums and tails are read. First-pass results of texts (mean length) reach the second pass
+as scalar subqueries, so nothing is joined.
 """
 
 from __future__ import annotations
@@ -17,15 +18,9 @@ from gleanframe.apptypes import ROWID, app_type, field_map
 from gleanframe.functions import text
 from gleanframe.functions.columns import as_text, col, display_text
 from gleanframe.functions.numbers import finite, pct, round_to, share
-from gleanframe.operators.order_stats import (
-    ORDERED_VALUES,
-    Size,
-    quantiles,
-    quantiles_of_few,
-    sample_rows,
-    size_of,
-)
-from gleanframe.operators.value_counts import ranked, value_counts
+from gleanframe.operators.exact_sums import exact_mean, exact_sum, rounded as to_double
+from gleanframe.operators.ranks import RankIndex, quantiles, sample_rows
+from gleanframe.operators.value_counts import digest, ranked, top_texts, value_counts
 
 # Thresholds and sizes of the profile.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -35,23 +30,16 @@ HIGH_CARDINALITY_PCT, MEDIUM_CARDINALITY_PCT, POSSIBLE_KEY_PCT = 80, 20, 98
 LOW_TAIL_PCT, MEDIUM_TAIL_PCT = 70, 40
 
 
-def _digest(v: Column) -> Column:
-    return F.unhex(F.md5(v.cast("binary")))
-
-
 @dataclass(frozen=True)
 class Profile:
-    """Profile of one column. Facets are DataFrames; those of numbers count the table first, to
-    place their quantiles.
+    """Profile of one column. Facets are DataFrames; quantiles and sums of numbers are looked up at once.
 
-    ``max_rows`` profiles a deterministic sample when the table is larger. ``ordered_values`` is the
-    number of distinct values up to which one task orders them for the quantiles.
+    ``max_rows`` profiles a deterministic sample when the table is larger.
     """
 
     table: DataFrame
     column: str
     max_rows: int | None = None
-    ordered_values: int = ORDERED_VALUES
 
     def __post_init__(self):
         if self.column not in field_map(self.table):
@@ -91,28 +79,29 @@ class Profile:
         return T.StringType() if self.type == "string" else self._field.dataType
 
     @cached_property
-    def _present(self) -> DataFrame:
-        """Value counts without the nulls. All uses read ``n``, so they share one shuffle."""
+    def _counted(self) -> DataFrame:
         return value_counts(self._rows.where(F.col("v").isNotNull()), F.col("v"))
 
+    @property
+    def _present(self) -> DataFrame:
+        """Value counts without the nulls: the stored ones once there are any. All uses share one shuffle."""
+        return self._index.rows.select("v", "n") if "_index" in self.__dict__ else self._counted
+
     @cached_property
+    def _digests(self) -> DataFrame:
+        return value_counts(self._rows.where(F.col("v").isNotNull()), digest(F.col("v")))
+
+    @property
     def _keys(self) -> DataFrame:
         """Value counts ``(v, n)`` without the nulls; texts stand as a 16-byte digest, so that counting
         long ones shuffles no text."""
-        if self.type != "string":
-            return self._present
-        return value_counts(self._rows.where(F.col("v").isNotNull()), _digest(F.col("v")))
+        return self._digests if self.type == "string" else self._present
 
     @cached_property
     def _distinct(self) -> Column:
         totals = self._keys.agg(F.struct(F.count("v").alias("values"), F.sum("n").alias("rows")))
         return F.coalesce(totals.scalar()["values"], F.lit(0)).cast("bigint")
 
-    def _present_where(self, condition: Column) -> DataFrame:
-        """Filtered value counts. Naming ``n`` keeps Spark from filtering before the shuffle,
-        which would build a second shuffle for this facet alone."""
-        return self._present.where(F.when(F.col("n") > 0, condition))
-
     def _require(self, *types: str) -> None:
         if self.type not in types:
             raise ValueError(f"Column '{self.column}' is {self.type}, not {' or '.join(types)}")
@@ -155,7 +144,7 @@ class Profile:
         value = first["text"]
         if self.type == "string":
             leader = F.get(leaders.scalar(), F.lit(0))["v"]
-            value = self._rows.where(_digest(v) == leader).agg(F.min("v")).scalar()
+            value = self._rows.where(digest(v) == leader).agg(F.min("v")).scalar()
         return counted.select(
             "*", self._distinct.alias("unique_count"), leaders.scalar().alias("top")
         ).select(
@@ -180,45 +169,45 @@ class Profile:
         return self._rows.where(F.col("v").isNotNull())
 
     @cached_property
-    def _quantiles(self) -> DataFrame:
-        """One row, column ``q``: the quantiles, rounded to 4 decimals as all thresholds are."""
-        v = F.col("v").cast("double").alias("v")
-        raw = quantiles(
-            self._numbers.select(v), self._present.select(v, "n"), QUANTILES, self._size
-        )
-        return raw.select(F.transform("q", lambda x: finite(round_to(x, 4))).alias("q"))
+    def _index(self) -> RankIndex:
+        """The value counts in stored ranges."""
+        self._require("integer", "float")
+        return RankIndex.build(self._counted, [F.asc("v")], weighted=True)
 
     @cached_property
-    def _size(self) -> Size:
-        rows = self.max_rows if self.sampled else self.total_rows
-        return size_of(self._numbers, rows, self.ordered_values)
+    def _quantiles(self) -> Column:
+        """The quantiles as an array, rounded to 4 decimals as all thresholds are."""
+        found = quantiles(self._index, "v", QUANTILES)
+        raw = F.array(*[F.lit(None if found is None else q).cast("double") for q in found or QUANTILES])
+        return F.transform(raw, lambda x: finite(round_to(x, 4)))
 
     def numeric_stats(self) -> DataFrame:
         """Moments, quantiles, uniqueness, zero/negative rates, outliers and tails: one row."""
-        # the quantiles are planned once, as a column next to the values
-        numbers = self._numbers.select("v", self._quantiles.scalar().alias("q"))
-        at = lambda i: F.get("q", F.lit(i))
+        at = lambda i: F.get(self._quantiles, F.lit(i))
         p5, p25, p75, p95 = at(0), at(1), at(3), at(4)
         x = F.col("v").cast("double")
-        exact = F.col("v").cast("decimal(38,0)") if self.type == "integer" else F.col("v")
+        filled, total = exact_sum(self._present.select("v", "n"))
+        literal = lambda x: F.lit(x).cast("double")
         spread = p75 - p25
         outside = (x < p25 - 1.5 * spread) | (x > p75 + 1.5 * spread)
         distinct = self._distinct
         rows = F.count(F.lit(1))
-        raw = numbers.agg(
+        raw = self._numbers.agg(
             rows.alias("rows"),
-            F.any_value("q").alias("q"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
-            F.sum(exact).cast("double").alias("sum"),
-            F.avg(x).alias("mean"),
             F.stddev_samp(x).alias("stddev"),
             F.count_if(x == 0).alias("zeros"),
             F.count_if(x < 0).alias("negatives"),
             F.count_if(outside).alias("outlier_count"),
             F.count_if(x < p5).alias("low_tail_count"),
             F.count_if(x > p95).alias("high_tail_count"),
-        ).select("*", distinct.alias("distinct_count"))
+        ).select(
+            "*",
+            distinct.alias("distinct_count"),
+            literal(to_double(total) if filled else None).alias("sum"),
+            literal(exact_mean(filled, total)).alias("mean"),
+        )
         n = F.col("rows")
         unique_pct = pct(F.col("distinct_count"), n)
         rate = lambda c: F.when(n > 0, pct(F.col(c), n))
@@ -252,13 +241,10 @@ class Profile:
     def tail_values(self) -> DataFrame:
         """``(tail, value, count)``: the 5 most frequent values below p5 and above p95."""
         self._require("integer", "float")
-        ends = self._quantiles.select(F.struct(F.get("q", F.lit(0)).alias("p5"), F.get("q", F.lit(4)).alias("p95")))
-        p5, p95 = ends.scalar()["p5"], ends.scalar()["p95"]
+        p5, p95 = F.get(self._quantiles, F.lit(0)), F.get(self._quantiles, F.lit(4))
         x = F.col("v").cast("double")
-        # few values: their one shuffle serves the tails too; else shuffle only the tails
-        tail_of = self._present_where if self._size.few else self._present.where
         parts = [
-            ranked(tail_of(kept), TAIL_VALUES).select(
+            ranked(self._present.where(kept), TAIL_VALUES).select(
                 F.lit(tail).alias("tail"), self._shown().alias("value"), F.col("n").alias("count")
             )
             for tail, kept in (("low", x < p5), ("high", x > p95))
@@ -298,10 +284,13 @@ class Profile:
 
     def top_values(self, rows: int = TOP_VALUES) -> DataFrame:
         """``(value, count, share_pct)``: most frequent values, their share with one decimal."""
-        filled = self._present.agg(F.sum("n").alias("n")).scalar()
+        if self.type == "string":
+            top = top_texts(self._texts, F.count(F.lit(1)), rows).withColumnRenamed("score", "n")
+        else:
+            top = ranked(self._present, rows)
+        filled = self._rows.agg(F.count("v")).scalar()
         # the subquery is planned once, as a column
-        top = ranked(self._present, rows).select("v", "n", filled.alias("filled"))
-        return top.select(
+        return top.select("v", "n", filled.alias("filled")).select(
             self._shown().alias("value"),
             F.col("n").alias("count"),
             pct(F.col("n"), F.col("filled"), 1).alias("share_pct"),
@@ -344,11 +333,8 @@ class Profile:
             F.count(text.sentinel_token(v)).alias("sentinel_count"),
             F.count_if(self._length_outlier()).alias("outlier_length_count"),
         )
-        # One row for each length that occurs.
-        lengths = value_counts(self._texts, F.length(v).cast("double"))
-        median = quantiles_of_few(lengths, (0.5,)).select(F.get("q", F.lit(0))).scalar()
-        raw = raw.select("*", median.alias("median_length"))
-        shapes = value_counts(self._stripped(), _digest(text.shape(v))).agg(F.count(F.lit(1))).scalar()
+        raw = raw.select("*", self._median_length().alias("median_length"))
+        shapes = value_counts(self._stripped(), digest(text.shape(v))).agg(F.count(F.lit(1))).scalar()
         top = ranked(self._keys, TOP_VALUES).agg(F.sum("n")).scalar()
         rows, covered = F.col("rows"), F.coalesce(F.col("top"), F.lit(0))
         coverage = share(covered, rows)
@@ -371,6 +357,15 @@ class Profile:
             tail.alias("tail_profile"),
         )
 
+    def _median_length(self) -> Column:
+        """From one row for each length that occurs: the lengths of a column, not its texts, are put in order."""
+        lengths = value_counts(self._texts, F.length("v").cast("double"))
+        upto = F.sum("n").over(W.orderBy("v"))
+        running = lengths.select("v", "n", upto.alias("upto"), F.sum("n").over(W.partitionBy()).alias("rows"))
+        middle = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+        lower, upper = middle(F.floor((F.col("rows") - 1) / 2)), middle(F.floor(F.col("rows") / 2))
+        return running.agg((lower / 2 + upper / 2).alias("median")).scalar()
+
     def _stripped(self) -> DataFrame:
         filled = self._texts.where(~text.is_blank(F.col("v")))
         return filled.select(text.strip(F.col("v")).alias("v"))
@@ -389,16 +384,11 @@ class Profile:
         """``(example, length, distance)``: the 5 values furthest from the mean length, cut for display."""
         self._require("string")
         off = F.abs(F.length("v") - F.col("m.mean"))
-        return (
-            self._measured.where(self._length_outlier())
-            .distinct()
-            .orderBy(off.desc(), F.asc("v"))
-            .limit(EXAMPLES)
-            .select(
-                F.substring("v", 1, EXAMPLE_CHARS).alias("example"),
-                F.length("v").alias("length"),
-                round_to(off, 4).alias("distance"),
-            )
+        outliers = self._measured.where(self._length_outlier()).select("v", off.alias("off"))
+        return top_texts(outliers, F.max("off"), EXAMPLES).select(
+            F.substring("v", 1, EXAMPLE_CHARS).alias("example"),
+            F.length("v").alias("length"),
+            round_to(F.col("score"), 4).alias("distance"),
         )
 
     def pattern_classes(self) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleanframe.apptypes import ROWID, app_type, field_map
 from gleanframe.functions.columns import col, comparable, comparable_type
+from gleanframe.operators.ranks import RankIndex
 from gleanframe.plans.filters import COMPARISONS, compared, predicate
 from gleanframe.plans.table_query import Aggregation, TableQuery
 from gleanframe.plans.values import exact_items, exact_test, literal_type
 
+#: Rows that a limit may put in order in one task; more are dealt out by range.
+ONE_TASK_ROWS = 10_000
+
 
 def _aggregate(a: Aggregation, fields: Mapping[str, T.StructField]) -> Column:
     if a.column == "*":
@@ -61,8 +65,9 @@ def _selected(df: DataFrame, query: TableQuery) -> DataFrame:
 def table_query(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     """Run a spec. Raises ``ValueError`` before planning when the spec is invalid.
 
-    Without ``limit`` every row of the result is there. Sort and limit together plan as a
-    per-partition top-k, so no full sort is shuffled.
+    Without ``limit`` every row of the result is there. Sort and a small limit together plan as a
+    per-partition top-k, so no full sort is shuffled. For a large one the result is stored in ranges of its order:
+    those before the cut are read whole, and the one that holds it in part.
     """
     query = TableQuery.check(spec, field_map(df))
     out = _selected(df, query)
@@ -71,6 +76,8 @@ def table_query(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     for name, descending in _sort_keys(types, query):
         c = comparable(col(name), types[name])
         keys.append(c.desc_nulls_last() if descending else c.asc_nulls_last())
+    if query.limit is not None and query.limit > ONE_TASK_ROWS:
+        return RankIndex.build(out, keys).first(query.limit).orderBy(*keys).drop(ROWID)
     if keys:
         out = out.orderBy(*keys)
     return (out if query.limit is None else out.limit(query.limit)).drop(ROWID)

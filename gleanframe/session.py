@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(
@@ -43,3 +43,16 @@ def shared_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="gleanframe-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(frame: DataFrame, what: str, *by: str) -> DataFrame:
+    """``frame`` written once below the shared folder, in folders of the columns ``by``, and read back.
+
+    The files go when the application ends.
+    """
+    spark = frame.sparkSession
+    folder = shared_folder(spark, what)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    frame.write.partitionBy(*by).parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)

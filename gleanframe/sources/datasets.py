@@ -17,7 +17,8 @@ from gleanframe.operators.overview import schema_overview
 from gleanframe.plans.filters import apply_filters
 from gleanframe.session import shared_folder
 from gleanframe.sources.sqlite import discover_sqlite, scan_sqlite
-from gleanframe.sources.tabular import scan_csv, scan_parquet
+from gleanframe.sources.records import count_records
+from gleanframe.sources.tabular import detect, scan_csv, scan_parquet
 from gleanframe.sources.workbook import discover_workbook, scan_workbook
 
 # File suffixes and the formats they stand for.
@@ -155,7 +156,7 @@ def load(
 def discover(spark: SparkSession, path: str, file_format: str | None = None, **csv: Any) -> DataFrame:
     """``(path, name, kind, row_count)`` of everything that can be imported from a path.
 
-    Rows of a CSV input are counted without reading types.
+    Records of a CSV input are counted without reading fields; one may span lines.
     """
     file_format = file_format or format_of(path)
     if file_format == "excel":
@@ -163,9 +164,12 @@ def discover(spark: SparkSession, path: str, file_format: str | None = None, **c
     if file_format == "sqlite":
         return discover_sqlite(spark, path)
     if file_format == "csv":
-        # One text column: the header gives the count of rows, the fields do not matter.
-        csv = {"delimiter": ",", "multiline": False, **csv}
-        rows = spark.read.option("header", True).option("multiLine", csv["multiline"]).schema("line string").csv(path)
+        found = detect(spark, path, csv.get("quote", '"'), csv.get("delimiter"))
+        if csv.get("multiline", found.multiline):
+            rows = spark.range(count_records(spark, path, found.delimiter, found.quote))
+        else:
+            # One text column: the header gives the count of rows, the fields do not matter.
+            rows = spark.read.option("header", True).schema("line string").csv(path)
     else:
         rows = scan(spark, path, file_format)
     return rows.agg(
@@ -223,7 +227,9 @@ def export_csv(
     """Write all columns of the filtered rows as CSV part files with headers, in sort order.
 
     The sort is a range shuffle on the sort column and the row id, so equal sort values spread
-    over tasks; part files in name order hold the whole order. Nulls are empty.
+    over tasks; part files in name order hold the whole order. Unsorted rows come in the order of their ids: where
+    the stored ranges of a loaded table are read, each task's rows are a range, so nothing is shuffled and the
+    files are named by their range. Nulls are empty.
     """
     fields = {f.name: f for f in visible_fields(df)}
     if sort is not None and sort not in fields:
@@ -236,7 +242,10 @@ def export_csv(
         order.append(key.desc_nulls_last() if descending else key.asc_nulls_last())
     if ROWID in df.columns:
         order.append(F.desc(ROWID) if descending else F.asc(ROWID))
-    if order:
+    spans = _spans(rows) if sort is None and order else None
+    if spans is not None:
+        rows = rows.sortWithinPartitions(ROWID)
+    elif order:
         rows = rows.orderBy(*order)
     (
         rows.select(*[_csv_text(f) for f in fields.values()])
@@ -248,3 +257,28 @@ def export_csv(
         .option("ignoreTrailingWhiteSpace", False)
         .csv(folder)
     )
+    if spans is not None and spans != sorted(spans):
+        _name_by_rank(df.sparkSession, folder, spans)
+
+
+def _spans(rows: DataFrame) -> list[int] | None:
+    """Numbers of the tasks in the order of their row ids, if each task's ids are a range of their own."""
+    task = F.spark_partition_id().alias("task")
+    ends = rows.select(task, ROWID).groupBy("task").agg(F.min(ROWID).alias("low"), F.max(ROWID).alias("high"))
+    found = sorted(ends.collect(), key=lambda r: r.low)
+    if any(a.high >= b.low for a, b in zip(found, found[1:])):
+        return None
+    return [r.task for r in found]
+
+
+def _name_by_rank(spark: SparkSession, folder: str, spans: list[int]) -> None:
+    """Rename part files, which bear the number of their task, so that their names are in the order of ``spans``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    rank = {task: i for i, task in enumerate(spans)}
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        part = re.match(r"part-(\d+)-(.*)", name)
+        if part:
+            place = rank.get(int(part[1]), len(spans) + int(part[1]))
+            files.rename(status.getPath(), path.suffix(f"/part-r{place:08d}-{part[2]}"))

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gleanframe.functions.columns import col
+from gleanframe.sources.records import recut
 
 # Fixed value: the only timestamp text inferred as a timestamp, so that a bare time stays text.
 TIMESTAMP_FORMAT = "yyyy-MM-dd['T'][ ]HH:mm:ss[.SSSSSS][.SSS]"
 # What may separate fields, and how a day may be written, in the order they are tried.
 DELIMITERS = (",", ";", "\t", "|")
-DATE_FORMATS = ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "yyyy/MM/dd")
+DATE_FORMATS = ("dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy/MM/dd")
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,10 @@ def detect(spark: SparkSession, path: str, quote: str = '"', delimiter: str | No
 
 
 def _days(df: DataFrame) -> DataFrame:
-    """Text columns that hold days in one known form as dates, after one pass over them."""
+    """Text columns that hold days in one known form as dates, after one pass over them.
+
+    Where days first and months first both fit, nothing tells which is meant, and the column stays text.
+    """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
@@ -71,7 +75,7 @@ def _days(df: DataFrame) -> DataFrame:
     form_of = {}
     for i, name in enumerate(texts):
         fits = [form for k, form in enumerate(DATE_FORMATS) if found[f"{i} {k}"] == 0]
-        if fits and found[f"n {i}"]:
+        if len(fits) == 1 and found[f"n {i}"]:
             form_of[name] = fits[0]
     return df.withColumns({n: F.to_date(col(n), form) for n, form in form_of.items()}) if form_of else df
 
@@ -93,20 +97,21 @@ def scan_csv(
     ``schema``, ``delimiter`` and ``multiline`` the input is read once. A value that does not fit its type
     fails the read instead of turning into null.
 
-    Files are split over tasks. Records of a file with line breaks in quoted fields cannot be found from
-    its middle, so such a file is one task's; that has to be asked for with ``multiline=True``.
+    Files are split over tasks. Where quoted fields hold line breaks, the records are cut first by tasks in
+    parallel and stored in the shared folder (:mod:`gleanframe.sources.records`).
     """
     if multiline is None or delimiter is None:
         found = detect(spark, path, quote, delimiter)
-        delimiter = found.delimiter
-        if multiline is None and found.multiline:
-            raise ValueError(f"Quoted fields of {path} span lines; pass multiline=True to read each file in one task")
+        delimiter, multiline = found.delimiter, found.multiline if multiline is None else multiline
+    reader = spark.read.option("header", not multiline)
+    names = None
+    if multiline:
+        path, separator, names = recut(spark, path, delimiter, quote)
+        reader = reader.option("lineSep", separator)
     reader = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
+        reader.option("sep", delimiter)
         .option("quote", quote)
         .option("escape", quote)
-        .option("multiLine", bool(multiline))
         .option("mode", "FAILFAST")
         .option("timestampFormat", timestamp_format or TIMESTAMP_FORMAT)
     )
@@ -115,6 +120,8 @@ def scan_csv(
     if schema is not None:
         return reader.schema(schema).csv(path)
     df = reader.option("inferSchema", True).csv(path)
+    if names is not None:
+        df = df.toDF(*names) if df.columns else spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
     # CSV timestamps carry no zone
     moments = {
         f.name: col(f.name).cast("timestamp_ntz") for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanframe import ROWID, Profile, profile
 from gleanframe.functions.columns import display_text
-from gleanframe.operators.order_stats import sample_rows
+from gleanframe.operators.ranks import sample_rows
 from gleanframe.functions.text import CODE, DIGITS, EMAIL, UUID
 from suite.common import JUDGED_SQL, identified, judged, table
 
@@ -345,7 +345,7 @@ QUERIES = {
     ),
     "profile_numeric_nulls": (_of(judged, "quality", "numeric_stats"), _numeric(JUDGED_SQL, "quality")),
     "profile_numeric_rank_select": (
-        _of("lineitem", "l_extendedprice", "numeric_stats", ordered_values=0),
+        _of("lineitem", "l_extendedprice", "numeric_stats"),
         _numeric("lineitem", "l_extendedprice"),
     ),
     "profile_tail_values": (

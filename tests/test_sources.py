@@ -1,7 +1,10 @@
 """Files in, files out: types, text forms, discovery, import and row identity."""
 
+import csv
 import glob
+import io
 import os
+import random
 import sqlite3
 import zipfile
 
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanframe import ROWID, Pager, discover, export_csv, import_entities, load, scan
 from gleanframe.session import shared_folder
+from gleanframe.sources.records import count_records, ends_inside, layout, records
 from suite.writers import MAIN, OFFICE, PACKAGE, save_workbook
 
 
@@ -51,11 +55,63 @@ def test_csv_types_and_nulls(spark, tmp_path):
 
 
 def test_csv_with_line_breaks_in_fields(spark, tmp_path):
-    path = _save(tmp_path / "t.csv", 'id,note\n1,"two\nlines"\n2,plain\n')
-    with pytest.raises(ValueError, match="pass multiline=True"):
-        scan(spark, path)
-    rows = scan(spark, path, multiline=True).orderBy("id").collect()
-    assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "plain")]
+    path = _save(tmp_path / "t.csv", 'id,note\n1,"two\nlines"\n2,plain\n3,"a\n\n""b"",\nc"\n')
+    for options in ({}, {"multiline": True}):
+        rows = scan(spark, path, **options).orderBy("id").collect()
+        assert [tuple(r) for r in rows] == [(1, "two\nlines"), (2, "plain"), (3, 'a\n\n"b",\nc')]
+    assert discover(spark, path).first().row_count == 3
+
+
+@pytest.mark.parametrize("bytes_per_task", [7, 40, 1 << 20])
+def test_records_are_cut_by_many_tasks(spark, tmp_path, bytes_per_task):
+    rng = random.Random(bytes_per_task)
+    word = lambda: "".join(rng.choice(['"', "\n", ",", "a", "é", " ", ";", "\n\n"]) for _ in range(rng.randint(0, 12)))
+    files = {f"f{k}.csv": [(str(i), word(), word()) for i in range(k * 100, k * 100 + rng.randint(0, 40))] for k in range(3)}
+    for name, rows in files.items():
+        with open(tmp_path / name, "w", encoding="utf-8", newline="") as out:
+            csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL if name == "f1.csv" else csv.QUOTE_MINIMAL).writerows([("id", "a", "b"), *rows])
+    want = [r for name in sorted(files) for r in files[name]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_per_task)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        found = layout(spark, str(tmp_path), ",", '"')
+        assert len(found.blocks) >= (30 if bytes_per_task == 7 else 3)
+        assert found.records - found.files == len(want) == count_records(spark, str(tmp_path), ",", '"')
+        cut = records(spark, str(tmp_path), found, ",", '"').where("NOT first").orderBy("file", "block", "at").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [tuple(next(csv.reader(io.StringIO(r.text, newline="")))) for r in cut] == want
+
+
+def test_multi_line_files_keep_their_order_and_names(spark, tmp_path):
+    body = "".join(f'{i},"line {i}\nmore",{i / 2}\n' for i in range(3000))
+    path = _save(tmp_path / "t.csv", f'id,,id\n{body}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    try:
+        frame = load(spark, path, "lines").frame
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert frame.columns == [ROWID, "id0", "_c1", "id2"]
+    rows = frame.orderBy(ROWID).collect()
+    assert [(r.id0, r._c1, r.id2) for r in rows] == [(i, f"line {i}\nmore", i / 2) for i in range(3000)]
+
+
+def test_state_behind_a_line():
+    for line, inside, want in [
+        ('a,"b', False, True), ('a,"b"', False, False), ('a,b"c', False, False), ('x",y', True, False), ('x"",y', True, True),
+        ('x"",y"', True, False), ('x""","z', True, True), ('x",y"z,"', True, True), ("", True, True), ("", False, False), ('"', False, True), ('""', False, False),
+    ]:
+        assert ends_inside(line, inside, ",", '"') is want, line
+
+
+def test_days_that_may_be_months_stay_text(spark, tmp_path):
+    path = _save(tmp_path / "t.csv", "a,b,c,d\n03/04/2024,13/04/2024,03-04-2024,03.04.2024\n05/06/2024,01/02/2024,05-06-2024,05.06.2024\n")
+    types = _types(scan(spark, path))
+    assert types == {"a": "string", "b": "date", "c": "string", "d": "date"}
+    assert str(scan(spark, path, date_format="MM/dd/yyyy", schema="a date, b string, c string, d string", delimiter=",").first().a) == "2024-03-04"
 
 
 def test_csv_with_stray_quotes_is_split(spark, tmp_path):
@@ -278,6 +334,20 @@ def test_sorted_export_loads_in_its_order(spark, tmp_path):
     assert len(back) == 20_000 and back == sorted(back)
 
 
+def test_unsorted_export_shuffles_nothing(spark, tmp_path):
+    """Each task's rows are a range of ids, whatever order the tasks come in."""
+    low, high = spark.range(0, 900, numPartitions=2), spark.range(900, 2000, numPartitions=3)
+    rows = high.unionByName(low).withColumn(ROWID, F.col("id"))
+    out = str(tmp_path / "out")
+    export_csv(rows, out)
+    lines = [x for part in sorted(glob.glob(f"{out}/part-*")) for x in open(part).read().splitlines()[1:]]
+    assert [int(x) for x in lines] == list(range(2000))
+    mixed = str(tmp_path / "mixed")
+    export_csv(spark.range(2000).repartition(5, "id").withColumn(ROWID, F.col("id")), mixed)
+    lines = [x for part in sorted(glob.glob(f"{mixed}/part-*")) for x in open(part).read().splitlines()[1:]]
+    assert [int(x) for x in lines] == list(range(2000))
+
+
 def test_views_of_like_names_are_not_replaced(spark, tmp_path):
     path = _save(tmp_path / "t.csv", "n\n1\n")
     load(spark, path, "like-name")
