@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -16,6 +18,14 @@ def round_to(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < 2.0**53 / scale, F.signum(x) * scaled).otherwise(x)
 
 
+def rounded_to(x: float, digits: int) -> float:
+    """:func:`round_to` of a finite number on the driver."""
+    scale = float(10**digits)
+    if abs(x) >= 2.0**53 / scale:
+        return x
+    return math.copysign(math.floor(abs(x) * scale + 0.5) / scale, x) if x else 0.0
+
+
 def finite(x: Column) -> Column:
     """The value, or null for NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)

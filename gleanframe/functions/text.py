@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, functions as F
 
 # ASCII white space and every Unicode separator (category Z).
@@ -58,6 +56,5 @@ def pattern_class(stripped: Column) -> Column:
 
 
 def shape(stripped: Column) -> Column:
-    """Letters become A, digits 9; everything else stays."""
-    shown = "A" * len(string.ascii_letters) + "9" * len(string.digits)
-    return F.translate(stripped, string.ascii_letters + string.digits, shown)
+    """ASCII letters become A, digits 9; everything else stays."""
+    return F.mask(stripped, F.lit("A"), F.lit("A"), F.lit("9"))

@@ -29,7 +29,7 @@ from gleanframe.plans.filters import check_filters, predicate
 
 DEFAULT_SIZE = 200
 MAX_SIZE = 10_000
-ID_RANGES = 64
+ID_RANGES = 8
 _KEY, _KEY_TEXT = "_sort_key", "_sort_key_text"
 
 

@@ -9,6 +9,7 @@ as scalar subqueries, so nothing is joined.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from gleanframe.apptypes import ROWID, app_type, field_map
 from gleanframe.functions import text
 from gleanframe.functions.columns import as_text, col, display_text
-from gleanframe.functions.numbers import finite, pct, round_to, share
+from gleanframe.functions.numbers import finite, pct, round_to, rounded_to, share
 from gleanframe.operators.exact_sums import exact_mean, exact_sum, rounded as to_double
 from gleanframe.operators.ranks import RankIndex, quantiles, sample_rows
 from gleanframe.operators.value_counts import digest, ranked, top_texts, value_counts
@@ -175,15 +176,14 @@ class Profile:
         return RankIndex.build(self._counted, [F.asc("v")], weighted=True)
 
     @cached_property
-    def _quantiles(self) -> Column:
-        """The quantiles as an array, rounded to 4 decimals as all thresholds are."""
-        found = quantiles(self._index, "v", QUANTILES)
-        raw = F.array(*[F.lit(None if found is None else q).cast("double") for q in found or QUANTILES])
-        return F.transform(raw, lambda x: finite(round_to(x, 4)))
+    def _quantiles(self) -> list[float | None]:
+        """The quantiles, rounded to 4 decimals as all thresholds are; null where there is no finite one."""
+        found = quantiles(self._index, "v", QUANTILES) or [None] * len(QUANTILES)
+        return [None if q is None or not math.isfinite(q) else rounded_to(q, 4) for q in found]
 
     def numeric_stats(self) -> DataFrame:
         """Moments, quantiles, uniqueness, zero/negative rates, outliers and tails: one row."""
-        at = lambda i: F.get(self._quantiles, F.lit(i))
+        at = lambda i: F.lit(self._quantiles[i]).cast("double")
         p5, p25, p75, p95 = at(0), at(1), at(3), at(4)
         x = F.col("v").cast("double")
         filled, total = exact_sum(self._present.select("v", "n"))
@@ -241,7 +241,7 @@ class Profile:
     def tail_values(self) -> DataFrame:
         """``(tail, value, count)``: the 5 most frequent values below p5 and above p95."""
         self._require("integer", "float")
-        p5, p95 = F.get(self._quantiles, F.lit(0)), F.get(self._quantiles, F.lit(4))
+        p5, p95 = (F.lit(self._quantiles[i]).cast("double") for i in (0, 4))
         x = F.col("v").cast("double")
         parts = [
             ranked(self._present.where(kept), TAIL_VALUES).select(

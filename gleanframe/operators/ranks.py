@@ -12,8 +12,9 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
@@ -56,31 +57,41 @@ class RankIndex:
         return bisect_right(self.before, rank) - 1
 
     def _placed(self, positions: Sequence[int]) -> DataFrame:
-        """Keys of some ranges with ``_rank``, that of their first row; each range is sorted by itself."""
-        ids = [self.ranges[p] for p in positions]
+        """Keys of some ranges with ``_rank`` within their range; each range is sorted by itself."""
         upto = W.partitionBy(RANGE).orderBy(*self.order).rowsBetween(W.unboundedPreceding, -1)
-        starts = F.create_map(*[F.lit(x) for p in positions for x in (self.ranges[p], self.before[p])])
-        rank = F.coalesce(F.sum(self.weight).over(upto), F.lit(0)) + F.element_at(starts, F.col(RANGE))
-        return self.rows.where(F.col(RANGE).isin(ids)).withColumn(RANK, rank.cast("bigint"))
+        rank = F.coalesce(F.sum(self.weight).over(upto), F.lit(0)).cast("bigint")
+        return self.rows.where(F.col(RANGE).isin([self.ranges[p] for p in positions])).withColumn(RANK, rank)
+
+    def _inside(self, rank: int) -> Column:
+        """Whether the rows of a key hold a rank."""
+        p = self._range_of(rank)
+        at = rank - self.before[p]
+        return (F.col(RANGE) == self.ranges[p]) & (F.col(RANK) <= at) & (F.col(RANK) + self.weight > at)
 
     def slice(self, rank: int, count: int) -> DataFrame:
-        """The keys of ``count`` ranks from ``rank`` on, with ``_rank``; reads the ranges that hold them."""
+        """The keys of ``count`` ranks from ``rank`` on, with the ``_rank`` of their first row; reads the ranges that hold them."""
         end = min(rank + count, self.total)
         if rank >= end:
             return self.rows.limit(0).withColumn(RANK, F.lit(0).cast("bigint"))
         positions = range(self._range_of(rank), self._range_of(end - 1) + 1)
-        return self._placed(positions).where((F.col(RANK) + self.weight > rank) & (F.col(RANK) < end))
+        of = {p: F.col(RANGE) == self.ranges[p] for p in positions}
+        before = F.coalesce(*[F.when(here, self.before[p]) for p, here in of.items()])
+        placed = self._placed(positions).withColumn(RANK, F.col(RANK) + before)
+        return placed.where((F.col(RANK) + self.weight > rank) & (F.col(RANK) < end))
 
     def at(self, ranks: Sequence[int], key: str) -> dict[int, object]:
         """The value of the column ``key`` at each rank."""
         if not ranks:
             return {}
-        placed = self._placed(sorted({self._range_of(r) for r in ranks}))
-        rank = F.col(RANK)
-        hits = F.filter(F.array(*[F.lit(r).cast("bigint") for r in sorted(set(ranks))]), lambda r: (r >= rank) & (r < rank + self.weight))
+        wanted = sorted(set(ranks))
+        placed = self._placed(sorted({self._range_of(r) for r in wanted}))
         # as many rows as ranks at most
-        found = placed.select(F.explode(hits).alias("r"), F.col(key).alias("value")).collect()
-        return {row.r: row.value for row in found}
+        rows = placed.where(reduce(or_, map(self._inside, wanted))).select(RANGE, RANK, self.weight.alias("weight"), F.col(key).alias("value"))
+        found, start = {}, dict(zip(self.ranges, self.before))
+        for row in rows.collect():
+            low = start[row[RANGE]] + row[RANK]
+            found |= {r: row.value for r in wanted if low <= r < low + row.weight}
+        return found
 
     def first(self, count: int) -> DataFrame:
         """The rows of the first ``count`` ranks: whole ranges as they are, and a part of the last."""
@@ -88,7 +99,7 @@ class RankIndex:
             return self.rows.drop(RANGE)
         last = self._range_of(count)
         whole = self.rows.where(F.col(RANGE).isin(list(self.ranges[:last]))) if last else self.rows.limit(0)
-        part = self._placed([last]).where(F.col(RANK) < count).drop(RANK)
+        part = self._placed([last]).where(F.col(RANK) < count - self.before[last]).drop(RANK)
         return whole.unionByName(part).drop(RANGE)
 
 

@@ -9,14 +9,19 @@ from its few pieces. So large files are split over tasks as files without line b
 from __future__ import annotations
 
 import csv
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanframe.session import shared_folder
 
+# Functions that run in tasks travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Control characters one of which ends the records that were cut.
 SEPARATORS = "\x1e\x1f\x1d\x1c\x01\x02"
 #: White space and control characters, of which a line without a record consists.
@@ -24,7 +29,7 @@ BLANK = "".join(map(chr, range(33)))
 #: Place of what is open at the end of a block: behind all records that end in it.
 OPEN = 1 << 62
 
-_BLOCKS = "file string, block long, closed boolean, opened boolean, ends_closed long, ends_opened long, cuts_closed boolean, cuts_opened boolean, held string"
+_BLOCKS = "file string, block long, closed boolean, opened boolean, ends_closed long, ends_opened long, cuts_closed boolean, cuts_opened boolean, held string, header string"
 _PIECES = "file string, block long, at long, part long, first boolean, text string"
 
 
@@ -101,6 +106,7 @@ class Layout:
     records: int
     files: int
     separator: str
+    header: str | None
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
@@ -111,17 +117,20 @@ def layout(spark: SparkSession, path: str, delimiter: str, quote: str) -> Layout
     """One pass over the lines; the driver combines one row per block."""
 
     def states(batches):
-        key, closed, opened, held = None, None, None, set()
+        key, closed, opened, held, header = None, None, None, set(), []
 
         def row():
-            return (*key, closed.inside, opened.inside, closed.ends, opened.ends, closed.cuts, opened.cuts, "".join(sorted(held)))
+            ends = (closed.inside, opened.inside, closed.ends, opened.ends, closed.cuts, opened.cuts)
+            return (*key, *ends, "".join(sorted(held)), "\n".join(header) or None)
 
         for file, block, lines in _lines(batches):
             if (file, block) != key:
                 if key is not None:
                     yield _record_batch([row()], _BLOCKS)
-                key, closed, opened, held = (file, block), _State(False), _State(True), set()
+                key, closed, opened, held, header = (file, block), _State(False), _State(True), set(), []
             for line in lines:
+                if not block and not closed.ends and (closed.inside or line.strip(BLANK)):
+                    header.append(line)
                 closed.step(line, delimiter, quote)
                 opened.step(line, delimiter, quote)
             held.update(s for s in SEPARATORS if any(s in line for line in lines))
@@ -145,7 +154,8 @@ def layout(spark: SparkSession, path: str, delimiter: str, quote: str) -> Layout
     free = [s for s in SEPARATORS if s not in held]
     if not free:
         raise ValueError(f"{path} holds all characters that could part its records")
-    return Layout(blocks, records + inside, len({f for f, _ in blocks}), free[0])
+    headers = sorted((r.file, r.header) for r in rows if r.header is not None)
+    return Layout(blocks, records + inside, len(headers), free[0], headers[0][1] if headers else None)
 
 
 def count_records(spark: SparkSession, path: str, delimiter: str, quote: str) -> int:
@@ -214,12 +224,18 @@ def _safe_names(header: list[str]) -> list[str]:
 
 
 def recut(spark: SparkSession, path: str, delimiter: str, quote: str) -> tuple[str, str, list[str]]:
-    """Write the records, without headers and in order, parted by a character of their own: ``(folder, separator, names)``."""
+    """Write the records, without headers and in order, parted by a character of their own: ``(folder, separator, names)``.
+
+    One row per block is broadcast, the only other copy of what the tasks know of the blocks.
+    """
     found = layout(spark, path, delimiter, quote)
     rows = records(spark, path, found, delimiter, quote)
-    header = rows.where("first").orderBy("file").select("text").first()
-    names = next(csv.reader([header.text], delimiter=delimiter, quotechar=quote), []) if header else []
+    names = next(csv.reader([found.header], delimiter=delimiter, quotechar=quote)) if found.header else []
     folder = shared_folder(spark, "records")
-    ordered = rows.where("NOT first").repartitionByRange("file", "block", "at").sortWithinPartitions("file", "block", "at")
-    ordered.select("text").write.option("lineSep", found.separator).text(folder)
+    # a folder per block, named by its rank; a record that crosses blocks follows the others of the block it began in
+    order = {key: i for i, key in enumerate(sorted(found.blocks))}
+    ranks = spark.createDataFrame([(*key, f"{i:09d}") for key, i in order.items()], "file string, block long, rank string")
+    placed = rows.where("NOT first").join(F.broadcast(ranks), ["file", "block"])
+    ordered = placed.sortWithinPartitions("rank", "at").select("text", "rank")
+    ordered.write.partitionBy("rank").option("lineSep", found.separator).text(folder)
     return folder, found.separator, _safe_names(names)

@@ -32,7 +32,8 @@ def _outside(line: Column, delimiter: str, quote: str) -> Column:
     """The line without its whole quoted fields. Doubled quotes go first: they open and close nothing."""
     d, q = re.escape(delimiter), re.escape(quote)
     plain = F.replace(line, F.lit(quote * 2), F.lit(""))
-    return F.regexp_replace(plain, f"(?<=^|{d}){q}[^{q}]*{q}(?=$|{d})", "")
+    rest = F.regexp_replace(plain, f"(?<=^|{d}){q}[^{q}]*{q}(?=$|{d})", "")
+    return F.when(F.contains(line, F.lit(quote)), rest).otherwise(line)
 
 
 def detect(spark: SparkSession, path: str, quote: str = '"', delimiter: str | None = None) -> Dialect:
@@ -49,7 +50,7 @@ def detect(spark: SparkSession, path: str, quote: str = '"', delimiter: str | No
         q = re.escape(quote)
         facts += [
             F.coalesce(F.mode(count), F.lit(0)).alias(f"usual{i}"),
-            F.coalesce(F.bool_or(rest.rlike(f"(^|{re.escape(d)}){q}")), F.lit(False)).alias(f"open{i}"),
+            F.coalesce(F.bool_or(F.contains(line, F.lit(quote)) & rest.rlike(f"(^|{re.escape(d)}){q}")), F.lit(False)).alias(f"open{i}"),
         ]
     found = spark.read.text(path).where(F.length("value") > 0).agg(*facts).first()
     best = max(range(len(tried)), key=lambda i: (found[f"usual{i}"] > 0, found[f"usual{i}"], -i))
@@ -107,7 +108,7 @@ def scan_csv(
     names = None
     if multiline:
         path, separator, names = recut(spark, path, delimiter, quote)
-        reader = reader.option("lineSep", separator)
+        reader = reader.option("lineSep", separator).option("recursiveFileLookup", True)
     reader = (
         reader.option("sep", delimiter)
         .option("quote", quote)
