@@ -1,5 +1,6 @@
 import os
 import sys
+from datetime import date
 
 import pytest
 
@@ -18,29 +19,24 @@ def spark(tmp_path_factory):
 
 
 @pytest.fixture(scope="session")
-def sales(spark):
-    """35 orders with one null in most columns, in the shape of a typical sales extract."""
-    regions, products = ["West", "East", "North", "South"], ["Widget A", "Widget B", "Widget C"]
-    states = ["active", "closed", "pending"]
-    rows = []
-    for i in range(1, 36):
-        rows.append(
-            (
-                i,
-                regions[i % 4],
-                products[i % 3],
-                None if i == 31 else 800.0 + 137.25 * ((i * 8) % 35),
-                None if i == 32 else 3 + (i * 5) % 30,
-                f"2024-{1 + i // 3:02d}-{1 + i % 28:02d}" if i < 33 else f"2025-0{i - 31}-10",
-                None if i == 33 else states[i % 3],
-                None if i == 34 else f"Customer {i % 9}",
-                None if i == 33 else (i % 5) * 0.05,
-                None if i == 32 else i % 2 == 1,
-            )
+def tides(spark):
+    """52 readings of tide gauges in four harbours, with one null in most columns."""
+
+    def reading(i):
+        return (
+            i,
+            ("Brest", "Cadiz", "Delfzijl", "Esbjerg")[i % 4],
+            ("Float 1", "Float 2", "Radar")[i % 3],
+            None if i == 50 else 2.5 * ((i * 11) % 52) - 31.25,
+            None if i == 51 else 3 + (i * 7) % 41,
+            date(2023, 1 + i // 5, 1 + (i * 3) % 28),
+            None if i == 49 else ("clear", "fog", "rain")[i % 3],
+            None if i == 48 else f"crew {i % 7}",
+            None if i == 51 else i % 2 == 1,
         )
+
     schema = (
-        "id bigint, region string, product string, amount double, quantity bigint, day string, "
-        "status string, customer_name string, discount double, is_priority boolean"
+        "id bigint, harbour string, gauge string, level double, samples bigint, taken date, sky string, "
+        "observer string, checked boolean"
     )
-    df = spark.createDataFrame(rows, schema)
-    return df.withColumn("day", df["day"].cast("date"))
+    return spark.createDataFrame([reading(i) for i in range(1, 53)], schema)

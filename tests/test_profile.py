@@ -161,17 +161,17 @@ def test_nested_and_binary_columns_are_text(spark):
     assert len(_bars(df, "s")) == 4
 
 
-def test_whole_profile_and_overview(spark, sales):
-    row = profile(sales, "amount").first()
-    assert row.type == "float" and not row.sampled and row.total_rows == 35
-    assert row.stats.distinct_count == 34 and sum(b["count"] for b in row.histogram) == 34
-    names = profile(sales, "customer_name").first()
+def test_whole_profile_and_overview(spark, tides):
+    row = profile(tides, "level").first()
+    assert row.type == "float" and not row.sampled and row.total_rows == 52
+    assert row.stats.distinct_count == 51 and sum(b["count"] for b in row.histogram) == 51
+    names = profile(tides, "observer").first()
     assert [v["count"] for v in names.top_values] == sorted((v["count"] for v in names.top_values), reverse=True)
     assert names.pattern_classes[0].label == "free-text"
-    assert profile(sales, "day").first().histogram[0].label == "2024-01"
-    assert profile(sales, "is_priority").first().stats.null_count == 1
-    for r in schema_overview(sales).collect():
-        assert r.total_count == 35 and len(r.sparkline) <= 8 and r.null_band == "normal"
+    assert profile(tides, "taken").first().histogram[0].label == "2023-01"
+    assert profile(tides, "checked").first().stats.null_count == 1
+    for r in schema_overview(tides).collect():
+        assert r.total_count == 52 and len(r.sparkline) <= 8 and r.null_band == "normal"
         assert r.unique_count >= 2
     gaps = spark.sql("SELECT IF(id < 3, NULL, id) AS x, IF(id < 1, NULL, id) AS y FROM range(10)")
     assert [r.null_band for r in overview(gaps).orderBy("position").collect()] == ["error", "warning"]

@@ -148,7 +148,7 @@ def test_csv_value_that_does_not_fit_fails(spark, tmp_path):
         scan(spark, path, schema="id int").collect()
 
 
-def test_discover_and_import_single_tables(spark, sales, tmp_path):
+def test_discover_and_import_single_tables(spark, tides, tmp_path):
     path = _save(tmp_path / "tiny.csv", "id,name\n1,a\n2,b\n")
     assert tuple(discover(spark, path).first())[1:] == ("data", "dataset", 2)
     (dataset,) = import_entities(spark, path)
@@ -157,9 +157,9 @@ def test_discover_and_import_single_tables(spark, sales, tmp_path):
     assert spark.table("tiny_csv").columns == ["id", "name"]
     dataset.remove()
     assert not spark.catalog.tableExists("tiny_csv")
-    folder = str(tmp_path / "sales.parquet")
-    sales.write.parquet(folder)
-    assert load(spark, folder, "sold").row_count == 35
+    folder = str(tmp_path / "tides.parquet")
+    tides.write.parquet(folder)
+    assert load(spark, folder, "marks").row_count == 52
     with pytest.raises(ValueError, match="Unsupported file format: .txt"):
         scan(spark, "x.txt")
 
@@ -172,23 +172,23 @@ def test_rows_keep_file_order(spark, tmp_path):
         load(spark, dataset.frame.inputFiles()[0], "again", "parquet")
 
 
-def test_export_text_and_order(spark, sales, tmp_path):
-    rows = sales.repartition(4).withColumn(ROWID, F.col("id")).withColumn("at", F.col("day").cast("timestamp_ntz"))
+def test_export_text_and_order(spark, tides, tmp_path):
+    rows = tides.repartition(4).withColumn(ROWID, F.col("id")).withColumn("at", F.col("taken").cast("timestamp_ntz"))
     out = str(tmp_path / "out")
-    export_csv(rows, out, [{"column": "product", "operator": "!=", "value": "Widget A"}], "amount", "desc")
+    export_csv(rows, out, [{"column": "gauge", "operator": "!=", "value": "Float 1"}], "level", "desc")
     lines = []
     for part in sorted(glob.glob(f"{out}/part-*")):
         header, *body = open(part, encoding="utf-8").read().splitlines()
-        assert header == "id,region,product,amount,quantity,day,status,customer_name,discount,is_priority,at"
+        assert header == "id,harbour,gauge,level,samples,taken,sky,observer,checked,at"
         lines += [line.split(",") for line in body]
-    amounts = [float(line[3]) if line[3] else None for line in lines]
-    assert amounts[-1] is None and amounts[:-1] == sorted(amounts[:-1], reverse=True)
-    assert len(lines) == sales.where("product <> 'Widget A'").count()
+    levels = [float(line[3]) if line[3] else None for line in lines]
+    assert levels[-1] is None and levels[:-1] == sorted(levels[:-1], reverse=True)
+    assert len(lines) == tides.where("gauge <> 'Float 1'").count()
     by_id = {line[0]: line for line in lines}
-    assert by_id["1"][9] == "True" and by_id["2"][9] == "False" and by_id["32"][9] == ""
-    assert by_id["1"][10] == "2024-01-02 00:00:00"
+    assert by_id["1"][8] == "True" and by_id["2"][8] == "False" and by_id["49"][6] == ""
+    assert by_id["1"][9] == "2023-01-04 00:00:00"
     with pytest.raises(ValueError, match="Invalid sort column: nope"):
-        export_csv(sales, out, sort="nope")
+        export_csv(tides, out, sort="nope")
 
 
 def test_export_keeps_awkward_text(spark, tmp_path):

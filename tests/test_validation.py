@@ -17,73 +17,73 @@ def _filter(column, operator, value=None):
     [
         (_filter("", "="), "Filter column is required"),
         (_filter("colour", "=", 1), "Invalid filter column: colour"),
-        (_filter("region", None, 1), "Filter operator is required for column: region"),
-        (_filter("region", "like", "West"), "Unsupported operator 'like'"),
-        (_filter("region", ">", "West"), r"Unsupported operator '>' for column 'region' \(string\)"),
-        (_filter("amount", "contains", "1"), "Unsupported operator"),
-        (_filter("is_priority", "<", True), "Unsupported operator"),
-        (_filter("quantity", ">", "abc"), "Invalid integer value for column 'quantity': abc"),
-        (_filter("quantity", "=", 5.7), "Invalid integer value"),
-        (_filter("amount", "=", "x"), "Invalid float value"),
-        (_filter("is_priority", "=", "maybe"), "Invalid boolean value"),
-        (_filter("is_priority", "=", 1), "Invalid boolean value"),
-        (_filter("day", "=", "01/02/2024"), "Expected YYYY-MM-DD"),
-        (_filter("day", "=", 20240101), "Invalid date value"),
-        (_filter("region", "="), "Filter value is required for column 'region' and operator '='"),
-        (_filter("region", "in", 5), "must be a list or comma/newline-separated string"),
-        (_filter("region", "in", " , \n"), "Filter value list is empty for column 'region'"),
-        ({"column": "region"}, "filters must be an array of objects"),
+        (_filter("harbour", None, 1), "Filter operator is required for column: harbour"),
+        (_filter("harbour", "like", "Brest"), "Unsupported operator 'like'"),
+        (_filter("harbour", ">", "Brest"), r"Unsupported operator '>' for column 'harbour' \(string\)"),
+        (_filter("level", "contains", "1"), "Unsupported operator"),
+        (_filter("checked", "<", True), "Unsupported operator"),
+        (_filter("samples", ">", "abc"), "Invalid integer value for column 'samples': abc"),
+        (_filter("samples", "=", 5.7), "Invalid integer value"),
+        (_filter("level", "=", "x"), "Invalid float value"),
+        (_filter("checked", "=", "maybe"), "Invalid boolean value"),
+        (_filter("checked", "=", 1), "Invalid boolean value"),
+        (_filter("taken", "=", "01/02/2024"), "Expected YYYY-MM-DD"),
+        (_filter("taken", "=", 20240101), "Invalid date value"),
+        (_filter("harbour", "="), "Filter value is required for column 'harbour' and operator '='"),
+        (_filter("harbour", "in", 5), "must be a list or comma/newline-separated string"),
+        (_filter("harbour", "in", " , \n"), "Filter value list is empty for column 'harbour'"),
+        ({"column": "harbour"}, "filters must be an array of objects"),
         ([42], "filters must be an array of objects"),
     ],
 )
-def test_filters(sales, filters, message):
+def test_filters(tides, filters, message):
     with pytest.raises(ValueError, match=message):
-        apply_filters(sales, filters)
+        apply_filters(tides, filters)
 
 
-SUM = {"op": "sum", "column": "amount", "as": "total"}
+SUM = {"op": "sum", "column": "level", "as": "total"}
 
 
 @pytest.mark.parametrize(
     "spec, message",
     [
-        ({"groupBy": "region"}, "groupBy must be an array"),
+        ({"groupBy": "harbour"}, "groupBy must be an array"),
         ({"groupBy": ["nope"]}, "Invalid groupBy column: nope"),
         ({"aggregations": ["sum"]}, "aggregations must be an array of objects"),
-        ({"aggregations": [{"op": "median", "column": "amount"}]}, "Unsupported aggregation op: median"),
+        ({"aggregations": [{"op": "median", "column": "level"}]}, "Unsupported aggregation op: median"),
         ({"aggregations": [{"op": "sum", "column": ""}]}, "Aggregation column is required"),
         ({"aggregations": [{"op": "sum", "column": "weight"}]}, "Invalid aggregation column"),
-        ({"aggregations": [{"op": "avg", "column": "region"}]}, "Aggregation avg requires numeric column: region"),
+        ({"aggregations": [{"op": "avg", "column": "harbour"}]}, "Aggregation avg requires numeric column: harbour"),
         ({"aggregations": [{"op": "sum", "column": "*"}]}, "Aggregation sum requires a column"),
         ({"aggregations": [SUM, SUM]}, "Duplicate output column"),
         ({"having": "x"}, "having must be an array of objects"),
-        ({"groupBy": ["region"], "having": [{"metric": "total"}]}, "HAVING requires at least one aggregation"),
+        ({"groupBy": ["harbour"], "having": [{"metric": "total"}]}, "HAVING requires at least one aggregation"),
         ({"aggregations": [SUM], "having": [{"metric": "total"}]}, "HAVING requires groupBy"),
-        ({"groupBy": ["region"], "aggregations": [SUM], "having": [{}]}, "HAVING metric is required"),
+        ({"groupBy": ["harbour"], "aggregations": [SUM], "having": [{}]}, "HAVING metric is required"),
         (
-            {"groupBy": ["region"], "aggregations": [SUM], "having": [{"metric": "region", "operator": "="}]},
-            "Invalid HAVING metric: region",
+            {"groupBy": ["harbour"], "aggregations": [SUM], "having": [{"metric": "harbour", "operator": "="}]},
+            "Invalid HAVING metric: harbour",
         ),
         (
-            {"groupBy": ["region"], "aggregations": [SUM], "having": [{"metric": "total", "operator": "in"}]},
+            {"groupBy": ["harbour"], "aggregations": [SUM], "having": [{"metric": "total", "operator": "in"}]},
             "Unsupported HAVING operator 'in' for metric 'total'",
         ),
         ({"sort": {"column": "id"}}, "sort must be an array of sort objects"),
         ({"sort": [{"column": ""}]}, "Sort column is required"),
         ({"sort": [{"column": "nope"}]}, "Invalid sort column: nope"),
-        ({"groupBy": ["region"], "aggregations": [SUM], "sort": [{"column": "id"}]}, "Invalid sort column: id"),
+        ({"groupBy": ["harbour"], "aggregations": [SUM], "sort": [{"column": "id"}]}, "Invalid sort column: id"),
         ({"limit": 0}, "limit must be an integer of at least 1"),
         ({"limit": 2.5}, "limit must be an integer"),
         ({"limit": True}, "limit must be an integer"),
     ],
 )
-def test_table_query(sales, spec, message):
+def test_table_query(tides, spec, message):
     with pytest.raises(ValueError, match=message):
-        table_query(sales, spec)
+        table_query(tides, spec)
 
 
-def test_pages_and_profiles(sales):
-    rows = sales.withColumn(ROWID, F.col("id"))
+def test_pages_and_profiles(tides):
+    rows = tides.withColumn(ROWID, F.col("id"))
     with pytest.raises(ValueError, match="Invalid sort column: weight"):
         Pager(rows, sort="weight")
     with pytest.raises(ValueError, match="page size must be between 1 and 10000"):
@@ -91,32 +91,32 @@ def test_pages_and_profiles(sales):
     with pytest.raises(ValueError, match="page must be at least 0"):
         Pager(rows).jump(-1)
     with pytest.raises(ValueError, match="row identity"):
-        Pager(sales)
+        Pager(tides)
     with pytest.raises(ValueError, match="Column not found: nope"):
-        Profile(sales, "nope")
+        Profile(tides, "nope")
     with pytest.raises(ValueError, match="Invalid filter column: nope"):
-        suggest_values(sales, "nope")
+        suggest_values(tides, "nope")
     with pytest.raises(ValueError, match="limit must be between 1 and 100"):
-        suggest_values(sales, "region", limit=101)
+        suggest_values(tides, "harbour", limit=101)
     with pytest.raises(ValueError, match="SQL query is empty"):
-        run_sql(sales, "  ")
+        run_sql(tides, "  ")
 
 
-def test_compare_reports_both_sides(sales):
+def test_compare_reports_both_sides(tides):
     with pytest.raises(ValueError, match=r"Invalid groupBy column: a \| limit must be"):
-        compare(sales, {"groupBy": ["a"]}, sales, {"limit": 0})
-
-
-def test_accepted_values(spark, sales):
-    ids = lambda *f: [r.id for r in apply_filters(sales, _filter(*f)).orderBy("id").collect()]
-    assert ids("quantity", "=", " 8 ") == ids("quantity", "=", 8) == ids("quantity", "=", 8.0) != []
-    assert ids("quantity", ">", 10**30) == []
-    assert len(ids("quantity", "<", 10**30)) == 34
-    assert ids("is_priority", "=", "T") == ids("is_priority", "=", True)
-    assert len(ids("is_priority", "!=", "no")) == 18
-    assert ids("day", ">=", "2024-06-01T00:00:00") == ids("day", ">=", "2024-06-01")
-    assert ids("region", "is_not_null", "") == list(range(1, 36))
-    assert ids("status", "!=", "active") == [i for i in range(1, 36) if i % 3 and i != 33]
+        compare(tides, {"groupBy": ["a"]}, tides, {"limit": 0})
+
+
+def test_accepted_values(spark, tides):
+    ids = lambda *f: [r.id for r in apply_filters(tides, _filter(*f)).orderBy("id").collect()]
+    assert ids("samples", "=", " 8 ") == ids("samples", "=", 8) == ids("samples", "=", 8.0) != []
+    assert ids("samples", ">", 10**30) == []
+    assert len(ids("samples", "<", 10**30)) == 51
+    assert ids("checked", "=", "T") == ids("checked", "=", True)
+    assert len(ids("checked", "!=", "no")) == 25
+    assert ids("taken", ">=", "2023-06-01T00:00:00") == ids("taken", ">=", "2023-06-01")
+    assert ids("harbour", "is_not_null", "") == list(range(1, 53))
+    assert ids("sky", "!=", "clear") == [i for i in range(1, 53) if i % 3 and i != 49]
     money = spark.sql("SELECT CAST(0.10 AS DECIMAL(9,2)) AS m UNION ALL SELECT 0.20")
     assert apply_filters(money, _filter("m", "=", 0.1)).collect()[0].m == Decimal("0.10")
 
