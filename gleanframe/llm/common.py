@@ -20,6 +20,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column's name has, in any case of letters."""
+    held = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleanframe.llm.common import written
+from gleanframe.llm.common import unused, written
 from gleanframe.llm.dom import Node, align, children_of, parse
 from gleanframe.llm.url_filter import url_host
 
@@ -418,6 +418,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """``pages`` without html but with ``text`` and ``n_chars``; the page needs ``url`` and ``html``."""
     plans = wrappers(pages)
     rest = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    host, tree, held, *plan_names, plan_same = unused(
+        rest, "wrapper_host", "wrapper_tree", "wrapper_blocks", "plan_host", "plan_tree", "plan_nodes", "plan_same"
+    )
+    plan_host, plan_tree, plan_nodes = plan_names
     block = pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("text", pa.string())])
 
     def blocks_of(batches):
@@ -429,28 +433,28 @@ def extract(pages: DataFrame) -> DataFrame:
                 blocks.append([{"node": b.node, "hash": _hash(b.text), "text": b.text} for b in found])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(trees, pa.string()), pa.array(blocks, pa.list_(block))],
-                names=[*batch.schema.names[:-1], "wrapper_tree", "wrapper_blocks"],
+                names=[*batch.schema.names[:-1], tree, held],
             )
 
-    keyed = pages.select(*rest, url_host(F.col("url")).alias("wrapper_host"), "html")
-    schema = keyed.drop("html").schema.add("wrapper_tree", "string")
+    keyed = pages.select(*rest, url_host(F.col("url")).alias(host), "html")
+    schema = keyed.drop("html").schema.add(tree, "string")
     kind = T.StructType().add("node", "integer").add("hash", "long").add("text", "string")
-    schema = schema.add("wrapper_blocks", T.ArrayType(kind))
+    schema = schema.add(held, T.ArrayType(kind))
     read = keyed.mapInArrow(blocks_of, schema)
     same = F.arrays_zip(F.col("same_nodes").alias("node"), F.col("same_hashes").alias("hash"))
     plans = plans.select(
-        *[F.col(c).alias(f"plan_{c}") for c in ("host", "tree", "nodes")], same.alias("plan_same")
+        *[F.col(c).alias(n) for c, n in zip(("host", "tree", "nodes"), plan_names)], same.alias(plan_same)
     )
     kept = F.filter(
-        "wrapper_blocks",
-        lambda b: F.array_contains(plans["plan_nodes"], b["node"])
-        & ~F.exists(plans["plan_same"], lambda x: (x["node"] == b["node"]) & (x["hash"] == b["hash"])),
+        held,
+        lambda b: F.array_contains(plans[plan_nodes], b["node"])
+        & ~F.exists(plans[plan_same], lambda x: (x["node"] == b["node"]) & (x["hash"] == b["hash"])),
     )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return (
         read.join(
             plans,
-            (read["wrapper_host"] == plans["plan_host"]) & (read["wrapper_tree"] == plans["plan_tree"]),
+            (read[host] == plans[plan_host]) & (read[tree] == plans[plan_tree]),
             "left",
         )
         .select(*[read[c] for c in rest], F.coalesce(text, F.lit("")).alias("text"))

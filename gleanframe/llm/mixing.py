@@ -27,7 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleanframe.llm.common import let, words_of, written
+from gleanframe.llm.common import let, unused, words_of, written
 
 #: Fractions that meet in one group of the reduction tree, on average.
 FAN_IN = 32
@@ -227,17 +227,19 @@ def mix_report(documents: DataFrame, seed: int = 42, **targets) -> DataFrame:
 def mix(documents: DataFrame, seed: int = 42, **targets) -> DataFrame:
     """The mixed corpus: every document as often as it was drawn, with the columns it came with."""
     units = mixed_units(written(_sized(documents), "mixing"), seed, **targets)
-    # Names that the documents' own columns do not bear.
+    unit, rows, copies, index, share, copy = unused(
+        documents.columns, "mix_unit", "mix_rows", "mix_copies", "mix_index", "mix_share", "mix_copy"
+    )
     drawn = units.where("copies > 0").select(
-        F.col("unit").alias("mix_unit"), F.col("rows").alias("mix_rows"), F.col("copies").alias("mix_copies")
+        F.col("unit").alias(unit), F.col("rows").alias(rows), F.col("copies").alias(copies)
     )
-    order = Window.partitionBy("mix_unit").orderBy(F.xxhash64("text"))
+    order = Window.partitionBy(unit).orderBy(F.xxhash64("text"))
     return (
-        documents.withColumn("mix_unit", _unit(_size()))
-        .withColumn("mix_index", F.row_number().over(order) - 1)
-        .join(drawn, "mix_unit")
-        .withColumn("mix_share", _of_row(F.col("mix_copies"), F.col("mix_rows"), F.col("mix_index")))
-        .where("mix_share > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_share"))))
+        documents.withColumn(unit, _unit(_size()))
+        .withColumn(index, F.row_number().over(order) - 1)
+        .join(drawn, unit)
+        .withColumn(share, _of_row(F.col(copies), F.col(rows), F.col(index)))
+        .where(F.col(share) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(share))))
         .select(*documents.columns)
     )

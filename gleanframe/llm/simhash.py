@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleanframe.llm.common import written
+from gleanframe.llm.common import unused, written
 from gleanframe.llm.components import components
 
 RADIUS = 3
@@ -254,30 +254,29 @@ def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of repeated rows of that id one stays, and one of a component without any id.
     """
+    winner, turn, fp, root, own = unused(
+        documents.columns, "simhash_winner", "simhash_turn", "simhash_fp", "simhash_root", "simhash_of_row"
+    )
     hashed = written(fingerprints(documents), "simhash")
     labels = labelled(hashed, radius)
-    winners = labels.where("component_id is not null").select(
-        F.col("component_id").alias("simhash_winner")
-    ).distinct()
-    turn = F.row_number().over(Window.partitionBy("simhash_winner").orderBy(F.xxhash64("text")))
+    winners = labels.where("component_id is not null").select(F.col("component_id").alias(winner)).distinct()
+    order = F.row_number().over(Window.partitionBy(winner).orderBy(F.xxhash64("text")))
     kept = (
-        documents.join(winners, documents["doc_id"] == winners["simhash_winner"])
-        .withColumn("simhash_turn", turn)
-        .where("simhash_turn = 1")
+        documents.join(winners, documents["doc_id"] == winners[winner])
+        .withColumn(turn, order)
+        .where(F.col(turn) == 1)
         .select(*documents.columns)
     )
     if hashed.where("doc_id is null").isEmpty():
         return kept
-    nameless = labels.where("component_id is null").select(
-        F.col("fp").alias("simhash_fp"), F.col("root").alias("simhash_root")
-    )
-    turn = F.row_number().over(Window.partitionBy("simhash_root").orderBy(F.xxhash64("text")))
+    nameless = labels.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root))
+    order = F.row_number().over(Window.partitionBy(root).orderBy(F.xxhash64("text")))
     rest = (
         documents.where("doc_id is null")
-        .withColumn("simhash_of_row", _fingerprint_column("text"))
-        .join(nameless, F.col("simhash_of_row") == F.col("simhash_fp"))
-        .withColumn("simhash_turn", turn)
-        .where("simhash_turn = 1")
+        .withColumn(own, _fingerprint_column("text"))
+        .join(nameless, F.col(own) == F.col(fp))
+        .withColumn(turn, order)
+        .where(F.col(turn) == 1)
         .select(*documents.columns)
     )
     return kept.unionByName(rest)

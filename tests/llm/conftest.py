@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns that bear names the operators use themselves.
-CLASH = ("size", "unit", "rows", "copies", "index", "share", "copy", "turn", "winner", "node", "root", "fp", "nodes", "host_")
+CLASH = ("size", "unit", "rows", "copies", "index", "share", "copy", "turn", "winner", "node", "root", "fp", "nodes", "host_", "mix_unit", "mix_copy", "simhash_turn", "simhash_winner")
 
 
 @pytest.fixture(scope="session")

@@ -16,7 +16,8 @@ def text(n):
 
 
 def pages(spark, rows):
-    return spark.createDataFrame(rows, "page_id long, url string, html string, nodes string, host string")
+    made = spark.createDataFrame(rows, "page_id long, url string, html string, nodes string, host string")
+    return made.selectExpr("*", "'own' AS wrapper_host", "'own' AS Plan_Host", "'own' AS wrapper_blocks")
 
 
 def test_article_without_what_surrounds_it(spark):
