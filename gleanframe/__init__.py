@@ -13,8 +13,11 @@ from gleanframe.operators.compare import compare
 from gleanframe.operators.overview import column_types, overview, schema_overview, sparklines
 from gleanframe.operators.paging import Pager
 from gleanframe.operators.profile import Profile, profile
-from gleanframe.operators.suggest import suggest_values
+from gleanframe.operators.ranks import RankIndex
+from gleanframe.operators.substrings import SubstringIndex
+from gleanframe.operators.suggest import suggest_values, suggestion_index
 from gleanframe.operators.table_query import table_query, table_query_sql
+from gleanframe.operators.windows import framed_window
 from gleanframe.plans.filters import apply_filters
 from gleanframe.sources.datasets import (
     Dataset,
@@ -31,6 +34,8 @@ __all__ = [
     "Dataset",
     "Pager",
     "Profile",
+    "RankIndex",
+    "SubstringIndex",
     "app_type",
     "apply_filters",
     "column_types",
@@ -38,6 +43,7 @@ __all__ = [
     "discover",
     "display",
     "export_csv",
+    "framed_window",
     "import_entities",
     "load",
     "overview",
@@ -48,6 +54,7 @@ __all__ = [
     "schema_overview",
     "sparklines",
     "suggest_values",
+    "suggestion_index",
     "table_query",
     "table_query_sql",
     "transform",

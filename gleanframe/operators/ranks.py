@@ -62,6 +62,10 @@ class RankIndex:
         rank = F.coalesce(F.sum(self.weight).over(upto), F.lit(0)).cast("bigint")
         return self.rows.where(F.col(RANGE).isin([self.ranges[p] for p in positions])).withColumn(RANK, rank)
 
+    def placed(self) -> DataFrame:
+        """All keys with ``_rank`` within their range."""
+        return self._placed(range(len(self.ranges)))
+
     def _inside(self, rank: int) -> Column:
         """Whether the rows of a key hold a rank."""
         p = self._range_of(rank)

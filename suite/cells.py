@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from gleanframe import display, run_sql, transform, transform_batches
+from gleanframe import display, framed_window, run_sql, transform, transform_batches, transform_groups
 from suite.common import table
 
 # executors need no copy of this package
@@ -46,7 +46,39 @@ def _price_bands(batches):
         )
 
 
+def _three_longest(group):
+    """Needs the whole group in order: the three dearest orders and their share of its sum, by running total."""
+    top = group.nlargest(3, ["o_totalprice", "o_orderkey"])
+    running = top["o_totalprice"].cumsum()
+    return pd.DataFrame({"o_orderpriority": top["o_orderpriority"], "o_orderkey": top["o_orderkey"], "running": running.round(2)})
+
+
+def _hot_key_window(spark, folder):
+    """A third of all events have one user."""
+    events = table(spark, folder, "events").withColumn("user", F.when(F.col("event_id") % 3 == 0, 7).otherwise(F.col("user_id")))
+    facts = {"recent": F.count(F.lit(1)), "peak": F.max("value"), "first_id": F.min("event_id")}
+    return framed_window(events, ["user"], ["ts", "event_id"], facts, preceding=30, following=2).select("event_id", *facts)
+
+
+_HOT_FRAME = (
+    "(PARTITION BY CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END ORDER BY ts, event_id "
+    "ROWS BETWEEN 30 PRECEDING AND 2 FOLLOWING)"
+)
+
 QUERIES = {
+    "window_framed_hot_key": (
+        _hot_key_window,
+        f"SELECT event_id, count(*) OVER {_HOT_FRAME} AS recent, max(value) OVER {_HOT_FRAME} AS peak, "
+        f"min(event_id) OVER {_HOT_FRAME} AS first_id FROM events",
+    ),
+    "python_groups": (
+        lambda spark, folder: transform_groups(
+            table(spark, folder, "orders"), ["o_orderpriority"], _three_longest, "o_orderpriority string, o_orderkey bigint, running double"
+        ),
+        "SELECT o_orderpriority, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority "
+        "ORDER BY o_totalprice DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders "
+        "QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey DESC) <= 3",
+    ),
     "sql_group": _cell(
         "customer",
         "SELECT c_mktsegment, COUNT(*) AS cnt, MAX(c_acctbal) AS best FROM data "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanframe import overview, schema_overview, sparklines, suggest_values
+from gleanframe import SubstringIndex, overview, schema_overview, sparklines, suggest_values, suggestion_index
 from suite.common import JUDGED_SQL, judged, table
 
 _TYPES = {
@@ -112,6 +112,14 @@ def _approximate(spark, folder):
     return estimated.join(exact, F.col("a.column") == F.col("e.column")).select("a.column", close.alias("close"))
 
 
+def _suggested(df, column, text, limit):
+    return suggest_values(df, column, text, limit, index=suggestion_index(df, column))
+
+
+def _held(df, column, text):
+    return SubstringIndex.build(df, column).filter(df, text)
+
+
 QUERIES = {
     "overview_lineitem": (
         lambda spark, folder: overview(table(spark, folder, "lineitem")),
@@ -176,6 +184,15 @@ QUERIES = {
         "SELECT p_name AS value, count(*) AS count FROM part WHERE contains(lower(p_name), 'ring') "
         "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8",
     ),
+    "suggest_by_index": (
+        lambda spark, folder: _suggested(table(spark, folder, "part"), "p_name", " RING ", 8),
+        "SELECT p_name AS value, count(*) AS count FROM part WHERE contains(lower(p_name), 'ring') "
+        "GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8",
+    ),
+    "filter_contains_by_index": (
+        lambda spark, folder: _held(table(spark, folder, "pages"), "url", "?PAGE=2&r"),
+        "SELECT * FROM pages WHERE contains(lower(url), '?page=2&r')",
+    ),
     "suggest_matching_numbers": (
         lambda spark, folder: suggest_values(table(spark, folder, "orders"), "o_totalprice", "99.9", 100),
         "SELECT o_totalprice::VARCHAR AS value, count(*) AS count FROM orders "

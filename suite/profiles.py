@@ -219,6 +219,16 @@ def _sample(spark, folder):
     ).select("*", both.alias("same_again"), known.alias("from_table"))
 
 
+def _sums_in_any_order(spark, folder):
+    """Sum and mean of prices, dealt out two ways: equal to the last bit, and right to 4 decimals."""
+    prices = table(spark, folder, "lineitem").select("l_extendedprice")
+    one, two = (
+        Profile(prices.repartition(n, by), "l_extendedprice").numeric_stats().select("sum", "mean")
+        for n, by in ((3, "l_extendedprice"), (7, F.hash("l_extendedprice") % 5))
+    )
+    return one.intersect(two)
+
+
 def _sampled_profile(spark, folder):
     orders = identified(spark, folder, "orders")
     return profile(orders, "o_totalprice", max_rows=4000).select(
@@ -416,6 +426,11 @@ QUERIES = {
         _whole(judged, "good", {}),
         _whole_sql(JUDGED_SQL, "good", "boolean", _boolean, _BOOLEAN_STATS, {}),
     ),
+    "profile_sums_in_any_order": (
+        _sums_in_any_order,
+        "SELECT round(sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE, 4) AS sum, "
+        "round(sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE / count(*), 4) AS mean FROM lineitem",
+    ),
     "profile_sample": (
         _sample,
         "SELECT least(count(*), 5000) AS rows, least(count(*), 5000) AS distinct_rows, "

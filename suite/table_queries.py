@@ -250,6 +250,11 @@ QUERIES = {
         _query("events", {"sort": [_by("value", "desc")], "limit": 7}),
         "SELECT * FROM events ORDER BY value DESC, event_id LIMIT 7",
     ),
+    "query_limit_large": (
+        lambda spark, folder: table_query(table(spark, folder, "lineitem"), {"sort": [_by("l_extendedprice", "desc")], "limit": 50_000}),
+        "SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, "
+        "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate LIMIT 50000",
+    ),
     "query_as_sql_text": (_as_sql("orders", _TOP_CUSTOMERS), _TOP_CUSTOMERS_SQL),
     "query_as_sql_text_plain": (
         _as_sql(
