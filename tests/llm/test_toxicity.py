@@ -57,3 +57,24 @@ def test_odd_rows(documents, spark):
     assert clean.columns == docs.columns and clean.count() == 4
     assert toxicity.score(documents([]), toxicity.SEED_MODEL).count() == 0
     assert toxicity.learn(documents([]), none) == toxicity.SEED_MODEL
+
+
+def naive_hits(folded, terms, exceptions):
+    found = {}
+    for at, c in enumerate(folded):
+        here = [t for t in terms if folded.startswith(f" {t}", at)] if c == " " else []
+        if here and not any(folded.startswith(f" {e}", at) for e in exceptions):
+            longest = max(here, key=len)
+            found[longest] = found.get(longest, 0) + 1
+    return found
+
+
+def test_the_automaton_finds_what_a_plain_search_finds():
+    rng, table = random.Random(8), toxicity.folding_table()
+    terms, exceptions = ["ab", "abc", "b", "ca t", "aa", "aab"], ["ab ba", "b c", "aabb"]
+    tree = toxicity.automaton(terms, exceptions)
+    for _ in range(3_000):
+        text = "".join(rng.choice("aabbc  t4@​.В") for _ in range(rng.randint(0, 30)))
+        folded = toxicity.fold(text, table)
+        got = {terms[t]: n for t, n in toxicity.hits(folded, tree).items()}
+        assert got == naive_hits(folded, terms, exceptions), text
