@@ -9,7 +9,7 @@ anchors that a sample shows to be frequent, which are known to repeat, travel al
 them, so a passage in a third of all documents is one unit. What is left, units that share an anchor and differ,
 goes to the suffix arrays: tasks that hold all units of an anchor put them into one string, sort its
 suffixes (triples of the sample, names, recursion, merge) and compare adjacent ones over ``LENGTH``
-bytes. An anchor with more than ``MANY`` different units (the edge of a passage that many
+bytes. An anchor whose different units have more than ``ANCHOR_BYTES`` bytes (the edge of a passage that very many
 documents hold) is spread over tasks window by window instead: equal windows meet in an aggregation that
 counts before it shuffles.
 
@@ -30,16 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanframe.llm.common import discard, written
-from gleanframe.llm.suffixes import equal_windows
+from gleanframe.llm.suffixes import MOST_SYMBOLS, equal_windows
 
 LENGTH = 50
 GRAM = 16
 #: Windows that are hashed at once.
 STRETCH = 1 << 20
-#: Different units of an anchor that one task may hold.
-MANY = 2_000
-#: Bytes that go into one suffix array, unless one anchor needs more.
-TEXT_BYTES = 400_000
+#: Bytes of the different units of an anchor that one task may hold, and bytes that go into one suffix array
+#: unless one anchor needs more: together no more than a suffix array can take.
+ANCHOR_BYTES = 800_000
+TEXT_BYTES = MOST_SYMBOLS - ANCHOR_BYTES
 #: Of so many documents one is looked at to find anchors of at least this share of documents.
 SAMPLE_EVERY, FREQUENT = 64, 0.005
 #: Units that leave a task in one batch.
@@ -265,13 +265,14 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, version, spans``: byte spans ``(low, high)`` of every document that loses bytes."""
     shared = shared_units(documents)
     first = shared.groupBy("anchor", "unit").agg(F.min(F.struct("doc", "version", "at", "n")).alias("first"))
-    versions = first.groupBy("anchor").agg(F.count("*").alias("versions"))
+    size = F.sum(F.col("first.n").cast("long") + (length - 1))
+    versions = first.groupBy("anchor").agg(F.count("*").alias("versions"), size.alias("bytes"))
     distinct = written(
-        first.join(versions, "anchor").select("anchor", "unit", "first.*", "versions"), "repeats"
+        first.join(versions, "anchor").select("anchor", "unit", "first.*", "versions", "bytes"), "repeats"
     )
     contents = with_content(
         documents,
-        distinct.where("versions > 1").withColumn("many", F.col("versions") > MANY),
+        distinct.where("versions > 1").withColumn("many", F.col("bytes") > ANCHOR_BYTES),
         length,
     )
     covered = written(

@@ -28,6 +28,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     are merged with the sample.
     """
     n = len(symbols)
+    if n > MOST_SYMBOLS:
+        raise ValueError(f"{n} symbols are more than one suffix array takes")
     if n < 3:
         padded = np.concatenate([symbols, np.zeros(3, np.int64)])
         return np.array(sorted(range(n), key=lambda i: tuple(padded[i : i + 3])), np.int64)

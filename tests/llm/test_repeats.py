@@ -80,7 +80,7 @@ def test_odd_rows(documents, prose):
 def test_long_texts_and_common_passages(documents, prose, monkeypatch):
     """Texts over several stretches, anchors with many different units, small suffix arrays."""
     monkeypatch.setattr(repeats, "STRETCH", 300)
-    monkeypatch.setattr(repeats, "MANY", 5)
+    monkeypatch.setattr(repeats, "ANCHOR_BYTES", 400)
     monkeypatch.setattr(repeats, "TEXT_BYTES", 500)
     monkeypatch.setattr(repeats, "UNITS_AT_ONCE", 7)
     common = prose(77, 12)
