@@ -37,6 +37,7 @@ class SubstringIndex:
     """Stored ``values (id, value, count)`` and ``postings (gram, id)`` of one column."""
 
     column: str
+    text: Column
     values: DataFrame
     postings: DataFrame
 
@@ -49,7 +50,7 @@ class SubstringIndex:
         gram = F.explode(_grams(F.lower("value"))).alias("gram")
         lists = values.select("id", gram).withColumn("bucket", _bucket(F.col("gram")))
         # a common run's list may be long: its folder holds as many files as tasks wrote to it
-        return cls(column, values, stored(lists.sortWithinPartitions("bucket", "gram"), "postings", "bucket"))
+        return cls(column, text, values, stored(lists.sortWithinPartitions("bucket", "gram"), "postings", "bucket"))
 
     def search(self, text: str) -> DataFrame:
         """``(value, count)`` of the values that hold ``text``, whatever the case of letters."""
@@ -70,4 +71,4 @@ class SubstringIndex:
     def filter(self, df: DataFrame, text: str) -> DataFrame:
         """The rows of ``df`` whose value holds ``text``: those that have one of the values found."""
         found = self.search(text).select(F.col("value").alias("_value"))
-        return df.join(found, col(self.column).cast("string") == F.col("_value"), "left_semi")
+        return df.join(found, self.text == F.col("_value"), "left_semi")
