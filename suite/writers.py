@@ -6,7 +6,9 @@ import os
 import sqlite3
 import sys
 import zipfile
+from collections.abc import Iterable, Iterator
 from datetime import date
+from itertools import chain
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -36,8 +38,15 @@ def _cell(value) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
 
 
-def save_workbook(path: str, sheets: dict[str, list[tuple]]) -> None:
-    """A workbook of sheets; the first tuple of each is its header."""
+def _sheet(rows: Iterable[tuple]) -> Iterator[str]:
+    yield f'<worksheet xmlns="{MAIN}"><sheetData>'
+    for row in rows:
+        yield f"<row>{''.join(map(_cell, row))}</row>"
+    yield "</sheetData></worksheet>"
+
+
+def save_workbook(path: str, sheets: dict[str, Iterable[tuple]]) -> None:
+    """A workbook of sheets; the first tuple of each is its header. Rows are written as they come, none is held."""
     names = "".join(
         f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)
     )
@@ -53,31 +62,36 @@ def save_workbook(path: str, sheets: dict[str, list[tuple]]) -> None:
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{PACKAGE}">{links}</Relationships>')
         z.writestr("xl/styles.xml", STYLES)
         for i, rows in enumerate(sheets.values(), 1):
-            body = "".join(f"<row>{''.join(map(_cell, row))}</row>" for row in rows)
-            z.writestr(
-                f"xl/worksheets/sheet{i}.xml",
-                f'<worksheet xmlns="{MAIN}"><sheetData>{body}</sheetData></worksheet>',
-            )
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
+                for text in _sheet(rows):
+                    part.write(text.encode())
 
 
 def _write(df: DataFrame, folder: str, suffix: str, save) -> None:
-    """Each task saves its rows as one file under its own number, so a retry replaces it."""
+    """Each task saves its rows, batch by batch, as one file under its own number, so a retry replaces it."""
     os.makedirs(folder, exist_ok=True)
     names = df.columns
 
     def task(batches):
-        rows = [tuple(r.values()) for batch in batches for r in batch.to_pylist()]
+        size = 0
+
+        def rows():
+            nonlocal size
+            for batch in batches:
+                size += batch.num_rows
+                yield from zip(*(column.to_pylist() for column in batch.columns))
+
         target = f"{folder}/part-{TaskContext.get().partitionId():05d}"
-        save(f"{target}.tmp", names, rows)
+        save(f"{target}.tmp", names, rows())
         os.replace(f"{target}.tmp", f"{target}{suffix}")
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"n": pa.array([size], pa.int64())})
 
     df.mapInArrow(task, "n bigint").collect()
 
 
 def write_workbooks(df: DataFrame, folder: str, sheet: str) -> None:
     def save(path, names, rows):
-        save_workbook(path, {sheet: [tuple(names), *rows], "notes": [("note",), ("made by a task",)]})
+        save_workbook(path, {sheet: chain([tuple(names)], rows), "notes": [("note",), ("made by a task",)]})
 
     _write(df, folder, ".xlsx", save)
 

@@ -3,11 +3,14 @@
 import csv
 import glob
 import io
+import itertools
 import os
 import random
 import sqlite3
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +246,46 @@ def test_workbooks_of_a_folder_must_agree(spark, tmp_path):
         scan(spark, str(tmp_path), "excel", "s")
 
 
+def _peak_mb(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_workbooks_are_written_and_read_in_bounded_memory(tmp_path):
+    from gleanframe.sources.workbook import _Book
+
+    path = str(tmp_path / "large.xlsx")
+    rows = ((i, f"text {i * 7919 % 1000003}", i / 7) for i in range(60_000))
+    sheet = itertools.chain([("id", "name", "share")], rows)
+    assert _peak_mb(lambda: save_workbook(path, {"s": sheet})) < 2
+    found = []
+
+    def read():
+        book = _Book(pa.scalar(f"file:{path}"), pa.scalar(None, pa.binary()))
+        found.append(sum(1 for _ in book.rows("s")))
+
+    assert _peak_mb(read) < 2
+    assert found == [60_001]
+    with open(path, "rb") as file:
+        book = _Book(pa.scalar("elsewhere:/large.xlsx"), pa.scalar(file.read()))
+    assert sum(1 for _ in book.rows("s")) == 60_001
+
+
+def test_tasks_open_mounted_workbooks_themselves(spark, tmp_path):
+    from gleanframe.sources.workbook import _files
+
+    folder = tmp_path / "with blank, 100%"
+    folder.mkdir()
+    save_workbook(str(folder / "a b.xlsx"), {"s": [("x",), (1,), (2,)]})
+    assert [r["content"] for r in _files(spark, str(folder)).collect()] == [None]
+    assert sorted(r["x"] for r in scan(spark, str(folder), "excel", "s").collect()) == [1.0, 2.0]
+    assert discover(spark, str(folder), "excel").collect()[0]["row_count"] == 2
+
+
 def test_workbook_cell_forms(spark, tmp_path):
     """Shared and rich strings, blank cells, dates, times, errors, formulas and mixed columns."""
     path = str(tmp_path / "forms.xlsx")
