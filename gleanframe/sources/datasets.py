@@ -92,7 +92,7 @@ def _place(df: DataFrame) -> tuple[DataFrame, Column]:
         located = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     except AnalysisException:
         return df, scanned
-    # One row for each file, and for each block.
+    # One row for each file, and for each block: broadcast, since a shuffle would deal all rows of a file to one task.
     files = located.select("_file").distinct()
     ranks = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_rank"))
     try:
@@ -101,9 +101,9 @@ def _place(df: DataFrame) -> tuple[DataFrame, Column]:
     except AnalysisException:
         numbered = located.withColumn("_at", scanned)
         first = numbered.groupBy("_file", "_block").agg(F.min("_at").alias("_first"))
-        rows = numbered.join(first, ["_file", "_block"])
+        rows = numbered.join(F.broadcast(first), ["_file", "_block"])
         inside = F.col("_block") + F.col("_at") - F.col("_first")
-    return rows.join(ranks, "_file"), F.shiftleft("_rank", FILE_BITS) + inside
+    return rows.join(F.broadcast(ranks), "_file"), F.shiftleft("_rank", FILE_BITS) + inside
 
 
 def with_rowid(df: DataFrame, folder: str) -> DataFrame:

@@ -204,6 +204,27 @@ def test_export_keeps_awkward_text(spark, tmp_path):
     assert "100000000.5" in open(glob.glob(f"{out}/part-*")[0]).read()
 
 
+def test_row_identity_deals_no_file_to_one_task(spark, tmp_path):
+    """Ranks of files and starts of blocks go to the rows, whatever their sizes; rows are not shuffled by file."""
+    from gleanframe.sources.datasets import _place
+
+    rows = spark.range(0, 400, 1, 2).selectExpr("id", "CAST(id AS string) AS t")
+    rows.write.parquet(str(tmp_path / "p"))
+    rows.write.csv(str(tmp_path / "c"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for source in (spark.read.parquet(str(tmp_path / "p")), spark.read.schema("id bigint, t string").csv(str(tmp_path / "c"))):
+            located, place = _place(source)
+            placed = located.select(place.alias(ROWID), "id")
+            assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+            found = placed.orderBy(ROWID).collect()
+            assert [r["id"] for r in found] == list(range(400))
+            assert len({r[ROWID] for r in found}) == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_shared_folder_is_below_the_checkpoint_folder(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     one, two = shared_folder(spark, "x"), shared_folder(spark, "x")
