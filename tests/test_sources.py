@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gleanframe import ROWID, Pager, discover, export_csv, import_entities, load, scan
 from gleanframe.session import shared_folder
 from gleanframe.sources.records import count_records, ends_inside, layout, records
-from suite.writers import MAIN, OFFICE, PACKAGE, save_workbook
+from suite.writers import MAIN, OFFICE, PACKAGE, _write, save_workbook
 
 
 def _types(df):
@@ -353,6 +353,19 @@ def _database(path, rows=3):
     return str(path)
 
 
+def test_written_files_take_rows_as_they_come(spark, tmp_path):
+    def save(path, names, rows):
+        next(rows)
+        tracemalloc.start()
+        size = 1 + sum(1 for _ in rows)
+        with open(path, "w") as file:
+            file.write(f"{names} {size} {tracemalloc.get_traced_memory()[1] < 8_000_000}")
+        tracemalloc.stop()
+
+    _write(spark.range(0, 200_000, 1, 1).selectExpr("id", "CAST(id AS string) AS t"), str(tmp_path / "out"), ".txt", save)
+    assert (tmp_path / "out" / "part-00000.txt").read_text() == "['id', 't'] 200000 True"
+
+
 def test_sqlite_tables(spark, tmp_path):
     path = _database(tmp_path / "mini.sqlite")
     found = [(r.name, r.kind, r.row_count) for r in discover(spark, path).orderBy("name").collect()]
