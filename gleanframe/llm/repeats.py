@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleanframe.llm.common import discard, written
@@ -34,8 +33,10 @@ from gleanframe.llm.suffixes import MOST_SYMBOLS, equal_windows
 
 LENGTH = 50
 GRAM = 16
-#: Windows that are hashed at once.
-STRETCH = 1 << 20
+#: Windows of a text that are hashed at once, and bytes of several texts.
+STRETCH, TOGETHER = 1 << 20, 1 << 17
+#: Odd, and 5 modulo 8, so that its powers return to 1 only after 2^62.
+BASE = 0x9E3779B97F4A7C15
 #: Bytes of the different units of an anchor that one task may hold, and bytes that go into one suffix array
 #: unless one anchor needs more: together no more than a suffix array can take.
 ANCHOR_BYTES = 800_000
@@ -68,18 +69,49 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def units(content: bytes, length: int = LENGTH):
-    """Anchor, hash, first window and number of windows of every unit of a text."""
-    whole = np.frombuffer(content, np.uint8)
-    for at in range(0, max(0, len(whole) - length + 1), STRETCH):
-        stretch = whole[at : at + STRETCH + length - 1]
-        anchors = smallest(gram_hashes(stretch), length - GRAM + 1)
-        starts = np.concatenate([[0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1])
-        counts = np.diff(np.concatenate([starts, [len(anchors)]]))
-        data = stretch.tobytes()
-        digest = xxhash.xxh3_64_intdigest
-        own = [digest(data[s : s + n + length - 1]) for s, n in zip(starts.tolist(), counts.tolist())]
-        yield anchors[starts], np.array(own, np.uint64), starts + at, counts
+def _unit_hashes(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the bytes of every unit: the polynomial in ``BASE`` of its gram hashes, from differences of prefix sums."""
+    up, down = (np.cumprod(np.full(len(grams) + 1, b, np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * up[:-1])])
+    value = (sums[starts + counts + (length - GRAM)] - sums[starts]) * down[starts]
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return value ^ (value >> np.uint64(29))
+
+
+def units(contents: list[bytes], length: int = LENGTH):
+    """Number of the text, anchor, hash, first window and number of windows of every unit of some texts.
+
+    The texts are looked at as one, without the windows that go over the end of a text.
+    """
+    whole = np.frombuffer(b"".join(contents), np.uint8)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    counts = np.maximum(sizes - (length - 1), 0)
+    if not counts.any():
+        return
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    places = np.repeat(np.cumsum(sizes) - sizes, counts) + inside
+    grams = gram_hashes(whole)
+    anchors = smallest(grams, length - GRAM + 1)[places]
+    new = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+    runs = np.diff(np.concatenate([starts, [len(anchors)]]))
+    yield owner[starts], anchors[starts], _unit_hashes(grams, places[starts], runs, length), inside[starts], runs
+
+
+def _stretches(texts, length: int = LENGTH):
+    """Texts by number, cut into stretches of ``STRETCH`` windows, in lists of some ``TOGETHER`` bytes, with their starts."""
+    held, size = [], 0
+    for number, text in texts:
+        for at in range(0, max(0, len(text) - length + 1), STRETCH):
+            part = text[at : at + STRETCH + length - 1]
+            held.append((number, at, part))
+            size += len(part)
+            if size >= TOGETHER:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _identified(documents: DataFrame) -> DataFrame:
@@ -99,17 +131,19 @@ def anchored(documents: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for doc, version, content in zip(*batch.columns):
-                for anchors, own, starts, counts in units(content.as_py()):
-                    size = len(anchors)
+            docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for held in _stretches(enumerate(c.as_py() for c in batch.column(2))):
+                numbers, firsts, parts = zip(*held)
+                for owner, anchors, own, inside, runs in units(parts):
+                    number = np.array(numbers)[owner]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(anchors.view(np.int64)),
                             pa.array(own.view(np.int64)),
-                            pa.array(np.full(size, doc.as_py(), np.int64)),
-                            pa.array(np.full(size, version.as_py(), np.int32)),
-                            pa.array(starts.astype(np.int32)),
-                            pa.array(counts.astype(np.int32)),
+                            pa.array(docs[number]),
+                            pa.array(versions[number]),
+                            pa.array((inside + np.array(firsts)[owner]).astype(np.int32)),
+                            pa.array(runs.astype(np.int32)),
                         ],
                         names=["anchor", "unit", "doc", "version", "at", "n"],
                     )
@@ -171,24 +205,27 @@ def with_content(documents: DataFrame, wanted: DataFrame, length: int = LENGTH)
         F.collect_list(F.struct("anchor", "unit", "many", "at", "n")).alias("units")
     )
 
-    kinds = {"anchor": pa.int64(), "unit": pa.int64(), "doc": pa.int64(), "many": pa.bool_(), "content": pa.binary()}
-
-    def packed(rows):
-        columns = list(zip(*rows)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+    names = ["anchor", "unit", "doc", "many", "content"]
 
     def read(batches):
-        rows = []
         for batch in batches:
-            for doc, content, found in zip(*batch.columns):
-                data = content.as_py()
-                for u in found.as_py():
-                    part = data[u["at"] : u["at"] + u["n"] + length - 1]
-                    rows.append((u["anchor"], u["unit"], doc.as_py(), u["many"], part))
-                    if len(rows) >= UNITS_AT_ONCE:
-                        yield packed(rows)
-                        rows = []
-        yield packed(rows)
+            docs, contents, lists = batch.columns
+            flat = lists.flatten()
+            owners = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            held, data = -1, b""
+            for at in range(0, len(flat), UNITS_AT_ONCE):
+                found, owner = flat.slice(at, UNITS_AT_ONCE), owners[at : at + UNITS_AT_ONCE]
+                low = found.field("at").to_numpy()
+                high = low + found.field("n").to_numpy() + (length - 1)
+                parts = []
+                for number, a, b in zip(owner.tolist(), low.tolist(), high.tolist()):
+                    if number != held:
+                        held, data = number, contents[number].as_py()
+                    parts.append(data[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [found.field("anchor"), found.field("unit"), docs.take(pa.array(owner)), found.field("many"), pa.array(parts, pa.binary())],
+                    names=names,
+                )
 
     joined = _identified(documents).join(lists, ["doc", "version"]).select("doc", "content", "units")
     return written(

@@ -8,15 +8,24 @@ import numpy as np
 MOST_SYMBOLS = 1_200_000
 
 
-def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys, and for every key its rank among the distinct ones, from 1."""
-    order = np.argsort(keys, kind="stable")
+#: Keys below so many times their number are named through a table of all keys instead of a sort.
+TABLE_SHARE = 8
+
+
+def _names(keys: np.ndarray) -> np.ndarray:
+    """For every key its rank among the distinct ones, from 1."""
+    most = int(keys.max()) + 1
+    if most <= TABLE_SHARE * len(keys):
+        held = np.zeros(most, np.int32)
+        held[keys] = 1
+        return np.cumsum(held, dtype=np.int32)[keys]
+    order = np.argsort(keys)
     ranked = keys[order]
-    new = np.ones(len(keys), np.int64)
+    new = np.ones(len(keys), np.int32)
     new[1:] = ranked[1:] != ranked[:-1]
-    names = np.empty(len(keys), np.int64)
-    names[order] = np.cumsum(new)
-    return order, names
+    names = np.empty(len(keys), np.int32)
+    names[order] = np.cumsum(new, dtype=np.int32)
+    return names
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -33,36 +42,43 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     if n < 3:
         padded = np.concatenate([symbols, np.zeros(3, np.int64)])
         return np.array(sorted(range(n), key=lambda i: tuple(padded[i : i + 3])), np.int64)
-    t = np.concatenate([symbols.astype(np.int64), np.zeros(4, np.int64)])
-    base = int(t.max()) + 1
+    t = np.concatenate([symbols.astype(np.int32), np.zeros(4, np.int32)])
+    base = np.int64(int(t.max()) + 1)
     # A place beyond the end keeps the two halves of the sample apart if n is 1 modulo 3.
-    first = np.arange(1, n + (n % 3 == 1), 3)
-    sample = np.concatenate([first, np.arange(2, n, 3)])
-    order, names = _names((t[sample] * base + t[sample + 1]) * base + t[sample + 2])
-    if names.max() < len(sample):
+    first, second = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    triples = (t[:-2] * base + t[1:-1]) * base + t[2:]
+    names = _names(np.concatenate([triples[first[0] : first[-1] + 1 : 3], triples[2:n:3]]))
+    if names.max() < len(names):
         order = suffix_array(names)
-    ranks = np.zeros(n + 4, np.int64)
-    ranks[sample[order]] = np.arange(1, len(sample) + 1)
+    else:
+        order = np.empty(len(names), np.int64)
+        order[names - 1] = np.arange(len(names))
+    sample = np.concatenate([first, second])
     by_rank = sample[order]
-    by_rank = by_rank[by_rank < n]
+    ranks = np.zeros(n + 4, np.int32)
+    ranks[by_rank] = np.arange(1, len(sample) + 1, dtype=np.int32)
+    if n % 3 == 1:
+        order = order[by_rank < n]
+        by_rank = by_rank[by_rank < n]
 
-    rest = np.arange(0, n, 3)
-    width = len(sample) + 2
-    pair = lambda i: t[i] * width + ranks[i + 1]
-    triple = lambda i: (t[i] * base + t[i + 1]) * width + ranks[i + 2]
-    rest = rest[np.argsort(pair(rest), kind="stable")]
-    ones, twos = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
-    places = np.empty(n, np.int64)
-    rest_pair, rest_triple = pair(rest), triple(rest)
-    places[rest] = (
-        np.arange(len(rest)) + np.searchsorted(pair(ones), rest_pair) + np.searchsorted(triple(twos), rest_triple)
-    )
-    among_sample = np.empty(n, np.int64)
-    among_sample[by_rank] = np.arange(len(by_rank))
-    places[ones] = among_sample[ones] + np.searchsorted(rest_pair, pair(ones), side="right")
-    places[twos] = among_sample[twos] + np.searchsorted(rest_triple, triple(twos), side="right")
+    width = np.int64(len(sample) + 2)
+    pairs = t[:-1] * width + ranks[1 : len(t)]
+    # No two suffixes are equal, so no two pairs are.
+    turn = np.argsort(pairs[0:n:3])
+    rest = turn * 3
+    is_one = order < len(first)
+    ones, twos = by_rank[is_one], by_rank[~is_one]
+    triple = lambda i: t[i] * (base * width) + pairs[i + 1]
+    before_ones = np.searchsorted(pairs[ones], pairs[rest])
+    before_twos = np.searchsorted(triple(twos), triple(rest))
+    # Of two lists in order, the places of the one among the other tell those of the other among the one.
+    passed = lambda before, size: np.cumsum(np.bincount(before, minlength=size + 1))[:size]
+    among_sample = np.arange(len(by_rank))
+    among_sample[is_one] += passed(before_ones, len(ones))
+    among_sample[~is_one] += passed(before_twos, len(twos))
     result = np.empty(n, np.int64)
-    result[places] = np.arange(n)
+    result[np.arange(len(rest)) + before_ones + before_twos] = rest
+    result[among_sample] = by_rank
     return result
 
 
@@ -71,7 +87,9 @@ def equal_windows(content: np.ndarray, starts: np.ndarray, length: int) -> np.nd
 
     The windows are put in the order of the suffix array and each is compared with the one before.
     """
-    order = suffix_array(content.astype(np.int64) + 1)
+    # Only the symbols that occur are numbered, so that few keys are possible.
+    symbols = np.cumsum(np.bincount(content, minlength=256) > 0)
+    order = suffix_array(symbols[content])
     wanted = np.zeros(len(content), bool)
     wanted[starts] = True
     order = order[wanted[order]]

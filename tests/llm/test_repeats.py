@@ -87,3 +87,31 @@ def test_long_texts_and_common_passages(documents, prose, monkeypatch):
     rows = [(i, prose(i, 5) + common + prose(200 + i, 7) + common[:60]) for i in range(30)]
     rows.append((50, prose(3, 400) + common + prose(3, 400)))
     checked(documents, rows)
+
+
+def test_units_of_texts_together_are_those_of_each():
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"abc", k=rng.randrange(400))) for _ in range(60)] + [b"", b"a" * 49, b"a" * 50]
+
+    def units(group):
+        return [
+            (int(owner), int(anchor), int(own), int(at), int(n))
+            for found in repeats.units(group)
+            for owner, anchor, own, at, n in zip(*found)
+        ]
+
+    together = units(texts)
+    alone = [(i, *u[1:]) for i, text in enumerate(texts) for u in units([text])]
+    assert together == alone
+    contents = {texts[i][at : at + n + repeats.LENGTH - 1]: own for i, _, own, at, n in together}
+    assert len(set(contents.values())) == len(contents)
+    assert all(contents[texts[i][at : at + n + repeats.LENGTH - 1]] == own for i, _, own, at, n in together)
+
+
+def test_suffixes_are_sorted_whatever_their_symbols():
+    rng = random.Random(6)
+    for size in (*range(12), 200, 1000):
+        for symbols in (2, 5, 90_000):
+            text = [rng.randrange(1, symbols) for _ in range(size)]
+            got = suffix_array(np.array(text, np.int64)).tolist()
+            assert got == sorted(range(size), key=lambda i: text[i:])
