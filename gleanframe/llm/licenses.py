@@ -14,8 +14,8 @@ so as many of its words are words of templates. The second bound counts repeated
 it also drops lines that repeat unknown words; a license in them is found as a window. Lines that fail the second bound never leave the scan; the rest
 is compared once for each distinct text, in an equi-join on bigrams, where the first bound cuts.
 
-Lines and runs are DataFrame expressions; windows are found in tasks, text by text, in texts that hold enough
-bigrams of a template. A license line that stands in a third of all documents is one text in
+Lines, runs and windows are DataFrame expressions over the words of a text; windows are looked for in texts that
+hold enough bigrams of a template. A license line that stands in a third of all documents is one text in
 the comparison; its matches return to the documents by a join on the text, whose hot keys Spark splits.
 
 Defined results: null and empty texts have no matches. A unit of one word has no bigrams and matches
@@ -26,10 +26,8 @@ do null ids. Lines without words are passed over and do not end a run.
 from __future__ import annotations
 
 import math
-from itertools import groupby
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleanframe.llm.common import let, written
 
@@ -111,12 +109,17 @@ def words_in(line: Column) -> Column:
     return F.filter(F.split(line, " "), lambda w: w != "")
 
 
-def bigrams(words: Column) -> Column:
-    """The distinct pairs of words that follow each other."""
-    pairs = F.transform(
+def pairs(words: Column) -> Column:
+    """The pairs of words that follow each other."""
+    found = F.transform(
         F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(words[i - 1], F.lit(" "), words[i])
     )
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) > 1, found).otherwise(F.array().cast("array<string>"))
+
+
+def bigrams(words: Column) -> Column:
+    """The distinct pairs of words that follow each other."""
+    return F.array_distinct(pairs(words))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -141,19 +144,16 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted(set(re.sub(r"\d+", "0", re.sub(r"[\W_]+", " ", text)).split()))
 
 
-def _units(text: Column, known: list[str], least: float) -> Column:
-    """Lines that can match, and runs of such lines: array of ``first, last, words``."""
+def _units(lines: Column, known: list[str], least: float) -> Column:
+    """Lines that can match, and runs of such lines: array of ``first_line, last_line, words``."""
     share = least / (2 - least)
 
     def possible(line: Column) -> Column:
         size = F.size(line["words"])
         return (size > 1) & (F.size(F.filter(line["words"], lambda w: w.isin(known))) >= share * (size - 1) - 1e-9)
 
-    lines = F.filter(
-        F.transform(F.split(normalised(text), "\n"), words_in), lambda words: F.size(words) > 0
-    )
     numbered = F.transform(
-        lines, lambda words, i: F.struct(i.alias("first"), i.alias("last"), words.alias("words"))
+        lines, lambda words, i: F.struct(i.alias("first_line"), i.alias("last_line"), words.alias("words"))
     )
 
     def joined(found: Column) -> Column:
@@ -161,129 +161,242 @@ def _units(text: Column, known: list[str], least: float) -> Column:
             found,
             F.slice(found, 1, 0),
             lambda done, x: F.when(
-                F.get(done, F.size(done) - 1)["last"] == x["first"] - 1,
+                F.get(done, F.size(done) - 1)["last_line"] == x["first_line"] - 1,
                 F.concat(
                     F.slice(done, F.lit(1), F.size(done) - 1),
                     F.transform(
                         F.slice(done, -1, 1),
                         lambda run: F.struct(
-                            run["first"].alias("first"),
-                            x["last"].alias("last"),
+                            run["first_line"].alias("first_line"),
+                            x["last_line"].alias("last_line"),
                             F.concat(run["words"], x["words"]).alias("words"),
                         ),
                     ),
                 ),
             ).otherwise(F.concat(done, F.array(x))),
         )
-        return F.concat(found, F.filter(runs, lambda run: run["last"] > run["first"]))
+        return F.concat(found, F.filter(runs, lambda run: run["last_line"] > run["first_line"]))
 
     return let(F.filter(numbered, possible), joined)
 
 
-def _best_windows(grams: list, spots: list[int], wanted: frozenset, least: float) -> list[tuple]:
-    """For each first bigram the best window ``shared, dice, first, last`` of a template, if it scores ``least``.
+def _licenses(spark: SparkSession, templates, least: float) -> Column:
+    """A constant: every license with its templates, their bigrams and bounds of a window's bigrams."""
+    of_license: dict[str, list[Column]] = {}
+    for r in template_table(spark, templates).where(F.size("grams") > 0).collect():
+        size = len(r["grams"])
+        of_license.setdefault(r["license"], []).append(
+            F.struct(
+                F.lit(r["template"]).alias("template"),
+                F.lit(r["grams"]).alias("grams"),
+                F.lit(math.ceil(least * size - 1e-9)).alias("fewest_shared"),
+                F.lit(math.floor((2 - least) / least * size + 1e-9)).alias("most_grams"),
+            )
+        )
+    return F.array(
+        *[F.struct(F.lit(name).alias("license"), F.array(*found).alias("templates")) for name, found in of_license.items()]
+    ).cast(
+        "array<struct<license: string, templates: array<struct<"
+        "template: int, grams: array<string>, fewest_shared: int, most_grams: int>>>>"
+    )
+
+
+def _texts(documents: DataFrame, licenses: Column, known: list[str], least: float) -> DataFrame:
+    """``doc_id, units, licenses, lines`` of texts that have units, or bigrams enough for a window of ``licenses``.
+
+    Lines are kept for windows only.
+    """
+
+    def enough(lines: Column) -> Column:
+        words = F.flatten(lines)
+        every = F.array_distinct(F.flatten(F.transform(licenses, lambda x: F.flatten(x["templates"]["grams"]))))
+
+        def of_license(shared: Column) -> Column:
+            return F.filter(
+                licenses,
+                lambda x: F.exists(
+                    x["templates"],
+                    lambda t: (F.size(shared) >= t["fewest_shared"])
+                    & (F.size(F.array_intersect(shared, t["grams"])) >= t["fewest_shared"]),
+                ),
+            )["license"]
+
+        return let(F.array_intersect(let(words, pairs), every), of_license)
+
+    def read(lines: Column) -> Column:
+        units = F.transform(
+            _units(lines, known, least),
+            lambda u: F.struct(
+                u["first_line"].alias("first_line"),
+                u["last_line"].alias("last_line"),
+                F.array_join(u["words"], " ").alias("unit_text"),
+            ),
+        )
+        return F.struct(units.alias("units"), enough(lines).alias("licenses"), lines.alias("lines"))
+
+    lines = F.filter(F.transform(F.split(normalised(F.col("text")), "\n"), words_in), lambda words: F.size(words) > 0)
+    found = F.filter(
+        F.transform(F.array(lines), read), lambda x: (F.size(x["units"]) > 0) | (F.size(x["licenses"]) > 0)
+    )
+    for_windows = F.when(F.size("licenses") > 0, F.col("lines")).otherwise(F.array().cast("array<array<string>>"))
+    return documents.select("doc_id", F.inline(found)).withColumn("lines", for_windows)
+
+
+def _linked(grams: Column) -> Column:
+    """Each bigram of a text in order: ``at, gram`` and the places ``before, after`` where it stands next."""
+    alike = F.sort_array(F.transform(grams, lambda gram, at: F.struct(gram.alias("gram"), at.alias("at"))))
+
+    def neighbours(alike: Column) -> Column:
+        def place(x: Column, i: Column, otherwise: Column) -> Column:
+            y = F.get(alike, i)
+            return F.when(y["gram"] == x["gram"], y["at"]).otherwise(otherwise)
+
+        return F.transform(
+            alike,
+            lambda x, i: F.struct(
+                x["at"].alias("at"),
+                x["gram"].alias("gram"),
+                place(x, i - 1, F.lit(-1)).alias("before"),
+                place(x, i + 1, F.size(alike)).alias("after"),
+            ),
+        )
+
+    return F.sort_array(let(alike, neighbours))
+
+
+def _best_windows(linked: Column, template: Column, least: float) -> Column:
+    """The best window from each bigram of the template, if it scores ``least``, as an array in the order of choice.
 
     A window whose first bigram comes again is no better than the one that starts there, so it ends before; and
     one of too many bigrams cannot reach ``least``. So a bigram is met once for each of the template at most.
     """
-    size, found = len(wanted), []
-    for first in spots:
-        seen, shared, best = set(), 0, None
-        for at in range(first, len(grams)):
-            gram = grams[at]
-            if at > first and gram == grams[first]:
-                break
-            if gram is None or gram in seen:
-                continue
-            seen.add(gram)
-            if len(seen) > (2 - least) / least * size + 1e-9:
-                break
-            if gram in wanted:
-                shared += 1
-                dice = 2 * shared / (len(seen) + size)
-                if dice >= least and shared >= least * size - 1e-9 and (best is None or dice >= best[1]):
-                    best = (shared, dice, first, at)
-                if shared == size:
-                    break
-        if best:
-            found.append(best)
-    return found
-
-
-def _windows_of(text: str, index: dict, templates: list[tuple], known: frozenset, least: float) -> list[tuple]:
-    """``first_line, last_line, license, dice`` of the windows of a normalised text."""
-    lines = [words for line in text.split("\n") if (words := line.split())]
-    words = [w for line in lines for w in line]
-    grams = list(zip(words, words[1:]))
-    spots: dict[int, list[int]] = {}
-    for at, gram in enumerate(grams):
-        for t in index.get(gram, ()):
-            spots.setdefault(t, []).append(at)
-    found: dict[str, list[tuple]] = {}
-    for t, places in spots.items():
-        name, wanted = templates[t]
-        needed = math.ceil(least * len(wanted) - 1e-9)
-        if len(places) >= needed and len({grams[at] for at in places}) >= needed:
-            found.setdefault(name, []).extend(_best_windows(grams, places, wanted, least))
-    if not any(found.values()):
-        return []
-    starts, line_of = [], []
-    for i, line in enumerate(lines):
-        starts.append(len(line_of))
-        line_of += [i] * len(line)
-    starts.append(len(line_of))
-    share = least / (2 - least)
-    possible = [
-        i for i, line in enumerate(lines) if len(line) > 1 and sum(w in known for w in line) >= share * (len(line) - 1) - 1e-9
-    ]
-    units = [(i, i) for i in possible]
-    for _, run in groupby(enumerate(possible), lambda x: x[1] - x[0]):
-        run = [i for _, i in run]
-        units += [(run[0], run[-1])] * (len(run) > 1)
-    result = []
-    for name, windows in found.items():
-        same = [wanted for other, wanted in templates if other == name]
-        taken = bytearray(len(words))
-        for a, b in units:
-            own = set(grams[starts[a] : starts[b + 1] - 1])
-            if any(2 * len(own & w) / (len(own) + len(w)) >= least for w in same):
-                taken[starts[a] : starts[b + 1]] = b"\1" * (starts[b + 1] - starts[a])
-        for shared, dice, first, last in sorted(windows, key=lambda w: (-w[0], -w[1], w[2])):
-            if not any(taken[first : last + 2]):
-                taken[first : last + 2] = b"\1" * (last + 2 - first)
-                result.append((line_of[first], line_of[last + 1], name, dice))
-    return result
+    size = F.size(template["grams"])
 
+    def of_spots(spots: Column) -> Column:
+        def best(first: Column) -> Column:
+            end = F.least(first["after"], F.element_at(spots, -1)["at"] + 1)
+            new = F.filter(
+                F.slice(linked, first["at"] + 1, end - first["at"]), lambda x: x["before"] < first["at"]
+            )
+            counted = F.transform(
+                F.slice(new, F.lit(1), template["most_grams"]),
+                lambda x, i: F.struct(x["at"].alias("at"), (i + 1).alias("grams"), x["gram"].alias("gram")),
+            )
+            shared = F.filter(counted, lambda x: F.array_contains(template["grams"], x["gram"]))
+            scored = F.transform(
+                shared,
+                lambda x, i: F.struct(
+                    (2 * (i + 1) / (x["grams"] + size)).alias("dice"), x["at"].alias("last"), (i + 1).alias("shared")
+                ),
+            )
+            return F.array_max(
+                F.filter(scored, lambda x: (x["dice"] >= least) & (x["shared"] >= template["fewest_shared"]))
+            )
 
-def windows(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``doc_id, first_line, last_line, license, dice`` of windows of words that match and that no line or run covers."""
-    known = frozenset(vocabulary(templates))
-    rows = template_table(documents.sparkSession, templates).where(F.size("grams") > 0).collect()
-    wanted = [(r["license"], frozenset(tuple(g.split(" ")) for g in r["grams"])) for r in rows]
-    index: dict[tuple, list[int]] = {}
-    for t, (_, grams) in enumerate(wanted):
-        for gram in grams:
-            index.setdefault(gram, []).append(t)
-
-    def found(batches):
-        for batch in batches:
-            owners, matches = [], []
-            for i, text in enumerate(batch.column(1)):
-                of_text = _windows_of(text.as_py(), index, wanted, known, least)
-                owners += [i] * len(of_text)
-                matches += of_text
-            columns = list(zip(*matches)) or [(), (), (), ()]
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owners, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["doc_id", "first_line", "last_line", "license", "dice"],
+        def in_order(first: Column, x: Column) -> Column:
+            return F.struct(
+                (-x["shared"]).alias("unshared"),
+                (-x["dice"]).alias("undice"),
+                first["at"].alias("first"),
+                F.element_at(spots, 1)["at"].alias("first_spot"),
+                template["template"].alias("template"),
+                x["last"].alias("last"),
+                x["dice"].alias("dice"),
             )
 
-    read = documents.select("doc_id", normalised(F.col("text")).alias("text"))
-    schema = T.StructType([read.schema["doc_id"]])
-    for name, kind in (("first_line", "integer"), ("last_line", "integer"), ("license", "string"), ("dice", "double")):
-        schema = schema.add(name, kind)
-    return read.mapInArrow(found, schema)
+        windows = F.transform(spots, lambda first: let(best(first), lambda x: F.when(x.isNotNull(), in_order(first, x))))
+        return F.filter(windows, lambda x: x.isNotNull())
+
+    return let(F.filter(linked, lambda x: F.array_contains(template["grams"], x["gram"])), of_spots)
+
+
+def _covered(units: Column, lines: Column, templates: Column, least: float) -> Column:
+    """A byte for each word, ``1`` in units that match a template, else ``0``."""
+
+    def matches(unit: Column) -> Column:
+        def any_fits(grams: Column) -> Column:
+            def fits(t: Column) -> Column:
+                shared = F.size(F.array_intersect(grams, t["grams"]))
+                return 2 * shared / (F.size(grams) + F.size(t["grams"])) >= least
+
+            return F.exists(templates, fits)
+
+        return let(let(F.split(unit["unit_text"], " "), bigrams), any_fits)
+
+    def marked(covered: Column) -> Column:
+        others = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+        ones = F.transform(covered, lambda i: F.struct(i.alias("line"), F.lit("1").alias("mark")))
+        zeros = F.transform(others, lambda i: F.struct(i.alias("line"), F.lit("0").alias("mark")))
+        marks = F.sort_array(F.concat(ones, zeros))
+        by_line = F.zip_with(lines, marks, lambda words, x: F.repeat(x["mark"], F.size(words)))
+        return F.array_join(by_line, "").cast("binary")
+
+    numbers = F.transform(F.filter(units, matches), lambda u: F.sequence(u["first_line"], u["last_line"]))
+    return let(F.array_distinct(F.flatten(numbers)), marked)
+
+
+def _apart(windows: Column, covered: Column) -> Column:
+    """The windows in the order of choice without those that overlap covered words or a window before them.
+
+    Chosen windows are marked among the covered words: bytes, since an array would be copied for each window.
+    """
+
+    def size(x: Column) -> Column:
+        return x["last"] + 2 - x["first"]
+
+    def mark(x: Column) -> Column:
+        return F.concat(F.lit("<"), F.repeat(F.lit("1"), size(x) - 2), F.lit(">")).cast("binary")
+
+    def words(marks: Column, x: Column) -> Column:
+        return F.substring(marks, x["first"] + 1, size(x))
+
+    def add(marks: Column, x: Column) -> Column:
+        before = F.substring(marks, F.lit(1), x["first"])
+        after = F.substring(marks, x["last"] + 3, F.length(marks))
+        free = words(marks, x) == F.repeat(F.lit("0"), size(x)).cast("binary")
+        return F.when(free, F.concat(before, mark(x), after)).otherwise(marks)
+
+    chosen = let(
+        F.aggregate(windows, covered, add), lambda marks: F.filter(windows, lambda x: words(marks, x) == mark(x))
+    )
+    # the same words may be a window of several templates
+    places = F.sort_array(
+        F.transform(chosen, lambda x, i: F.struct(x["first"].alias("first"), i.alias("turn"), x["last"].alias("last"), x["dice"].alias("dice")))
+    )
+    return let(places, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["first"] != x["first"])))
+
+
+def _windows(texts: DataFrame, licenses: Column, least: float) -> DataFrame:
+    def of_license(linked: Column, license_: Column) -> Column:
+        found = F.flatten(F.transform(license_["templates"], lambda t: _best_windows(linked, t, least)))
+        covered = _covered(F.col("units"), F.col("lines"), license_["templates"], least)
+        return let(
+            F.sort_array(found),
+            lambda x: F.when(F.size(x) > 0, _apart(x, covered)),
+        )
+
+    of_text = F.explode("licenses").alias("license")
+    words = F.flatten("lines")
+    license_ = F.filter(licenses, lambda x: x["license"] == F.col("license"))[0]
+    found = let(let(let(words, pairs), _linked), lambda linked: let(license_, lambda x: of_license(linked, x)))
+    line_of = F.flatten(F.transform("lines", lambda words, i: F.array_repeat(i, F.size(words))))
+    return (
+        texts.select("doc_id", "units", "lines", of_text)
+        .select("doc_id", "license", line_of.alias("line_of"), F.explode(found).alias("found"))
+        .select(
+            "doc_id",
+            F.col("line_of")[F.col("found.first")].alias("first_line"),
+            F.col("line_of")[F.col("found.last") + 1].alias("last_line"),
+            "license",
+            "found.dice",
+        )
+    )
+
+
+def windows(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+    """``doc_id, first_line, last_line, license, dice`` of windows of words that match and that no line or run covers."""
+    licenses = _licenses(documents.sparkSession, templates, least)
+    return _windows(_texts(documents, licenses, vocabulary(templates), least), licenses, least)
 
 
 def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -291,16 +404,10 @@ def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Dat
 
     Of several templates of one license the best counts. Lines are numbered from 0 among those with words.
     """
-    spark, known = documents.sparkSession, vocabulary(templates)
-    units = written(
-        documents.select("doc_id", F.explode(_units(F.col("text"), known, least)).alias("unit")).select(
-            "doc_id",
-            F.col("unit.first").alias("first_line"),
-            F.col("unit.last").alias("last_line"),
-            F.array_join("unit.words", " ").alias("unit_text"),
-        ),
-        "licenses",
-    )
+    spark = documents.sparkSession
+    licenses = _licenses(spark, templates, least)
+    texts = written(_texts(documents, licenses, vocabulary(templates), least), "licenses")
+    units = texts.select("doc_id", F.inline("units"))
     wanted = template_table(spark, templates).where(F.size("grams") > 0)
     index = wanted.select(
         "template", "license", F.size("grams").alias("template_size"), F.explode("grams").alias("gram")
@@ -321,4 +428,4 @@ def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Dat
         .agg(F.max("dice").alias("dice"))
     )
     whole = units.join(found, "unit_text").select("doc_id", "first_line", "last_line", "license", "dice")
-    return whole.unionByName(windows(documents, templates, least))
+    return whole.unionByName(_windows(texts, licenses, least))

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from gleanframe.llm import licenses
 
 
@@ -80,3 +83,56 @@ def test_windows_of_texts_that_repeat_themselves(documents):
 
 def test_a_license_before_one_unknown_word_many_times(documents):
     assert found(documents([(1, "Released under the MIT License" + " qwerty" * 8)])) == [(1, 0, 0, "MIT")]
+
+
+def test_the_scan_runs_no_python_in_tasks(documents):
+    for frame in (licenses.scan(documents([(1, "x")])), licenses.windows(documents([(1, "x")]))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in ("Python", "Pandas", "Arrow") if x in plan]
+
+
+def plain_windows(text, templates, least):
+    """The windows of a text, by their definition: ``first_line, last_line, license, dice``."""
+    lines = [line.split() for line in text.split("\n") if line.split()]
+    words, line_of = [w for x in lines for w in x], [i for i, x in enumerate(lines) for _ in x]
+    pairs = lambda x: list(zip(x, x[1:]))
+    grams, known = pairs(words), {w for _, t in templates for w in t.split()}
+    share, found = least / (2 - least), []
+    ok = [len(x) > 1 and sum(w in known for w in x) >= share * (len(x) - 1) - 1e-9 for x in lines]
+    runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if all(ok[a : b + 1])]
+    runs = [(a, b) for a, b in runs if a == b or not (a and ok[a - 1] or b + 1 < len(lines) and ok[b + 1])]
+    for name in {n for n, _ in templates}:
+        same, windows, taken = [set(pairs(t.split())) for n, t in templates if n == name], [], set()
+        for a, b in runs:
+            own = set(pairs([w for x in lines[a : b + 1] for w in x]))
+            if any(2 * len(own & t) / (len(own) + len(t)) >= least for t in same):
+                taken |= {i for i, line in enumerate(line_of) if a <= line <= b}
+        for wanted in same:
+            spots = [i for i, g in enumerate(grams) if g in wanted]
+            for first in spots:
+                scores = []
+                for last in (i for i in spots if i >= first and grams[first] not in grams[first + 1 : i + 1]):
+                    own = set(grams[first : last + 1])
+                    shared, new = len(own & wanted), grams[last] not in grams[first:last]
+                    dice = 2 * shared / (len(own) + len(wanted))
+                    if new and dice >= least and shared >= least * len(wanted) - 1e-9:
+                        scores.append((dice, last, shared))
+                if scores:
+                    dice, last, shared = max(scores)
+                    windows.append((-shared, -dice, first, spots[0], len(windows), last))
+        for _, dice, first, _, _, last in sorted(windows):
+            own = set(range(first, last + 2))
+            if not own & taken:
+                taken |= own
+                found.append((line_of[first], line_of[last + 1], name, -dice))
+    return found
+
+
+def test_windows_equal_a_plain_search(documents):
+    templates = (("A", "a b c d e"), ("A", "a b c d"), ("A", "c d e f g a b"), ("B", "f g"), ("B", "g a f g"), ("C", "x"))
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefgx\n") for _ in range(rng.randrange(60)))) for i in range(400)]
+    for least in (0.6, 0.8):
+        want = Counter((i, *x) for i, text in rows for x in plain_windows(text, templates, least))
+        got = Counter(map(tuple, licenses.windows(documents(rows), templates, least).collect()))
+        assert got == want and len(want) > 100
