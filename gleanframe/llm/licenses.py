@@ -180,11 +180,13 @@ def _units(lines: Column, known: list[str], least: float) -> Column:
     return let(F.filter(numbered, possible), joined)
 
 
-def _licenses(spark: SparkSession, templates, least: float) -> Column:
-    """A constant: every license with its templates, their bigrams and bounds of a window's bigrams."""
+def _licenses(spark: SparkSession, templates, least: float) -> tuple[Column, Column]:
+    """Constants: every license with its templates, their bigrams and bounds of a window's; and all bigrams."""
     of_license: dict[str, list[Column]] = {}
+    every: set[str] = set()
     for r in template_table(spark, templates).where(F.size("grams") > 0).collect():
         size = len(r["grams"])
+        every.update(r["grams"])
         of_license.setdefault(r["license"], []).append(
             F.struct(
                 F.lit(r["template"]).alias("template"),
@@ -193,24 +195,22 @@ def _licenses(spark: SparkSession, templates, least: float) -> Column:
                 F.lit(math.floor((2 - least) / least * size + 1e-9)).alias("most_grams"),
             )
         )
-    return F.array(
+    licenses = F.array(
         *[F.struct(F.lit(name).alias("license"), F.array(*found).alias("templates")) for name, found in of_license.items()]
-    ).cast(
+    )
+    return licenses.cast(
         "array<struct<license: string, templates: array<struct<"
         "template: int, grams: array<string>, fewest_shared: int, most_grams: int>>>>"
-    )
+    ), F.lit(sorted(every)).cast("array<string>")
 
 
-def _texts(documents: DataFrame, licenses: Column, known: list[str], least: float) -> DataFrame:
+def _texts(documents: DataFrame, licenses: Column, every: Column, known: list[str], least: float) -> DataFrame:
     """``doc_id, units, licenses, lines`` of texts that have units, or bigrams enough for a window of ``licenses``.
 
     Lines are kept for windows only.
     """
 
     def enough(lines: Column) -> Column:
-        words = F.flatten(lines)
-        every = F.array_distinct(F.flatten(F.transform(licenses, lambda x: F.flatten(x["templates"]["grams"]))))
-
         def of_license(shared: Column) -> Column:
             return F.filter(
                 licenses,
@@ -221,7 +221,7 @@ def _texts(documents: DataFrame, licenses: Column, known: list[str], least: floa
                 ),
             )["license"]
 
-        return let(F.array_intersect(let(words, pairs), every), of_license)
+        return let(F.array_intersect(let(F.flatten(lines), pairs), every), of_license)
 
     def read(lines: Column) -> Column:
         units = F.transform(
@@ -304,7 +304,9 @@ def _best_windows(linked: Column, template: Column, least: float) -> Column:
                 x["dice"].alias("dice"),
             )
 
-        windows = F.transform(spots, lambda first: let(best(first), lambda x: F.when(x.isNotNull(), in_order(first, x))))
+        enough = F.size(F.array_distinct(spots["gram"])) >= template["fewest_shared"]
+        starts = F.when(enough, spots).otherwise(F.slice(spots, 1, 0))
+        windows = F.transform(starts, lambda first: let(best(first), lambda x: F.when(x.isNotNull(), in_order(first, x))))
         return F.filter(windows, lambda x: x.isNotNull())
 
     return let(F.filter(linked, lambda x: F.array_contains(template["grams"], x["gram"])), of_spots)
@@ -395,8 +397,8 @@ def _windows(texts: DataFrame, licenses: Column, least: float) -> DataFrame:
 
 def windows(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """``doc_id, first_line, last_line, license, dice`` of windows of words that match and that no line or run covers."""
-    licenses = _licenses(documents.sparkSession, templates, least)
-    return _windows(_texts(documents, licenses, vocabulary(templates), least), licenses, least)
+    licenses, every = _licenses(documents.sparkSession, templates, least)
+    return _windows(_texts(documents, licenses, every, vocabulary(templates), least), licenses, least)
 
 
 def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -405,8 +407,8 @@ def scan(documents: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Dat
     Of several templates of one license the best counts. Lines are numbered from 0 among those with words.
     """
     spark = documents.sparkSession
-    licenses = _licenses(spark, templates, least)
-    texts = written(_texts(documents, licenses, vocabulary(templates), least), "licenses")
+    licenses, every = _licenses(spark, templates, least)
+    texts = written(_texts(documents, licenses, every, vocabulary(templates), least), "licenses")
     units = texts.select("doc_id", F.inline("units"))
     wanted = template_table(spark, templates).where(F.size("grams") > 0)
     index = wanted.select(
