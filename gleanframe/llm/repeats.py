@@ -3,15 +3,17 @@
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts in a document of a smaller id.
 
 Only strings that can repeat are sorted. Every window of ``LENGTH`` bytes has an anchor: the smallest hash of
-the ``GRAM``-byte strings in it, which equal windows share. A run of windows with one anchor is a unit. Units
-whose anchor occurs in one document only cannot repeat and end there: units meet by anchor, but those of
-anchors that a sample shows to be frequent, which are known to repeat, travel alone. Units that are equal as a whole are settled by the smallest id among
-them, so a passage in a third of all documents is one unit. What is left, units that share an anchor and differ,
+the ``GRAM``-byte strings in it, which equal windows share. A run of windows with one anchor is a unit. Units meet
+by anchor, in buckets. In a large corpus most anchors occur in several documents by chance, so what stands beside
+them decides as well: equal windows with the anchor in their left half share the 17 bytes behind it, any others the
+18 before it. Units that share neither with another document cannot repeat and end there. Units that are equal as
+a whole are settled by the smallest id among them, first among the texts that a task reads together, so a
+passage in a third of all documents is one unit. What is left, units that share an anchor and more and differ,
 goes to the suffix arrays: tasks that hold all units of an anchor put them into one string, sort its
 suffixes (triples of the sample, names, recursion, merge) and compare adjacent ones over ``LENGTH``
 bytes. An anchor whose different units have more than ``ANCHOR_BYTES`` bytes (the edge of a passage that very many
 documents hold) is spread over tasks window by window instead: equal windows meet in an aggregation that
-counts before it shuffles.
+counts before it shuffles. Where a sample shows an anchor to be of that kind, its units do not meet in one bucket.
 
 Every step ends in a table in the shared folder, so a lost executor costs one step, and shuffle files of
 finished steps can go. No document is cut: matches are found on whole texts, read in stretches of bounded
@@ -26,7 +28,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanframe.llm.common import discard, written
 from gleanframe.llm.suffixes import MOST_SYMBOLS, equal_windows
@@ -41,10 +44,15 @@ BASE = 0x9E3779B97F4A7C15
 #: unless one anchor needs more: together no more than a suffix array can take.
 ANCHOR_BYTES = 800_000
 TEXT_BYTES = MOST_SYMBOLS - ANCHOR_BYTES
-#: Of so many documents one is looked at to find anchors of at least this share of documents.
-SAMPLE_EVERY, FREQUENT = 64, 0.005
-#: Units that leave a task in one batch.
-UNITS_AT_ONCE = 20_000
+#: Bits of a place among the texts that are hashed at once, which are less than STRETCH + TOGETHER + LENGTH bytes.
+PLACE_BITS = 21
+PLACES = np.uint64((1 << PLACE_BITS) - 1)
+#: Bytes of text whose units leave a task together, and buckets for each shuffle partition.
+FLUSH, BUCKETS = 4_000_000, 4
+#: Of so many documents one is looked at to find anchors of many different units: so many there, and a share of the documents.
+SAMPLE_EVERY, MANY_UNITS, FREQUENT = 64, 190, 0.005
+#: Units whose contents leave a task in one batch, and settled spans.
+UNITS_AT_ONCE, SPANS_AT_ONCE = 20_000, 500_000
 LAST_ID = (1 << 63) - 1
 
 
@@ -78,10 +86,19 @@ def _unit_hashes(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray, leng
     return value ^ (value >> np.uint64(29))
 
 
-def units(contents: list[bytes], length: int = LENGTH):
-    """Number of the text, anchor, hash, first window and number of windows of every unit of some texts.
+def _beside(grams: np.ndarray, near: np.ndarray, far: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """16 bits, not 0, of two grams beside an anchor, 0 where no window holds them."""
+    near, far = (grams[np.clip(x, 0, len(grams) - 1)] for x in (near, far))
+    value = near * np.uint64(BASE) + (far ^ (far >> np.uint64(31)))
+    value = (value ^ (value >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.where(there, (value >> np.uint64(33)) % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint32)
+
 
-    The texts are looked at as one, without the windows that go over the end of a text.
+def located_units(contents: list[bytes], length: int = LENGTH):
+    """What ``units`` gives, and of every unit whether its anchor occurs in it again, and what stands beside the anchor.
+
+    The texts are looked at as one, without the windows that go over the end of a text. The upper 16 bits of what
+    stands beside are for windows with the anchor in their left half, the lower ones for the others.
     """
     whole = np.frombuffer(b"".join(contents), np.uint8)
     sizes = np.array([len(c) for c in contents], np.int64)
@@ -91,12 +108,29 @@ def units(contents: list[bytes], length: int = LENGTH):
     owner = np.repeat(np.arange(len(sizes)), counts)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     places = np.repeat(np.cumsum(sizes) - sizes, counts) + inside
-    grams = gram_hashes(whole)
-    anchors = smallest(grams, length - GRAM + 1)[places]
+    grams, more = gram_hashes(whole), length - GRAM
+    # The lower bits of a hash give way to its place: of equal ones the first is the smallest, or the last.
+    hashes, at = grams & ~PLACES, np.arange(len(grams), dtype=np.uint64)
+    low = smallest(hashes | at, more + 1)[places]
+    anchors = low >> np.uint64(PLACE_BITS)
     new = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
     starts = np.concatenate([[0], np.flatnonzero(new) + 1])
     runs = np.diff(np.concatenate([starts, [len(anchors)]]))
-    yield owner[starts], anchors[starts], _unit_hashes(grams, places[starts], runs, length), inside[starts], runs
+    first = places[starts]
+    last = first + runs - 1
+    place = (low[starts] & PLACES).astype(np.int64)
+    again = (PLACES - (smallest(hashes | (PLACES - at), more + 1)[last] & PLACES)).astype(np.int64) != place
+    half = more // 2
+    right = _beside(grams, place + min(GRAM, more - half), place + more - half, place - last <= half)
+    left = _beside(grams, place - min(GRAM, half + 1), place - half - 1, place - first > half)
+    own = _unit_hashes(grams, first, runs, length)
+    yield owner[starts], anchors[starts], own, inside[starts], runs, again, (right << np.uint32(16)) | left
+
+
+def units(contents: list[bytes], length: int = LENGTH):
+    """Number of the text, anchor, hash, first window and number of windows of every unit of some texts."""
+    for found in located_units(contents, length):
+        yield found[:5]
 
 
 def _stretches(texts, length: int = LENGTH):
@@ -123,80 +157,249 @@ def _identified(documents: DataFrame) -> DataFrame:
     )
 
 
-UNIT = "anchor long, unit long, doc long, version int, at int, n int"
+#: Units in a bucket: anchor, hash, document, version, first window, windows (less than 0 if the anchor occurs again),
+#: what is beside the anchor. Spans that are settled: document, version, from, bytes.
+UNIT_KINDS = [np.dtype(k) for k in ("u8", "u8", "i8", "i4", "i4", "i4", "u4")]
+SPAN_KINDS = [np.dtype(k) for k in ("i8", "i4", "i4", "i4")]
+
+
+def _packed(columns: list[np.ndarray], buckets: np.ndarray, settled: bool) -> pa.RecordBatch:
+    """The rows of every bucket as bytes: the first bytes of all values of a column, the second ones and so on, which compress."""
+    order = np.argsort(buckets, kind="stable")
+    columns, ranked = [c[order] for c in columns], buckets[order]
+    starts = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
+    ends = np.concatenate([starts[1:], [len(ranked)]])
+    planes = [plane for c in columns for plane in c.view(np.uint8).reshape(len(c), -1).T.copy()]
+    data = [b"".join([p[a:b] for p in planes]) for a, b in zip(starts.tolist(), ends.tolist())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ranked[starts], pa.int32()), pa.array(np.full(len(data), settled)), pa.array(data, pa.binary())],
+        names=["bucket", "settled", "data"],
+    )
+
+
+def _unpacked(data: list, kinds: list[np.dtype]) -> list[np.ndarray]:
+    edges = np.cumsum([0, *(k.itemsize for k in kinds)])
+    planes = np.concatenate([np.frombuffer(held, np.uint8).reshape(edges[-1], -1) for held in data], axis=1)
+    return [np.ascontiguousarray(planes[a:b].T).view(k).ravel() for a, b, k in zip(edges, edges[1:], kinds)]
 
 
-def anchored(documents: DataFrame) -> DataFrame:
-    """All units of all documents."""
+def _by_bucket(batches):
+    """``settled`` and the data of every bucket, from rows in order of both."""
+    key, held = None, []
+    for batch in batches:
+        for bucket, settled, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if held and key != (bucket, settled):
+                yield key[1], held
+                held = []
+            key = (bucket, settled)
+            held.append(data.as_buffer())
+    if held:
+        yield key[1], held
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])[: len(keys[0])]
+    return starts, np.diff(np.concatenate([starts, [len(keys[0])]]))
+
+
+def _settled_at_once(columns: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The units without those that equal one of a smaller document among them, and the spans of the latter."""
+    own = columns[1]
+    order = np.argsort(own)
+    starts, sizes = _groups(own[order])
+    twice = order[np.repeat(sizes > 1, sizes)]
+    anchor, own, doc = (c[twice] for c in columns[:3])
+    order = np.lexsort((doc, own, anchor))
+    starts, sizes = _groups(anchor[order], own[order])
+    rows = twice[order][doc[order] > np.repeat(doc[order][starts], sizes)]
+    stay = np.ones(len(columns[0]), bool)
+    stay[rows] = False
+    doc, version, low, n = (columns[i][rows] for i in (2, 3, 4, 5))
+    order = np.lexsort((low, version, doc))
+    doc, version, low, high = doc[order], version[order], low[order], (low + np.abs(n) + np.int32(length - 1))[order]
+    # Spans of a text that touch are one.
+    new = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (low[1:] > high[:-1])
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])[: len(doc)]
+    highs = np.maximum.reduceat(high, starts) if len(starts) else high
+    return [c[stay] for c in columns], [doc[starts], version[starts], low[starts], highs - low[starts]]
+
+
+def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    if not len(ranked):
+        return np.zeros(len(values), bool)
+    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
+
+
+def in_buckets(documents: DataFrame, frequent: np.ndarray, length: int = LENGTH) -> DataFrame:
+    """``bucket, settled, data``: all units of all documents, in partitions and order of their buckets.
+
+    Units of one anchor meet, but of a ``frequent`` one only those that are equal.
+    """
+    buckets = np.uint64(BUCKETS * max(16, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    mixed = np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def dealt(held):
+        columns = [np.concatenate(c) for c in zip(*held)]
+        columns, spans = _settled_at_once(columns, length)
+        key = columns[0] ^ np.where(_among(columns[0], frequent), columns[1], np.uint64(0))
+        yield _packed(columns, (((key * mixed) >> np.uint64(32)) % buckets).astype(np.int32), False)
+        if len(spans[0]):
+            whole = ((spans[0][:1].astype(np.uint64) * mixed) >> np.uint64(32)) % buckets
+            yield _packed(spans, np.repeat(whole.astype(np.int32), len(spans[0])), True)
 
     def cut(batches):
+        held, size = [], 0
         for batch in batches:
             docs, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for held in _stretches(enumerate(c.as_py() for c in batch.column(2))):
-                numbers, firsts, parts = zip(*held)
-                for owner, anchors, own, inside, runs in units(parts):
+            for texts in _stretches((enumerate(c.as_py() for c in batch.column(2))), length):
+                numbers, firsts, parts = zip(*texts)
+                for owner, anchors, own, inside, runs, again, beside in located_units(parts, length):
                     number = np.array(numbers)[owner]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(anchors.view(np.int64)),
-                            pa.array(own.view(np.int64)),
-                            pa.array(docs[number]),
-                            pa.array(versions[number]),
-                            pa.array((inside + np.array(firsts)[owner]).astype(np.int32)),
-                            pa.array(runs.astype(np.int32)),
-                        ],
-                        names=["anchor", "unit", "doc", "version", "at", "n"],
-                    )
-
-    def merged(batches, rows: int = 1 << 16):
-        """Small batches joined, so that Spark sees few of them."""
-        waiting, held = [], 0
-        for batch in cut(batches):
-            waiting.append(batch)
-            held += batch.num_rows
-            if held >= rows:
-                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-                waiting, held = [], 0
-        if waiting:
-            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
-
-    return _identified(documents).mapInArrow(merged, UNIT)
-
-
-def frequent_anchors(documents: DataFrame) -> DataFrame:
-    """Anchors in so many documents that no task should hold all their units.
-
-    They are looked for in a sample, and each was seen in two documents there. The list only says
-    which units travel alone; results do not depend on it. A document of k units adds k to the sum of all
-    frequencies, so there are at most ``k / FREQUENT`` of them for the mean k.
+                    at = (inside + np.array(firsts)[owner]).astype(np.int32)
+                    n = np.where(again, -runs, runs).astype(np.int32)
+                    held.append((anchors, own, docs[number], versions[number], at, n, beside))
+                size += sum(map(len, parts))
+                if held and size >= FLUSH:
+                    yield from dealt(held)
+                    held, size = [], 0
+        if held:
+            yield from dealt(held)
+
+    rows = _identified(documents).mapInArrow(cut, "bucket int, settled boolean, data binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "settled")
+
+
+def frequent_anchors(documents: DataFrame) -> np.ndarray:
+    """Anchors of so many different units that no task should hold them all, in order.
+
+    They are looked for in a sample. The list only says where units meet; results do not depend on it. A document
+    of k units adds at most k to the sum of all counts, so there are at most ``k / FREQUENT`` of them for the mean k.
     """
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_EVERY)) == 0)
-    size = F.greatest(F.lit(50.0), F.lit(FREQUENT) * sample.count())
-    return (
-        anchored(sample)
-        .groupBy("anchor")
-        .agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-        .where((F.col("n") >= size) & (F.col("low") < F.col("high")))
-        .select(F.col("anchor").alias("frequent"))
-    )
+    least = max(MANY_UNITS, FREQUENT * sample.count())
 
+    def counted(batches):
+        for settled, data in _by_bucket(batches):
+            if not settled:
+                anchor, own = _unpacked(data, UNIT_KINDS)[:2]
+                order = np.lexsort((own, anchor))
+                starts, _ = _groups(anchor[order], own[order])
+                anchor = anchor[order][starts]
+                starts, sizes = _groups(anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[starts][sizes >= least].astype(np.int64))], names=["anchor"])
 
-def shared_units(documents: DataFrame) -> DataFrame:
-    """The units whose anchor occurs in two documents or more."""
-    frequent = F.broadcast(written(frequent_anchors(documents), "repeats"))
-    found = anchored(documents).join(frequent, F.col("anchor") == F.col("frequent"), "left")
-    # Units of one anchor meet, unless it is frequent: then each is alone.
-    alone = F.when(F.col("frequent").isNotNull(), F.xxhash64("unit", "doc", "at"))
-    together = Window.partitionBy("anchor", "alone")
-    return written(
-        found.withColumn("alone", alone)
-        .drop("frequent")
-        .withColumn("low", F.min("doc").over(together))
-        .withColumn("high", F.max("doc").over(together))
-        .where(F.col("alone").isNotNull() | (F.col("low") < F.col("high")))
-        .drop("alone", "low", "high"),
-        "repeats",
-    )
+    found = in_buckets(sample, np.zeros(0, np.uint64)).mapInArrow(counted, "anchor long").collect()
+    return np.sort(np.array([r["anchor"] for r in found], np.uint64))
+
+
+def _can_repeat(columns: list[np.ndarray], apart: np.ndarray) -> np.ndarray:
+    """Numbers of the units that share their anchor and what stands beside it with another document, by anchor.
+
+    Where the anchor occurs in a unit again it has no place of its own: then all that share it can. So can units
+    that are ``apart`` from others of their anchor.
+    """
+    anchor, doc, n, beside = (columns[i] for i in (0, 2, 5, 6))
+    order = np.argsort(anchor)
+    starts, sizes = _groups(anchor[order])
+    spread = lambda values: np.repeat(values, sizes)
+    shared = spread(np.minimum.reduceat(doc[order], starts) < np.maximum.reduceat(doc[order], starts))
+    again = spread(np.logical_or.reduceat(n[order] < 0, starts))
+    group = spread(np.arange(len(starts)))
+    live = apart[order] | (shared & again)
+    rest = np.flatnonzero(shared & ~live)
+    for shift in (16, 0):
+        side = (beside[order[rest]] >> np.uint32(shift)) & np.uint32(0xFFFF)
+        those = rest[side > 0]
+        key = (group[those] << 16) | side[side > 0].astype(np.int64)
+        turn = np.argsort(key)
+        those = those[turn]
+        starts, sizes = _groups(key[turn])
+        if len(starts):
+            docs = doc[order[those]]
+            two = np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts)
+            live[those] |= np.repeat(two, sizes)
+    return order[live]
+
+
+MET = (
+    "doc long, version int, low int, size int, anchor long, unit long, n int, many boolean, "
+    "places array<struct<version:int,at:int>>"
+)
+
+
+def met_units(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What follows from units that meet.
+
+    Without an anchor: spans that are copies of a unit in a smaller document. With one: units that share their anchor with
+    other ones, and the places in the smallest document that holds them.
+    """
+    frequent, most = frequent_anchors(documents), ANCHOR_BYTES
+    place = pa.struct([("version", pa.int32()), ("at", pa.int32())])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(place)]
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def batch_of(rows, **columns):
+        arrays = [columns[c] if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(arrays, kinds)], names=names)
+
+    def spans_of(parts):
+        doc, version, low, size = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(doc)
+        return batch_of(len(doc), doc=doc[order], version=version[order], low=low[order], size=size[order])
+
+    def wanted_of(anchor, unit, doc, version, at, n, starts, sizes, apart):
+        """Units, of which one is at ``starts``, if their anchor has others; all are in order, and in their smallest documents."""
+        first, several = _groups(anchor[starts])
+        own = n[starts].astype(np.int64) + (length - 1)
+        bytes_ = np.repeat(np.add.reduceat(own, first), several)
+        apart = apart[starts]
+        chosen = (np.repeat(several, several) > 1) | apart
+        held = np.repeat(chosen, sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes[chosen])])
+        places = pa.StructArray.from_arrays([pa.array(version[held]), pa.array(at[held])], ["version", "at"])
+        one = starts[chosen]
+        return batch_of(
+            len(one),
+            doc=doc[one],
+            anchor=anchor[one].view(np.int64),
+            unit=unit[one].view(np.int64),
+            n=n[one],
+            many=((bytes_ > most) | apart)[chosen],
+            places=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places),
+        )
+
+    def meet(batches):
+        spans, size = [], 0
+        for settled, data in _by_bucket(batches):
+            if settled:
+                spans.append(_unpacked(data, SPAN_KINDS))
+            else:
+                columns = _unpacked(data, UNIT_KINDS)
+                apart = _among(columns[0], frequent)
+                rows = _can_repeat(columns, apart)
+                if not len(rows):
+                    continue
+                anchor, unit, doc, version, at, n = (c[rows] for c in columns[:6])
+                order = np.lexsort((at, version, doc, unit, anchor))
+                anchor, unit, doc, version, at, n = (c[order] for c in (anchor, unit, doc, version, at, np.abs(n)))
+                starts, sizes = _groups(anchor, unit)
+                later = doc > np.repeat(doc[starts], sizes)
+                spans.append([c[later] for c in (doc, version, at, n + np.int32(length - 1))])
+                sizes = np.add.reduceat(~later, starts, dtype=np.int64)
+                starts = np.cumsum(sizes) - sizes
+                yield wanted_of(*(c[~later] for c in (anchor, unit, doc, version, at, n)), starts, sizes, apart[rows][order][~later])
+            size += len(spans[-1][0])
+            if size >= SPANS_AT_ONCE:
+                yield spans_of(spans)
+                spans, size = [], 0
+        if spans:
+            yield spans_of(spans)
+
+    return written(in_buckets(documents, frequent, length).mapInArrow(meet, MET), "repeats")
 
 
 def with_content(documents: DataFrame, wanted: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -291,27 +494,26 @@ def _window_by_window(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         "anchor", "unit", "doc", F.posexplode(F.transform(places, lambda i: F.substring("content", i, length)))
     )
     least = windows.groupBy("col").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return (
+    found = (
         windows.join(least.select("col", "least"), "col")
         .where("doc > least")
-        .select("anchor", "unit", F.col("pos").alias("low"), (F.col("pos") + 1).alias("high"))
+        .groupBy("anchor", "unit")
+        .agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    )
+    # Windows in a row are one run.
+    low = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) < x - 1))
+    last = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > x + 1))
+    runs = found.select("anchor", "unit", low.alias("low"), last.alias("last"))
+    return runs.select("anchor", "unit", F.inline(F.arrays_zip("low", "last"))).select(
+        "anchor", "unit", "low", (F.col("last") + 1).alias("high")
     )
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, version, spans``: byte spans ``(low, high)`` of every document that loses bytes."""
-    shared = shared_units(documents)
-    first = shared.groupBy("anchor", "unit").agg(F.min(F.struct("doc", "version", "at", "n")).alias("first"))
-    size = F.sum(F.col("first.n").cast("long") + (length - 1))
-    versions = first.groupBy("anchor").agg(F.count("*").alias("versions"), size.alias("bytes"))
-    distinct = written(
-        first.join(versions, "anchor").select("anchor", "unit", "first.*", "versions", "bytes"), "repeats"
-    )
-    contents = with_content(
-        documents,
-        distinct.where("versions > 1").withColumn("many", F.col("bytes") > ANCHOR_BYTES),
-        length,
-    )
+    met = met_units(documents, length)
+    wanted = met.where("anchor is not null").select("anchor", "unit", "doc", "n", "many", "places")
+    contents = with_content(documents, wanted.select("*", F.expr("inline(slice(places, 1, 1))")), length)
     covered = written(
         contents.where("not many")
         .select("anchor", "unit", "doc", "content")
@@ -322,36 +524,39 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         "repeats",
     )
     discard(contents)
-    # Per unit the earliest document and the windows that an earlier one holds. A copy in a later
-    # document goes as a whole, in the earliest the covered windows go.
-    runs = covered.groupBy("anchor", "unit").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    decided = distinct.select("anchor", "unit", F.col("doc").alias("earliest"), "n").join(runs, ["anchor", "unit"], "left")
+    # A copy of a unit in a later document goes as a whole, in the earliest the windows that an earlier one holds.
     span = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
-    occurrences = shared.drop("n").join(decided, ["anchor", "unit"])
-    whole = F.array(span(F.col("at"), F.col("at") + F.col("n") + (length - 1)))
-    parts = F.transform("runs", lambda r: span(F.col("at") + r["low"], F.col("at") + r["high"] + (length - 1)))
+    parts = covered.join(wanted.select("anchor", "unit", "doc", "places"), ["anchor", "unit"]).select(
+        "doc", "low", "high", F.inline("places")
+    )
     found = written(
-        occurrences.select(
-            "doc", "version", F.explode(F.when(F.col("doc") > F.col("earliest"), whole).otherwise(parts)).alias("span")
+        met.where("anchor is null")
+        .select("doc", "version", span(F.col("low"), F.col("low") + F.col("size")).alias("span"))
+        .unionByName(
+            parts.select(
+                "doc", "version", span(F.col("at") + F.col("low"), F.col("at") + F.col("high") + (length - 1)).alias("span")
+            )
         )
         .groupBy("doc", "version")
         .agg(F.collect_list("span").alias("spans")),
         "repeats",
     )
-    for done in (shared, distinct, covered):
+    for done in (met, covered):
         discard(done)
     return found
 
 
-def _merged(spans, size: int) -> list[tuple[int, int]]:
-    """Sorted spans without overlap; spans that touch are one."""
-    result: list[list[int]] = []
-    for low, high in sorted(spans):
-        if result and low <= result[-1][1]:
-            result[-1][1] = max(result[-1][1], high)
-        else:
-            result.append([low, high])
-    return [(low, min(high, size)) for low, high in result]
+def _merged(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of texts in order and without overlap; spans that touch are one."""
+    order = np.lexsort((low, owner))
+    base = owner[order].astype(np.int64) << 32
+    low, high = base + low[order], np.maximum.accumulate(base + high[order])
+    first = np.ones(len(low), bool)
+    first[1:] = low[1:] > high[:-1]
+    # The furthest end until the next span begins.
+    last = np.append(first[1:], True)[: len(low)]
+    mask = (1 << 32) - 1
+    return low[first] >> 32, low[first] & mask, high[last] & mask
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -363,20 +568,26 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         F.hash("text").alias("version"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("content"),
     ).join(spans, ["doc", "version"], "left")
-    pair = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def cut(batches):
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            removed, kept, sizes = [], [], []
-            for content, found in zip(batch.column(1), batch.column(2)):
+            contents, found = batch.column(1), batch.column(2)
+            sizes = pc.binary_length(contents).to_numpy()
+            flat = found.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), pc.fill_null(found.value_lengths(), 0).to_numpy())
+            owner, low, high = _merged(owner, flat.field("low").to_numpy(), flat.field("high").to_numpy())
+            high = np.minimum(high, sizes[owner])
+            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            kept, lows, highs = [], low.tolist(), high.tolist()
+            for content, a, b in zip(contents, ends.tolist(), ends[1:].tolist()):
                 data = content.as_py()
-                merged = _merged([(s["low"], s["high"]) for s in found.as_py() or ()], len(data))
-                edges = [0, *(x for s in merged for x in s), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                removed.append([{"low": a, "high": b} for a, b in merged])
-                sizes.append(len(data))
+                if a < b:
+                    data = b"".join(data[x:y] for x, y in zip([0, *highs[a:b]], [*lows[a:b], len(data)]))
+                kept.append(data)
+            pairs = pa.StructArray.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["low", "high"])
+            removed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pair), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int64()), removed, pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "removed", "kept"],
             )
 

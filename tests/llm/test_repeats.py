@@ -115,3 +115,41 @@ def test_suffixes_are_sorted_whatever_their_symbols():
             text = [rng.randrange(1, symbols) for _ in range(size)]
             got = suffix_array(np.array(text, np.int64)).tolist()
             assert got == sorted(range(size), key=lambda i: text[i:])
+
+
+def test_units_that_share_an_anchor_by_chance_are_not_sorted(documents, prose, monkeypatch):
+    """Documents of one vocabulary share most anchors in a large corpus; a common string that short is no repeat."""
+    sorted_ = []
+
+    def watched(documents, wanted, length, read=repeats.with_content):
+        sorted_.extend(r["doc"] for r in wanted.collect())
+        return read(documents, wanted, length)
+
+    monkeypatch.setattr(repeats, "with_content", watched)
+    common = [prose(s, 9)[:26] for s in range(20, 30)]
+    rows = [(i, "".join(prose(100 * i + k, 9) + c for k, c in enumerate(common))) for i in range(30)]
+    assert all(len(c) == 26 for c in common)
+    checked(documents, rows)
+    assert not sorted_
+    rows += [(40, prose(1, 3) + prose(100, 9) + prose(2, 3)), (41, prose(3, 3) + prose(101, 9)[-50:] + prose(4, 3))]
+    checked(documents, rows)
+    assert sorted_ and set(sorted_) <= {1, 40, 41}
+
+
+def test_units_of_frequent_anchors(documents, prose, monkeypatch):
+    """Anchors that the sample finds are spread over tasks, whatever else holds them; results stay."""
+    monkeypatch.setattr(repeats, "SAMPLE_EVERY", 1)
+    monkeypatch.setattr(repeats, "MANY_UNITS", 3)
+    common = prose(77, 30)
+    rows = [(i % 25, prose(i, 5) + common + prose(200 + i, 7) + common[:90]) for i in range(30)]
+    rows += [(60, common), (61, common), (62, "a" * 500), (63, "b" + "a" * 300), (64, "ab" * 90), (65, "c" + "ab" * 70 + "a" * 60)]
+    assert len(repeats.frequent_anchors(documents(rows)))
+    checked(documents, rows)
+
+
+def test_random_texts_of_few_letters(documents):
+    """Anchors that occur again inside a unit, and matches of all lengths around ``LENGTH``."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choices("ab", k=rng.choice([5, 20, 49, 50, 51, 67, 100]))) * rng.choice([1, 1, 4]) for _ in range(25)]
+    rows = [(rng.randrange(60), "".join(rng.choice(pool) + rng.choice("xyz") * rng.randrange(20) for _ in range(rng.randrange(12)))) for _ in range(90)]
+    checked(documents, rows)
